@@ -1,31 +1,49 @@
 """Byte-level BPE ids of whole texts, by way of a cache of the pieces between spaces.
 
-In the byte-level pre-tokenizer a single space between two characters that
-aren't white space always begins a new pre-token, so that the pieces between
-such spaces encode alone as they do in the text. Pieces repeat a great deal;
-only new ones go through the tokenizers library.
+In the byte-level pre-tokenizer a single space or line feed between two
+characters that aren't white space always begins a new pre-token (and such a
+line feed is one by itself), so that the pieces between them encode alone as
+they do in the text. Pieces repeat a great deal;
+only new ones go through the tokenizers library, words by its model alone.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
+import string
 import sys
 import zlib
 
 import numpy as np
 
 _OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c != " "]
-_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+_BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Pieces that a cache holds, and the longest piece that it takes.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+CACHE_PIECES, CACHE_CHARS = 700_000, 64
+#: With these at its end a word is still two pre-tokens: the word and all its signs.
+_SIGNS = string.punctuation.replace("'", "")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in prints)
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def pieces(text: str) -> list[str]:
-    """text, cut at every single space that stands between two other characters than white space."""
-    odd = "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _OTHER_SPACE)
-    return _BOUNDARY.split(text) if odd else text.split(" ")
+    """text, cut before every single blank or line feed that stands between two other characters than white space.
+
+    All parts but the first go without their blank, with their line feed.
+    """
+    odd = "  " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or any(c in text and any(c + d in text or d + c in text for d in " \n") for c in _OTHER_SPACE)
+    if odd:
+        return [p[1:] if i and p[0] == " " else p for i, p in enumerate(_BOUNDARY.split(text))]
+    return text.replace("\n", " \n").split(" ")
 
 
 class PieceCoder:
@@ -34,7 +52,6 @@ class PieceCoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
@@ -42,45 +59,61 @@ class PieceCoder:
         pre = said.get("pre_tokenizer") or {}
         self.cuts = said.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.known: dict[str, bytes] = {}
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_pieces(self, parts: list[str]) -> bytes:
-        """The ids of a text cut by pieces()."""
+        self.signs: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.tokenize = self.model.tokenize
+        self._lf = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece that may begin with a blank; a word, or signs after a word, goes straight to the model."""
+        word = piece.rstrip(_SIGNS)
+        if not word.removeprefix(" ").isalpha() or len(word) > CACHE_CHARS:
+            return self._whole(piece)
+        out = self._model(word)
+        return out + (self.signs.get(piece[len(word) :]) or self._sign(piece[len(word) :])) if len(word) < len(piece) else out
+
+    def _model(self, token: str) -> bytes:
+        return np.array([t.id for t in self.tokenize(token.encode().decode("latin-1").translate(_BYTE_LETTERS))], dtype="<u4").tobytes()
+
+    def _sign(self, signs: str) -> bytes:
+        self.signs[signs] = out = self._whole(signs)
+        return out
+
+    def _parts(self, parts: list[str]) -> bytes:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        rest = parts[1:]
-        got = list(map(self.known.get, rest))
+        got = list(map(self.known.get, parts))
         if None in got:
-            new = list({p for p, g in zip(rest, got, strict=True) if g is None})
-            fresh = dict(zip(new, self._fresh([" " + p for p in new]), strict=True))
-            got = [fresh[p] if g is None else g for p, g in zip(rest, got, strict=True)]
-            self.known.update((p, g) for p, g in fresh.items() if len(p) <= CACHE_CHARS)
-        return self._fresh(parts[:1])[0] + b"".join(got)
+            for i, g in enumerate(got):
+                if g is None:
+                    p = parts[i]
+                    g = self.known.get(p)
+                    if g is None:
+                        g = self._lf + self._piece(p[1:]) if p[:1] == "\n" else self._piece(" " + p)
+                        if len(p) <= CACHE_CHARS:
+                            self.known[p] = g
+                    got[i] = g
+        return b"".join(got)
+
+    def encode_pieces(self, parts: list[str]) -> bytes:
+        """The ids of a text cut by pieces()."""
+        return (self._piece(parts[0]) if parts[0] else b"") + self._parts(parts[1:])
 
     def encode(self, text: str) -> bytes:
-        return self.encode_pieces(pieces(text)) if self.cuts else self._fresh([text])[0]
+        return self.encode_pieces(pieces(text)) if self.cuts else self._whole(text)
 
 
-class TermCoder:
-    """Lexical term numbers below size of the pieces of a text."""
+_coders: dict[str, PieceCoder] = {}
 
-    def __init__(self, size: int):
-        self.size, self.known = size, {}
 
-    def terms(self, parts: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        got = list(map(self.known.get, parts))
-        if None in got:
-            for i, g in enumerate(got):
-                if g is None:
-                    p = parts[i]
-                    got[i] = zlib.crc32(p.strip().strip(".,;:!?\"'()").lower().encode()) % self.size
-                    if len(p) <= CACHE_CHARS:
-                        self.known[p] = got[i]
-        return np.asarray(got, dtype=np.int64)
+def coder_of(path: str) -> PieceCoder:
+    """The coder of this worker: its cache outlives a task."""
+    if path not in _coders:
+        _coders[path] = PieceCoder(path)
+    return _coders[path]
 
 
 def crc(data: bytes) -> int:

@@ -20,49 +20,38 @@ columns play no part; empty input gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, small_batches, stash
+from ._common import doc_key, keyed, small_batches, stash
+from ._words import stretches, words_of
 from .components import components
 from .perfect_hash import mix
 
 REGISTERS, BAND_ROWS, MANTISSA = 256, 6, 10
 _EMPTY = np.uint16(0xFFFF)
 _BOUNDS = np.arange(REGISTERS + 1, dtype=np.uint64)
-CACHE_WORDS = 300_000
 SETS = "key long, doc_id long, sid long, n long, registers binary"
 
 
-class Shingler:
-    """Distinct hashed word shingles of whole texts, sorted."""
-
-    def __init__(self, words: int):
-        self.words, self.known = words, {}
-
-    def of(self, text: str) -> np.ndarray:
-        import xxhash
-
-        found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the ASCII white space only
-        if not found:
-            return np.zeros(0, dtype=np.uint64)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        got = list(map(self.known.get, found))
-        if None in got:
-            for i, g in enumerate(got):
-                if g is None:
-                    got[i] = xxhash.xxh3_64_intdigest(found[i])
-                    if len(found[i]) < 64:
-                        self.known[found[i]] = got[i]
-        h = np.array(got, dtype=np.uint64)
-        n = min(self.words, len(h))
-        out = np.full(len(h) - n + 1, n, dtype=np.uint64)
-        for i in range(n):
-            out = mix(out ^ h[i : len(h) - n + 1 + i], 1)
-        return np.unique(out)
+def shingles_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Distinct hashed word shingles of each text, sorted."""
+    for _, data, offsets in stretches(column):
+        found = words_of(data, offsets)
+        for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True):
+            h = found.hashes[a:b]
+            n = min(words, len(h))
+            if not n:
+                yield h
+                continue
+            out = np.full(len(h) - n + 1, n, dtype=np.uint64)
+            for i in range(n):
+                out = mix(out ^ h[i : len(h) - n + 1 + i], 1)
+            yield np.unique(out)
 
 
 def _probes() -> np.ndarray:
@@ -92,7 +81,6 @@ def registers(shingles: np.ndarray) -> np.ndarray:
             empty = np.flatnonzero(out == _EMPTY)
             if not len(empty):
                 break
-            # an own twist by bucket: a borrowed register doesn't equal its source by position
             out[empty] = kept[probe[empty]]
         out[out == _EMPTY] = kept[full][0]
     return out
@@ -116,11 +104,9 @@ def _sketcher(words: int):
     def sketch(batches):
         import xxhash
 
-        make = Shingler(words)
         for batch in batches:
             sids, sizes, regs = [], [], []
-            for text in batch.column("text"):
-                s = make.of(text.as_py())
+            for s in shingles_of(batch.column("text"), words):
                 sizes.append(len(s))
                 sids.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
@@ -158,9 +144,8 @@ def _estimator(threshold: float):
 
 def _reshingler(words: int):
     def shingle(batches):
-        make = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([make.of(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())], ["sid", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([s.tobytes() for s in shingles_of(batch.column("text"), words)], pa.binary())], ["sid", "hashes"])
 
     return shingle
 
@@ -225,8 +210,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but the first document of each component, all columns kept."""
-    from ._common import doc_key
-
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("key").alias("_key")).distinct()
     return docs.join(gone, doc_key(docs["doc_id"], docs["text"]) == F.col("_key"), "left_anti")
 

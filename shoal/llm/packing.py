@@ -14,14 +14,17 @@ documents of their own; a null doc_id is kept as null. Empty input gives no rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bpe import PieceCoder, TermCoder, crc, pieces
+from ._bpe import coder_of, crc
 from ._common import small_batches
+from ._words import stretches, words_of
 
 WINDOW = 2048
 #: Hashed lexical terms: the length of the table of document frequencies.
@@ -33,14 +36,22 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def bags_of(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed lexical terms below size, and their counts, of each text."""
+    for _, data, offsets in stretches(column):
+        found = words_of(data, offsets)
+        terms = (found.hashes & np.uint64(size - 1)).astype(np.int64)
+        for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True):
+            yield np.unique(terms[a:b], return_counts=True)
+
+
 def _counter(size: int):
     def count(batches):
-        coder, df, docs, total = TermCoder(size), np.zeros(size, dtype=np.int64), 0, 0
+        df, docs, total = np.zeros(size, dtype=np.int64), 0, 0
         for batch in batches:
-            for text in batch.column("text"):
-                terms = coder.terms(pieces(text.as_py() or ""))
-                df[np.unique(terms)] += 1
-                docs, total = docs + 1, total + len(terms)
+            for terms, counts in bags_of(batch.column("text"), size):
+                df[terms] += 1
+                docs, total = docs + 1, total + int(counts.sum())
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [docs, total]))], ["term", "n"])
 
@@ -138,16 +149,14 @@ def _packer(idf, mean: float, tokenizer: str, end_id: int, window: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names), sequence + (fill > 0)
 
     def pack(batches):
-        coder, term, end = PieceCoder(tokenizer), TermCoder(len(idf)), np.asarray([end_id], dtype="<u4").tobytes()
+        coder, end = coder_of(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         rows, bags, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, text, bag in zip(batch.column("doc_id").to_pylist(), batch.column("text"), bags_of(batch.column("text"), len(idf)), strict=True):
                 text = text.as_py() or ""
-                parts = pieces(text)
-                ids = coder.encode_pieces(parts) if coder.cuts else coder.encode(text)
-                rows.append((doc_id, np.frombuffer(ids + end, dtype="<u4")))
-                bags.append(np.unique(term.terms(parts), return_counts=True))
+                rows.append((doc_id, np.frombuffer(coder.encode(text) + end, dtype="<u4")))
+                bags.append(bag)
                 held += len(text)
                 if len(rows) >= SHARD_DOCS or held >= SHARD_BYTES:
                     out, sequence = shard(rows, bags, sequence)

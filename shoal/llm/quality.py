@@ -13,10 +13,7 @@ the smallest hash of their doc_id.
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
-from operator import eq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,60 +21,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import keyed, small_batches
+from ._words import stretches, words_of
 
 #: Hashed words, bins of a statistic, and factors.
 BUCKETS, BINS, RANK = 1 << 14, 16, 8
 #: Bound of the rows to fit on.
 MAX_ROWS = 6000
-CACHE_WORDS = 300_000
-_ALNUM = re.compile(r"[^\W_]")
 _STATISTICS = 12
 
 
-class Features:
-    """Index and value of each feature of a text."""
-
-    size = BUCKETS + _STATISTICS * BINS
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def _word(self, word: str) -> int:
-        clean = sum(map(str.isalnum, word))
-        flags = (clean * 2 < len(word)) | (clean < len(word.strip(".,;:!?'\"()-"))) << 1 | any(map(str.isdigit, word)) << 2 | word.isupper() << 3
-        return zlib.crc32(word.lower().encode()) % BUCKETS | flags << 20 | min(len(word), 255) << 24
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split()
-        counts = Counter(words)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        got = list(map(self.known.get, counts))
-        if None in got:
-            for i, word in enumerate(counts):
-                if got[i] is None:
-                    got[i] = self._word(word)
-                    if len(word) < 64:
-                        self.known[word] = got[i]
-        packed = np.asarray(got, dtype=np.int64)
-        n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-        total = max(1.0, n.sum())
-        flag = lambda bit: float(n[(packed >> (20 + bit)) & 1 == 1].sum() / total)
-        lengths = packed >> 24
-        mean = float((lengths * n).sum() / total)
-        lines = [x for x in text.split("\n") if x.strip()]
-        share = lambda x: min(BINS - 1, int(x * BINS))
-        fine = lambda x: min(BINS - 1, int(np.sqrt(max(0.0, x)) * BINS))
-        top = float(n.max() / total) if len(n) else 1.0
-        bins = [
-            min(BINS - 1, int(np.log2(total + 1))), min(BINS - 1, int(np.log2(len(text) + 1))), share(len(n) / total), fine(top), min(BINS - 1, int(mean * 1.5)),
-            fine(flag(0)), fine(flag(1)), fine(flag(2)), fine(flag(3)), fine(sum(map(eq, words, words[1:])) / total), fine(1 - len(set(lines)) / max(1, len(lines))),
-            fine((text.count(".") + text.count("!") + text.count("?")) / total),
+_LETTER = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+_EDGE = np.isin(np.arange(256), np.frombuffer(b".,;:!?'\"()-", dtype=np.uint8))
+_SIZE = BUCKETS + _STATISTICS * BINS
+
+
+def _bin(x: np.ndarray, root: bool = False) -> np.ndarray:
+    x = np.clip(np.nan_to_num(x), 0, 1)
+    return np.minimum(BINS - 1, ((np.sqrt(x) if root else x) * BINS).astype(np.int64))
+
+
+def features_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index and value of each feature of each text: hashed words, then the bin of each statistic."""
+    for _, data, offsets in stretches(column):
+        w = words_of(data, offsets)
+        sums = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+        of_text = lambda s: s[offsets[1:]] - s[offsets[:-1]]
+        of_words = lambda x: (lambda s: s[w.bounds[1:]] - s[w.bounds[:-1]])(np.concatenate(([0], np.cumsum(x))))
+        letters, edges = sums(_LETTER[data]), sums(_EDGE[data])
+        digits, upper = sums((data >= 48) & (data < 58)), sums((data >= 65) & (data < 91))
+        inside = lambda s: s[w.ends] - s[w.starts]
+        length = w.ends - w.starts
+        n = np.maximum(1, w.bounds[1:] - w.bounds[:-1])
+        size = np.maximum(1, offsets[1:] - offsets[:-1])
+        again = np.concatenate((w.hashes[1:] == w.hashes[:-1], [False])) if len(w.hashes) else np.zeros(0, bool)
+        inner = w.bounds[1:-1][(w.bounds[1:-1] > 0) & (w.bounds[1:-1] <= len(again))]
+        again[inner - 1] = False  # the last word of a text has none after it
+        stops = of_text(sums(np.isin(data, (33, 46, 63))))
+        table = [
+            np.minimum(BINS - 1, np.log2(n + 1).astype(np.int64)), np.minimum(BINS - 1, np.log2(size + 1).astype(np.int64)), None, None, np.minimum(BINS - 1, (of_words(length) / n * 1.5).astype(np.int64)),
+            _bin(of_words(inside(letters) * 2 < length) / n, True), _bin(of_words(inside(letters) + inside(edges) < length) / n, True), _bin(of_words(inside(digits) > 0) / n, True), _bin(of_text(upper) / size, True),
+            _bin(of_words(again) / n, True), _bin(of_text(sums(data == 10)) / n, True), _bin(stops / n, True),
         ]
-        value = 1 + np.log(n)
-        norm = np.sqrt((value * value).sum())
-        index = np.concatenate((packed & (BUCKETS - 1), BUCKETS + np.arange(_STATISTICS) * BINS + np.asarray(bins)))
-        return index, np.concatenate((value / norm if norm else value, np.ones(_STATISTICS)))
+        buckets = (w.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+        for i, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
+            index, count = np.unique(buckets[a:b], return_counts=True)
+            bins = [_bin(len(index) / n[i]) if c == 2 else _bin((count.max() if len(count) else 1) / n[i], True) if c == 3 else x[i] for c, x in enumerate(table)]
+            value = 1 + np.log(count)
+            norm = np.sqrt((value * value).sum())
+            yield np.concatenate((index, BUCKETS + np.arange(_STATISTICS) * BINS + np.asarray(bins, dtype=np.int64))), np.concatenate((value / norm if norm else value, np.ones(_STATISTICS)))
 
 
 class FactorisationMachine:
@@ -134,9 +125,8 @@ def fold(doc_id: Column) -> Column:
 
 
 def _featured(batches):
-    make = Features()
     for batch in batches:
-        both = [make.of(x.as_py() or "") for x in batch.column("text")]
+        both = list(features_of(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([i.tolist() for i, _ in both], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in both], pa.list_(pa.float32()))], ["y", "index", "value"])
 
 
@@ -152,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
         return None
     got = got.sort_values("doc_id")
     rows = [(np.asarray(i), np.asarray(v)) for i, v in zip(got["index"], got["value"], strict=True)]
-    return FactorisationMachine(Features.size, seed=seed).fit(rows, got["y"].to_numpy(dtype=np.float32), seed=seed)
+    return FactorisationMachine(_SIZE, seed=seed).fit(rows, got["y"].to_numpy(dtype=np.float32), seed=seed)
 
 
 def _featured_with_id(batches):
@@ -163,9 +153,8 @@ def _featured_with_id(batches):
 
 def _scorer(model: FactorisationMachine | None):
     def score(batches):
-        make = Features()
         for batch in batches:
-            scores = [model.score(*make.of(x.as_py() or "")) if model else 1.0 for x in batch.column("text")]
+            scores = [model.score(*x) if model else 1.0 for x in features_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(scores, pa.float64())], ["key", "doc_id", "score"])
 
     return score

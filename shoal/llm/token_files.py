@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._bpe import PieceCoder, crc
+from ._bpe import coder_of, crc
 from ._common import scratch, small_batches, stash
 from .perfect_hash import PerfectHash, fingerprint, mix
 
@@ -83,7 +83,7 @@ class Shard:
 
 def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches):
-        coder, files = PieceCoder(tokenizer), None
+        coder, files = coder_of(tokenizer), None
         width = 2 if max(coder.vocabulary, end_id + 1) <= 1 << 16 else 4
         end = np.asarray([end_id], dtype="<u4").tobytes()
         doc_ids, lengths, name, sink = [], [], f"shard-{uuid.uuid4().hex}", None
