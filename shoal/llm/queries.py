@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, packing, quality, spans, token_files, topk, warc
+from . import exact_dedup, minhash, mixing, packing, quality, spans, suffix_dedup, token_files, topk, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
