@@ -6,22 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def span(start: int | None = None, stop: int | None = None, step: int = 1, inclusive: bool = False) -> tuple:
+    """A range of indices for rich_slice; None is the end that the step comes from or goes to."""
+    if step == 0:
+        raise ValueError("a step of 0")
+    return start, stop, step, inclusive
+
+
 def _indices(size: Column, one) -> Column:
-    """one: an index, "*", or (start, stop[, step]) with stop left out; negative numbers count from the end."""
+    """one: an index, "*" or a span; negative numbers count from the end, but a stop of -1 going down is literal."""
     at = lambda i: size + i if i < 0 else F.lit(i)
-    if one == "*":
-        return F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
     if isinstance(one, int):
         return F.array(at(one))
-    start, stop, *step = one
-    step = step[0] if step else 1
-    if step == 0:
-        raise ValueError("a step of 0")
-    # going down, -1 stands for the place before the first
-    end = (F.lit(-1) if step < 0 and stop == -1 else at(stop)) - (1 if step > 0 else -1)
-    first = at(start)
-    some = first <= end if step > 0 else first >= end
-    return F.when(some, F.sequence(first, F.when(some, end).otherwise(first), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    start, stop, step, inclusive = span() if one == "*" else one
+    up = step > 0
+    first = at(start) if start is not None else F.lit(0) if up else size - 1
+    if stop is None:
+        last = size - 1 if up else F.lit(0)
+    else:
+        last = F.lit(-1) if stop == -1 and not up else at(stop)
+        last = last if inclusive else last - (1 if up else -1)
+    some = first <= last if up else first >= last
+    return F.when(some, F.sequence(first, F.when(some, last).otherwise(first), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
 def rich_slice(values: Column, *slices) -> Column:

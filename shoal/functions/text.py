@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The signs stripped before, after and inside tokens.
-LEADING = r"""^[^\w\-<>\[\]{}/\\@#$%^&*+=|~]+"""
-TRAILING = r"""[^\w\-<>\[\]{}/\\@#$%^&*+=|~]+$"""
-INSIDE = r"""[^A-Za-z0-9\-_./:\\@]"""
+# The signs stripped before, after and inside tokens.
+LEADING = r"^[^\sA-Za-z0-9_/-]+"
+TRAILING = r"[^\sA-Za-z0-9_/-]+$"
+INSIDE = r"[^A-Za-z0-9_./:@-]"
 BITS, HASHES = 1 << 15, 4
 
 

@@ -128,6 +128,10 @@ def scan_with(df: DataFrame, value: str, order_by: str, zero, f: Callable, schem
     return rows.groupBy("_part").applyInPandas(local, schema)
 
 
+def _after(f: Callable, before) -> Callable:
+    return lambda pdf: f(pdf, before)
+
+
 def cascade(df: DataFrame, bucket: str, f: Callable, schema: str) -> DataFrame:
     """Bucket j's rows are f(pandas rows of j, pandas result of j - 1 or None): a chain, one bucket after the other.
 
@@ -135,11 +139,7 @@ def cascade(df: DataFrame, bucket: str, f: Callable, schema: str) -> DataFrame:
     """
     spark, before, out = df.sparkSession, None, None
     for (key,) in sorted(df.select(bucket).distinct().collect()):
-
-        def step(pdf, before=before):
-            return f(pdf, before)
-
-        now = stash(df.where(F.col(bucket) == key).groupBy(bucket).applyInPandas(step, schema))
+        now = stash(df.where(F.col(bucket) == key).groupBy(bucket).applyInPandas(_after(f, before), schema))
         before = now.toPandas()
         out = now if out is None else out.union(now)
     return out if out is not None else spark.createDataFrame([], schema)

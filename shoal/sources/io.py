@@ -45,12 +45,19 @@ def csv_line(*columns: Column) -> Column:
     return F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns])
 
 
+def _byte(part: Column) -> Column:
+    return (part * 255).cast("int")
+
+
 def rgb(red: Column, green: Column, blue: Column) -> Column:
     """Components from 0 to 1 as one number of 24 bits."""
-    byte = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
-    return F.shiftleft(byte(red), 16).bitwiseOR(F.shiftleft(byte(green), 8)).bitwiseOR(byte(blue))
+    return F.shiftleft(_byte(red), 16).bitwiseOR(F.shiftleft(_byte(green), 8)).bitwiseOR(_byte(blue))
 
 
 def argb(alpha: Column, red: Column, green: Column, blue: Column) -> Column:
-    byte = F.floor(F.least(F.greatest(alpha, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
-    return F.shiftleft(byte, 24).bitwiseOR(rgb(red, green, blue))
+    return F.shiftleft(_byte(alpha), 24).bitwiseOR(rgb(red, green, blue))
+
+
+def grayscale(value: Column, inverse: bool = False) -> Column:
+    value = F.lit(1.0) - value if inverse else value
+    return rgb(value, value, value)
