@@ -3,7 +3,8 @@
 Documents are counted by source and exact token length. For each source a whole
 number of passes over all its documents is taken first. The remaining budget is
 spread over the lengths in proportion, and bounded-knapsack dynamic programming
-over the lengths still free fits what is left. Documents are then selected by
+over the lengths still free fits what is left, from below or from above,
+whichever comes nearer. Documents are then selected by
 the count of their length, in the order of a seeded hash.
 
 Defined results: size is the number of words (null or empty text: 0, never
@@ -102,6 +103,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) ->
     return take
 
 
+def fit_nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
+    """fit, or what is left when the rest is fitted to be left out, whichever total comes nearer to budget."""
+    below = fit(lengths, counts, budget, seed)
+    miss = budget - int((below * lengths).sum())
+    if miss <= 0:
+        return below
+    above = counts - fit(lengths, counts, int((lengths * counts).sum()) - budget, seed)
+    return above if int((above * lengths).sum()) - budget < miss else below
+
+
 def _fit_source(pdf):
     """Rows of one source by size and slot: how many of each to take beyond the whole passes."""
     pdf = pdf.sort_values(["size", "slot"], kind="stable").reset_index(drop=True)
@@ -109,7 +120,7 @@ def _fit_source(pdf):
     passes = int(target // whole) if whole else 0
     sizes, inverse = np.unique(pdf["size"].to_numpy(), return_inverse=True)
     n = pdf["n"].to_numpy()
-    take = fit(sizes, np.bincount(inverse, weights=n).astype(np.int64), int(target) - passes * whole)
+    take = fit_nearest(sizes, np.bincount(inverse, weights=n).astype(np.int64), int(target) - passes * whole)
     before = np.concatenate(([0], np.cumsum(n)[:-1]))
     first = before[np.searchsorted(inverse, np.arange(len(sizes)))]
     pdf["quota"] = np.clip(take[inverse] - (before - first[inverse]), 0, n)
