@@ -14,13 +14,14 @@ import re
 import string
 import sys
 import zlib
+from array import array
 
 import numpy as np
 
 _OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c != " "]
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Pieces that a cache holds, and the longest piece that it takes.
-CACHE_PIECES, CACHE_CHARS = 700_000, 64
+CACHE_PIECES, CACHE_CHARS = 1_500_000, 64
 #: With these at its end a word is still two pre-tokens: the word and all its signs.
 _SIGNS = string.punctuation.replace("'", "")
 
@@ -67,16 +68,24 @@ class PieceCoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece that may begin with a blank; a word, or signs after a word, goes straight to the model."""
+    def _piece(self, piece: str, blank: bool = True) -> bytes:
+        """The ids of a piece, after a blank or not; a word, or signs after a word, goes straight to the model."""
         word = piece.rstrip(_SIGNS)
-        if not word.removeprefix(" ").isalpha() or len(word) > CACHE_CHARS:
-            return self._whole(piece)
-        out = self._model(word)
-        return out + (self.signs.get(piece[len(word) :]) or self._sign(piece[len(word) :])) if len(word) < len(piece) else out
-
-    def _model(self, token: str) -> bytes:
-        return np.array([t.id for t in self.tokenize(token.encode().decode("latin-1").translate(_BYTE_LETTERS))], dtype="<u4").tobytes()
+        if len(word) > CACHE_CHARS or not word.isalpha():
+            return self._whole(" " + piece if blank else piece)
+        if len(word) == len(piece):
+            return self._word(word, blank)
+        out = self.known.get(word) if blank else None
+        if out is None:
+            out = self._word(word, blank)
+            if blank:
+                self.known[word] = out
+        signs = piece[len(word) :]
+        return out + (self.signs.get(signs) or self._sign(signs))
+
+    def _word(self, word: str, blank: bool) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenize("\u0120" + letters if blank else letters)]).tobytes()
 
     def _sign(self, signs: str) -> bytes:
         self.signs[signs] = out = self._whole(signs)
@@ -85,22 +94,21 @@ class PieceCoder:
     def _parts(self, parts: list[str]) -> bytes:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        got = list(map(self.known.get, parts))
-        if None in got:
-            for i, g in enumerate(got):
-                if g is None:
-                    p = parts[i]
-                    g = self.known.get(p)
-                    if g is None:
-                        g = self._lf + self._piece(p[1:]) if p[:1] == "\n" else self._piece(" " + p)
-                        if len(p) <= CACHE_CHARS:
-                            self.known[p] = g
-                    got[i] = g
+        got, i = list(map(self.known.get, parts)), 0
+        for _ in range(got.count(None)):
+            i = got.index(None, i)
+            p = parts[i]
+            out = self.known.get(p)
+            if out is None:
+                out = self._lf + self._piece(p[1:], False) if p[:1] == "\n" else self._piece(p)
+                if len(p) <= CACHE_CHARS:
+                    self.known[p] = out
+            got[i] = out
         return b"".join(got)
 
     def encode_pieces(self, parts: list[str]) -> bytes:
         """The ids of a text cut by pieces()."""
-        return (self._piece(parts[0]) if parts[0] else b"") + self._parts(parts[1:])
+        return (self._piece(parts[0], False) if parts[0] else b"") + self._parts(parts[1:])
 
     def encode(self, text: str) -> bytes:
         return self.encode_pieces(pieces(text)) if self.cuts else self._whole(text)
