@@ -5,8 +5,8 @@ leading zeros of its least hash and some mantissa bits after them; a bucket
 without a shingle borrows the register of another, by a probe order that is the
 same for all documents. Compressed registers are banded. Within a band's key
 every set is first compared with the key's least set; sets of one component need
-no more comparisons, and what is left between components is compared pair by
-pair. Pairs go through the size bound and the estimate, corrected for registers
+no more comparisons. While many pairs are left, all meet another member drawn
+from their key; what is left between components then is compared pair by pair. Pairs go through the size bound and the estimate, corrected for registers
 that agree by chance, and are confirmed on the full shingle sets.
 
 Equal shingle sets are one node from the start, so that copies never make pairs.
@@ -33,6 +33,8 @@ from .components import components
 from .perfect_hash import mix
 
 REGISTERS, BAND_ROWS, MANTISSA = 256, 6, 10
+#: Pairs left per member of a key above which another member is drawn to meet the others, and how often at most.
+CROWDED, TURNS = 8, 3
 _EMPTY = np.uint16(0xFFFF)
 _BOUNDS = np.arange(REGISTERS + 1, dtype=np.uint64)
 SETS = "key long, doc_id long, sid long, n long, registers binary"
@@ -167,8 +169,7 @@ def _confirmer(percent: int):
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sids that are links: size bound, estimate, full sets."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    wide = pairs.join(side("a"), "a").where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb" if "nb" in pairs.columns else "true").drop("nb").join(side("b"), "b")
-    wide = wide.where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb").select("a", "b", "na", "nb", "ra", "rb")
+    wide = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb").select("a", "b", "na", "nb", "ra", "rb")
     likely = stash(wide.mapInArrow(_estimator(percent / 100), "a long, b long"), "likely")
     needed = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "first"), "sid")
     texts = keyed(docs).join(needed.select("sid", F.col("first").alias("key")), "key").select("sid", "text").dropDuplicates(["sid"])
@@ -187,17 +188,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bands = stash(bands, "bands")
     shared = stash(bands.groupBy("band").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "shared")
     members = stash(bands.join(shared, "band"), "members")
-    tried = stash(members.where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct(), "tried")
+    pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
+    tried = stash(members.where("sid <> least").withColumn("other", F.col("least")).select(*pair).distinct(), "tried")
     links = stash(_confirmed(tried, sets, docs, words, percent), "links")
-    first = components(links)
-    inside = members.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = inside.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    rest = stash(inside.join(mixed, "band").select("band", "sid", "n", "component"), "rest")
-    left, right = (rest.select("band", *[F.col(c).alias(c + s) for c in ("sid", "n", "component")]) for s in ("_a", "_b"))
+    found = components(links)
+    for turn in range(TURNS):
+        inside = members.drop("least").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        inside = stash(inside, "inside")
+        parts = inside.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("parts"))
+        mixed = stash(parts.where("parts > 1"), "mixed")
+        left = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
+        rest = inside.join(mixed.select("band"), "band")
+        if left[1] is None or left[0] <= CROWDED * left[1]:
+            break
+        # a crowded key: all others meet one more member, drawn anew each turn, before any meet pair by pair
+        drawn = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("u"), F.col("sid"), F.col("component"), F.col("n"))).alias("m"))
+        drawn = stash(drawn.select("band", F.col("m.sid").alias("other"), F.col("m.component").alias("of"), F.col("m.n").alias("size")), "drawn")
+        met = rest.join(drawn, "band").where(f"component <> of and 100 * n >= {percent} * size and 100 * size >= {percent} * n").select(*pair).distinct()
+        met = stash(met.join(tried, ["a", "b"], "left_anti"), "met")
+        tried = tried.unionByName(met)
+        more = stash(_confirmed(met, sets, docs, words, percent), "more")
+        if more.head(1):
+            links = links.unionByName(more)
+            found = components(links)
+    rest = stash(rest, "rest")
+    one, two = (rest.select("band", *[F.col(c).alias(c + s) for c in ("sid", "n", "component")]) for s in ("_a", "_b"))
     fits = (F.col("component_a") != F.col("component_b")) & (F.col("sid_a") < F.col("sid_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    pairs = left.join(right, "band").where(fits).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
+    pairs = one.join(two, "band").where(fits).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
     more = stash(_confirmed(pairs.join(tried, ["a", "b"], "left_anti"), sets, docs, words, percent), "more")
-    found = components(links.unionByName(more)) if more.head(1) else first
+    found = components(links.unionByName(more)) if more.head(1) else found
     ids = sketched.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least_id"))
     named = ids.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
