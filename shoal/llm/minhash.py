@@ -4,10 +4,14 @@ Word shingles are hashed into buckets. A bucket's register stores the count of
 leading zeros of its least hash and some mantissa bits after them; a bucket
 without a shingle borrows the register of another, by a probe order that is the
 same for all documents. Compressed registers are banded. Within a band's key
-every set is first compared with the key's least set; sets of one component need
-no more comparisons. While many pairs are left, all meet another member drawn
-from their key; what is left between components then is compared pair by pair. Pairs go through the size bound and the estimate, corrected for registers
-that agree by chance, and are confirmed on the full shingle sets.
+every set is first compared with the key's central set, the one that shares most
+keys with others; sets of one component need no more comparisons. What is left
+between components is joined by rare shingles, not by key: two sets as similar as
+asked share one of the first shingles of each, rarest first, and at most so far
+from its start that enough can follow (prefix and position bounds, both exact).
+So a crowded key of sets that are nearly, but not quite, alike makes no pairs.
+Pairs go through the size bound and the estimate, corrected for registers that
+agree by chance, and are confirmed on the full shingle sets.
 
 Equal shingle sets are one node from the start, so that copies never make pairs.
 
@@ -33,8 +37,8 @@ from .components import components
 from .perfect_hash import mix
 
 REGISTERS, BAND_ROWS, MANTISSA = 256, 6, 10
-#: Pairs left per member of a key above which another member is drawn to meet the others, and how often at most.
-CROWDED, TURNS = 8, 3
+#: Counters of hashed shingles that order them, rarest first: a table of fixed length. Any order gives the same links.
+COUNTERS = 1 << 18
 _EMPTY = np.uint16(0xFFFF)
 _BOUNDS = np.arange(REGISTERS + 1, dtype=np.uint64)
 SETS = "key long, doc_id long, sid long, n long, registers binary"
@@ -144,10 +148,11 @@ def _estimator(threshold: float):
     return passing
 
 
-def _reshingler(words: int):
+def _reshingler(words: int, *others: str):
     def shingle(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([s.tobytes() for s in shingles_of(batch.column("text"), words)], pa.binary())], ["sid", "hashes"])
+            hashes = pa.array([s.tobytes() for s in shingles_of(batch.column("text"), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", *others)), hashes], ["sid", *others, "hashes"])
 
     return shingle
 
@@ -166,6 +171,55 @@ def _confirmer(percent: int):
     return confirm
 
 
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def _count(batches):
+    seen = np.zeros(COUNTERS, dtype=np.int64)
+    for batch in batches:
+        for x in batch.column("hashes"):
+            np.add.at(seen, _counters(np.frombuffer(x.as_py(), dtype=np.uint64)), 1)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["counter", "seen"])
+
+
+def _prefixer(seen: np.ndarray, percent: int):
+    """The shingles, with their places from the rarest on, by which a set can be found."""
+
+    def prefix(batches):
+        for batch in batches:
+            out = []
+            for sid, component, x in zip(batch.column("sid").to_pylist(), batch.column("component").to_pylist(), batch.column("hashes"), strict=True):
+                h = np.frombuffer(x.as_py(), dtype=np.uint64)
+                c = seen[_counters(h)]
+                order = np.lexsort((h, c))[: len(h) - (percent * len(h) + 99) // 100 + 1]
+                place = np.flatnonzero(c[order] > 1)  # a shingle seen once is in no other set
+                k = len(place)
+                out.append((h[order[place]].view(np.int64), place, np.full(k, sid, np.int64), np.full(k, len(h), np.int64), np.full(k, component, np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["shingle", "place", "sid", "n", "component"])
+
+    return prefix
+
+
+def _apart(rest: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among rest (sid, component): all that may be links, by prefix and position."""
+    texts = keyed(docs).join(sets.select("sid", F.col("first").alias("key")).join(rest, "sid"), "key").select("sid", "component", "text").dropDuplicates(["sid"])
+    full = stash(texts.mapInArrow(_reshingler(words, "component"), "sid long, component long, hashes binary"), "rest")
+    got = full.select("hashes").mapInArrow(_count, "counter long, seen long").groupBy("counter").agg(F.sum("seen").alias("seen")).toPandas()
+    seen = np.zeros(COUNTERS, dtype=np.int32)
+    seen[got["counter"].to_numpy(np.int64)] = np.minimum(got["seen"].to_numpy(np.int64), (1 << 31) - 1)
+    places = stash(full.mapInArrow(_prefixer(seen, percent), "shingle long, place long, sid long, n long, component long"), "places")
+    enough = lambda x: (100 + percent) * (F.col(f"n_{x}") - F.col(f"place_{x}")) >= percent * (F.col("n_a") + F.col("n_b"))
+    one, two = (places.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("place", "sid", "n", "component")]) for x in "ab")
+    # a is the smaller one: of itself alone, it needs fewer places
+    one = one.where(f"{100 + percent} * (n_a - place_a) >= {2 * percent} * n_a")
+    smaller = F.expr("n_a < n_b or n_a = n_b and sid_a < sid_b")
+    fits = (F.col("component_a") != F.col("component_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & enough("a") & enough("b")
+    return one.join(two, "shingle").where(fits).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sids that are links: size bound, estimate, full sets."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
@@ -186,37 +240,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = stash(sketched.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), F.min("key").alias("first")), "sets")
     bands = sets.select("sid", "n", "registers").mapInArrow(_bander, "band long, sid long, n long")
     bands = stash(bands, "bands")
-    shared = stash(bands.groupBy("band").agg(F.min("sid").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "shared")
-    members = stash(bands.join(shared, "band"), "members")
-    pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
-    tried = stash(members.where("sid <> least").withColumn("other", F.col("least")).select(*pair).distinct(), "tried")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = stash(bands.join(shared, "band").select("band", "sid", "members"), "members")
+    # the central set of a key is the one that meets most others, over all its keys
+    central = members.groupBy("sid").agg(F.sum("members").alias("meets"))
+    members = stash(members.join(central, "sid").select("band", "sid", "meets"), "met")
+    hubs = members.groupBy("band").agg(F.max(F.struct("meets", "sid"))["sid"].alias("hub"))
+    pair = [F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")]
+    tried = stash(members.join(hubs, "band").where("sid <> hub").select(*pair).distinct(), "tried")
     links = stash(_confirmed(tried, sets, docs, words, percent), "links")
     found = components(links)
-    for turn in range(TURNS):
-        inside = members.drop("least").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        inside = stash(inside, "inside")
-        parts = inside.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("parts"))
-        mixed = stash(parts.where("parts > 1"), "mixed")
-        left = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
-        rest = inside.join(mixed.select("band"), "band")
-        if left[1] is None or left[0] <= CROWDED * left[1]:
-            break
-        # a crowded key: all others meet one more member, drawn anew each turn, before any meet pair by pair
-        drawn = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("u"), F.col("sid"), F.col("component"), F.col("n"))).alias("m"))
-        drawn = stash(drawn.select("band", F.col("m.sid").alias("other"), F.col("m.component").alias("of"), F.col("m.n").alias("size")), "drawn")
-        met = rest.join(drawn, "band").where(f"component <> of and 100 * n >= {percent} * size and 100 * size >= {percent} * n").select(*pair).distinct()
-        met = stash(met.join(tried, ["a", "b"], "left_anti"), "met")
-        tried = tried.unionByName(met)
-        more = stash(_confirmed(met, sets, docs, words, percent), "more")
-        if more.head(1):
-            links = links.unionByName(more)
-            found = components(links)
-    rest = stash(rest, "rest")
-    one, two = (rest.select("band", *[F.col(c).alias(c + s) for c in ("sid", "n", "component")]) for s in ("_a", "_b"))
-    fits = (F.col("component_a") != F.col("component_b")) & (F.col("sid_a") < F.col("sid_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    pairs = one.join(two, "band").where(fits).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
-    more = stash(_confirmed(pairs.join(tried, ["a", "b"], "left_anti"), sets, docs, words, percent), "more")
-    found = components(links.unionByName(more)) if more.head(1) else found
+    inside = members.select("band", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    inside = stash(inside, "inside")
+    mixed = inside.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    rest = stash(inside.join(mixed, "band").select("sid", "component").distinct(), "apart")
+    if rest.head(1):
+        pairs = _apart(rest, sets, docs, words, percent).join(tried, ["a", "b"], "left_anti")
+        more = stash(_confirmed(pairs, sets, docs, words, percent), "more")
+        found = components(links.unionByName(more)) if more.head(1) else found
     ids = sketched.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least_id"))
     named = ids.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -259,6 +259,22 @@ def test_near_duplicates_on_chains_and_hot_groups(spark):
     assert bag(minhash.near_duplicates(df, 4).select("doc_id", "n_shingles", "component_id").collect()) == naive_components(rows, 4)
 
 
+def test_near_duplicates_in_a_crowded_key(spark):
+    """Texts that are almost as similar as asked share keys, but few are linked; those that are, away from the centre, must be found."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(0, 240, 2):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 12)), replace=False):
+            words[at] = f"v{rng.integers(0, 9)}"
+        rows.append((i, " ".join(words)))
+        words[int(rng.integers(0, 150))] = "z"
+        rows.append((i + 1, " ".join(words[: 150 - int(rng.integers(0, 9))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(minhash.near_duplicates(df, 4).select("doc_id", "n_shingles", "component_id").collect()) == naive_components(rows, 4)
+
+
 def test_estimate_corrects_for_chance():
     n = np.array([5000])
     assert minhash.estimate(np.array([256]), n, n)[0] == pytest.approx(1.0)
