@@ -40,9 +40,13 @@ def bags_of(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarra
     """Hashed lexical terms below size, and their counts, of each text."""
     for _, data, offsets in stretches(column):
         found = words_of(data, offsets)
-        terms = (found.hashes & np.uint64(size - 1)).astype(np.int64)
-        for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True):
-            yield np.unique(terms[a:b], return_counts=True)
+        texts = np.arange(len(found.bounds), dtype=np.int64) * size
+        terms = (found.hashes & np.uint64(size - 1)).astype(np.int64) + np.repeat(texts[:-1], np.diff(found.bounds))
+        terms, counts = np.unique(terms, return_counts=True)  # one sort for all texts of a stretch
+        cuts = np.searchsorted(terms, texts)
+        terms &= size - 1
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield terms[a:b], counts[a:b]
 
 
 def _counter(size: int):
