@@ -3,10 +3,10 @@
 Documents are dealt into shards as they are read: a shard closes at SHARD_DOCS
 documents or SHARD_BYTES of text, so that its index fits in memory whatever the
 input. Each shard has a BM25 inverted index with the document frequencies of
-all documents. The document that opens a window is the seed; the index returns
-its unused neighbours, which greedily fill the window. The one that doesn't fit
-is cut, and its rest opens the next window as that window's seed. Only the last
-sequence of a shard is padded.
+all documents. The document that opens a window is the seed; all its terms are
+scored, and the index returns its best unused neighbours, which greedily fill the
+window. The one that doesn't fit is cut, and its rest opens the next window as
+that window's seed. Only the last sequence of a shard is padded.
 
 Defined results: a null or empty text is its end id alone; repeated rows are
 documents of their own; a null doc_id is kept as null. Empty input gives no rows.
@@ -30,9 +30,13 @@ WINDOW = 2048
 #: Hashed lexical terms: the length of the table of document frequencies.
 TERMS = 1 << 18
 SHARD_DOCS, SHARD_BYTES = 4096, 24 << 20
-#: Terms of a seed that are looked up, and neighbours fetched at a time.
-QUERY_TERMS, NEIGHBOURS = 12, 16
+#: Neighbours fetched at a time.
+NEIGHBOURS = 16
+#: A term that more than one in DENSE documents of a shard hold is a row of a table, all others are lists.
+DENSE = 8
 K1, B = 1.2, 0.75
+#: Weights are whole multiples of 1 / GRAIN, so that sums are exact in any order and equal documents tie.
+GRAIN = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -81,34 +85,50 @@ class Index:
         sizes = np.asarray([len(t) for t, _ in bags], dtype=np.int64)
         docs = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         terms = np.concatenate([t for t, _ in bags]) if bags else np.zeros(0, np.int64)
-        tf = np.concatenate([c for _, c in bags]).astype(np.float32) if bags else np.zeros(0, np.float32)
-        length = np.asarray([c.sum() for _, c in bags], dtype=np.float32)
+        tf = np.concatenate([c for _, c in bags]).astype(np.float64) if bags else np.zeros(0)
+        length = np.asarray([c.sum() for _, c in bags], dtype=np.float64)
         norm = K1 * (1 - B + B * length / max(mean, 1e-9))
-        weight = idf[terms] * tf * (K1 + 1) / (tf + norm[docs])
-        self.queries = []
-        for end, size in zip(np.cumsum(sizes), sizes, strict=True):
-            w, t = weight[end - size : end], terms[end - size : end]
-            self.queries.append(t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]] if size > QUERY_TERMS else t)
+        weight = np.rint(idf[terms] * tf * (K1 + 1) / (tf + norm[docs]) * GRAIN) / GRAIN
         order = np.argsort(terms, kind="stable")
-        self.docs, self.weight = docs[order], weight[order]
-        self.terms, self.starts = np.unique(terms[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(terms))
+        self.docs, self.weight, terms = docs[order], weight[order], terms[order]
+        new = np.append(True, terms[1:] != terms[:-1])[: len(terms)]
+        number = np.cumsum(new) - 1
+        self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.starts, len(terms)))
+        held = np.empty(len(terms), dtype=np.int64)
+        held[order] = number
+        self.queries = np.split(held, np.cumsum(sizes)[:-1])
+        common = self.sizes * DENSE > self.n
+        self.rows = np.where(common, np.cumsum(common) - 1, -1)
+        self.table = np.zeros((int(common.sum()), self.n))
+        at = common[number]
+        self.table[self.rows[number[at]], self.docs[at]] = self.weight[at]
+        self.last: tuple[int, np.ndarray] = (-1, np.zeros(0))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for all terms of the seed."""
+        if self.last[0] != seed:
+            query = self.queries[seed]
+            rows = self.rows[query]
+            query = query[rows < 0]
+            sizes = self.sizes[query]
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.starts[query] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+            found = np.bincount(self.docs[at], self.weight[at], minlength=self.n).astype(np.float64, copy=False)
+            for row in rows[rows >= 0]:
+                found += self.table[row]
+            self.last = (seed, found)
+        return self.last[1]
 
     def neighbours(self, seed: int, unused: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
         """Up to k unused documents that share a term with the seed, best first, ties in order."""
-        query = self.queries[seed]
-        if not len(query):
-            return np.zeros(0, dtype=np.int64)
-        at = np.searchsorted(self.terms, query)
-        ranges = [(self.starts[i], self.ends[i]) for i in at]
-        docs = np.concatenate([self.docs[a:b] for a, b in ranges])
-        score = np.bincount(docs, np.concatenate([self.weight[a:b] for a, b in ranges]), minlength=self.n) * unused
+        score = self.scores(seed) * unused
         if np.count_nonzero(score) > k:
-            best = np.argpartition(-score, k)[:k]
+            least = np.partition(score, self.n - k)[self.n - k]
+            best = np.flatnonzero(score >= least)
         else:
             best = np.flatnonzero(score)
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        return best[np.lexsort((best, -score[best]))][:k]
 
 
 def order(index: Index, lengths: np.ndarray, window: int) -> list[int]:

@@ -132,6 +132,29 @@ def test_retrieval_prefers_shared_words():
     assert index.neighbours(0, np.array([False, True, True])).tolist() == [2]
 
 
+def test_retrieval_is_exact_on_documents_of_many_words():
+    rng = np.random.default_rng(3)
+    bags = []
+    for i in range(300):  # each has words of its own, rarer than those that it shares
+        common = np.unique(rng.integers(0, 400, int(rng.integers(30, 200))))
+        terms = np.concatenate([common, 1000 + 20 * i + np.arange(20)])
+        bags.append((terms, rng.integers(1, 5, len(terms))))
+    bags += [bags[7], (np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    df = np.bincount(np.concatenate([t for t, _ in bags]), minlength=1 << 13)
+    idf = np.log1p((len(bags) - df + 0.5) / (df + 0.5))
+    mean = float(np.mean([c.sum() for _, c in bags]))
+    weights = []
+    for t, c in bags:
+        norm = packing.K1 * (1 - packing.B + packing.B * c.sum() / mean)
+        weights.append(dict(zip(t.tolist(), np.rint(idf[t] * c * (packing.K1 + 1) / (c + norm) * packing.GRAIN) / packing.GRAIN, strict=True)))
+    index = packing.Index(bags, idf, mean)
+    unused = rng.random(len(bags)) < 0.8
+    for seed in range(len(bags)):
+        scores = [sum(w.get(t, 0.0) for t in weights[seed]) for w in weights]
+        want = sorted((-s, j) for j, s in enumerate(scores) if s > 0 and unused[j])[: packing.NEIGHBOURS]
+        assert index.neighbours(seed, unused).tolist() == [j for _, j in want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from(list("ab é\n\t '.1%ñ<|>")), max_size=40))
 def test_pieces_encode_as_the_tokenizer_does(text):
