@@ -85,6 +85,19 @@ def gamma_cdf(shape: float, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _gamma(mean: float, mean_positive: float, mean_log: float) -> tuple[float, float]:
+    """Shape, 1 at least, and scale."""
+    s = max(1e-12, math.log(mean_positive) - mean_log)
+    shape = max(1.0, (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s))
+    return shape, mean / shape
+
+
+def _density(shape: float, scale: float, mean: float, gamma: bool):
+    if gamma:
+        return (lambda x: math.exp((shape - 1) * math.log(x) - x / scale - math.lgamma(shape) - shape * math.log(scale)) if x > 0 else (1 / scale if shape == 1 else 0.0)), 2
+    return (lambda x: math.exp(-x / mean) / mean), 2
+
+
 def fit_pdf(data: np.ndarray):
     """(density, number of parameters) of the better of gamma (shape at least 1) and exponential by the KS distance."""
     data = np.sort(np.asarray(data, dtype=float))
@@ -92,11 +105,33 @@ def fit_pdf(data: np.ndarray):
     if not len(positive):
         return (lambda x: 1e10), 0
     mean = data.mean()
-    s = max(1e-12, math.log(positive.mean()) - np.log(positive).mean())
-    shape = max(1.0, (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s))
-    scale = mean / shape
+    shape, scale = _gamma(mean, positive.mean(), np.log(positive).mean())
     steps = np.arange(1, len(data) + 1) / len(data)
     ks = lambda cdf: max(np.abs(cdf - steps).max(), np.abs(cdf - steps + 1 / len(data)).max())
-    if ks(gamma_cdf(shape, data / scale)) <= ks(1 - np.exp(-data / mean)):
-        return (lambda x: math.exp((shape - 1) * math.log(x) - x / scale - math.lgamma(shape) - shape * math.log(scale)) if x > 0 else (1 / scale if shape == 1 else 0.0)), 2
-    return (lambda x: math.exp(-x / mean) / mean), 2
+    return _density(shape, scale, mean, ks(gamma_cdf(shape, data / scale)) <= ks(1 - np.exp(-data / mean)))
+
+
+def fit_pdf_of(df: DataFrame, x: Column):
+    """fit_pdf of a column, nulls left out: moments by aggregation, KS distances by the running count of its values."""
+    from ..operators.ordered import scan
+
+    counts = df.select(x.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = scan(counts, "n", "x", name="upto")
+    positive = F.col("x") > 0
+    sums = [F.sum("n"), F.sum(F.col("x") * F.col("n")), F.sum(F.when(positive, F.col("n"))), F.sum(F.when(positive, F.col("x") * F.col("n"))), F.sum(F.when(positive, F.log("x") * F.col("n")))]
+    n, total, n_positive, total_positive, logs = ranked.agg(*sums).first()
+    if not n_positive:
+        return (lambda x: 1e10), 0
+    mean = total / n
+    shape, scale = _gamma(mean, total_positive / n_positive, logs / n_positive)
+
+    def distances(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            v, upto, count = (pdf[c].to_numpy() for c in ("x", "upto", "n"))
+            far = [np.maximum(np.abs(cdf - upto / n), np.abs(cdf - (upto - count) / n)).max(initial=0.0) for cdf in (gamma_cdf(shape, v / scale), 1 - np.exp(-v / mean))]
+            yield pd.DataFrame([far], columns=["g", "e"])
+
+    far = ranked.select("x", "n", "upto").mapInPandas(distances, "g double, e double").agg(F.max("g"), F.max("e")).first()
+    return _density(shape, scale, mean, far[0] <= far[1])

@@ -264,8 +264,7 @@ def _(t, spark, d):
 
 @query("a19_fit_pdf")
 def _(t, spark, d):
-    rows = [r[0] for r in t("events").select("value").where("value is not null").orderBy("event_id").limit(1000).collect()]
-    density_at, parameters = stats.fit_pdf([abs(x) for x in rows])
+    density_at, parameters = stats.fit_pdf_of(t("events"), F.abs("value"))
     return spark.createDataFrame([(parameters, float(density_at(1.0)))], "parameters int, density double")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions import arrays, jsonx, stats, text, timeutil
 from shoal.functions.features import FeatureSpec, IndexFunction, InvertibleIndexFunction, OneHotModel
+from shoal.queries import QUERIES
 
 
 def one(spark, column, **values):
@@ -66,6 +68,18 @@ def test_permutation_p(spark):
     assert stats.permutation_p(df, "x", "y", 100, 1234) == 0.0
 
 
+@pytest.mark.parametrize("shape", [1, 4])
+def test_fit_pdf_reads_all_rows(spark, tmp_path, shape):
+    rng = np.random.default_rng(shape)
+    values = [*np.full(1000, 7.5), *np.round(rng.gamma(shape, 3.0, 4000), 2)]  # the first 1,000 rows are unlike the rest
+    rows = [(i, float(v) * (-1) ** i) for i, v in enumerate(values)] + [(9999, None)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    density, parameters = stats.fit_pdf(values)
+    got = QUERIES["a19_fit_pdf"](spark, str(tmp_path)).first()
+    assert got.parameters == parameters and got.density == pytest.approx(density(1.0), rel=1e-9)
+    assert stats.fit_pdf_of(spark.createDataFrame([(0.0,), (None,)], "v double"), F.col("v"))[1] == 0
+
+
 @given(st.lists(st.integers(), max_size=5), st.lists(st.integers(), max_size=5), st.lists(st.integers(), max_size=5))
 def test_index_function_laws(a, b, c):
     a, b, c = (IndexFunction.of(*x) for x in (a, b, c))
