@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at . ! ? and line ends; a sentence of more than
-LONG words is cut on, after a comma once it has SHORT words and after LONG words
-at the latest. From every sentence the run of consecutive sentences that has at
+LONG words is cut on after every word whose hash is the least of some NEAR
+consecutive words of it. These places depend on the words alone, so a passage that
+repeats inside long sentences is cut alike but for NEAR - 1 words at its ends, and
+one of over 50 words holds a whole run. From every sentence the run of consecutive sentences that has at
 least RUN sentences and WORDS words is hashed. Hashes are joined globally; of a
 repeated span the first occurrence (smallest doc_id, then position) stays, and
 sentences covered by any other occurrence are removed.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +28,35 @@ from pyspark.sql import functions as F
 
 from ._common import keyed, small_batches, stash
 
-RUN, WORDS, SHORT, LONG = 3, 24, 4, 12
+RUN, WORDS, LONG, NEAR = 3, 24, 12, 7
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+_WORD = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Places after the words of least hash among NEAR consecutive ones, the last of equals."""
+    h = [zlib.crc32(w.encode("utf-8", "surrogatepass").strip()) for w in words]
+    out, low = [], 0
+    for i in range(len(h)):
+        if h[i] <= h[low]:
+            low = i
+        elif i - low >= NEAR:
+            low = min(range(i, i - NEAR, -1), key=h.__getitem__)
+        if i >= NEAR - 1 and (not out or out[-1] != low + 1):
+            out.append(low + 1)
+    return out
 
 
 def sentences(text: str) -> list[str]:
     """Consecutive parts of text; together they are the text."""
     out = []
     for sentence in _SENTENCE.findall(text):
-        if sentence.count(" ") < LONG:
+        words = _WORD.findall(sentence) if len(sentence) > 2 * LONG else []
+        if len(words) <= LONG:
             out.append(sentence)
             continue
-        part, n = "", 0
-        for word in _WORD.findall(sentence) or [sentence]:
-            part, n = part + word, n + 1
-            if n >= LONG or n >= SHORT and word.rstrip()[-1] == ",":
-                out.append(part)
-                part, n = "", 0
-        if part:
-            out.append(part)
+        places = cuts(words)
+        out += ["".join(words[a:b]) for a, b in zip([0, *places], [*places, len(words)], strict=True) if a < b]
     return out
 
 

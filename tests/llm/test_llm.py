@@ -238,6 +238,18 @@ def test_spans(docs, none):
     assert spans.remove_repeats(docs).count() == docs.count() and spans.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("ends", ["", ",", ",.", ". "])
+def test_passages_are_found_wherever_they_start(ends):
+    rng = np.random.default_rng(5)
+    make = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    for _ in range(200):
+        passage = [w + (str(rng.choice(list(ends))) if ends and rng.random() < 0.15 else "") for w in make(51)]
+        texts = {i: " ".join([*make(int(rng.integers(0, 40))), *passage, *make(int(rng.integers(0, 40)))]) for i in range(2)}
+        assert spans.brute_force(texts)[1]
+    text = " \t" + "\t".join(make(60))
+    assert "".join(spans.sentences(text)) == text and len(spans.sentences(text)) > 1
+
+
 def naive_components(rows, k):
     sets = []
     for _, t in rows:
