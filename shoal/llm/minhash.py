@@ -61,9 +61,9 @@ def shingles_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def _probes() -> np.ndarray:
-    """For each attempt the bucket from which each bucket borrows."""
-    grid = np.arange(64 * REGISTERS, dtype=np.uint64)
-    return (mix(grid, 77) % np.uint64(REGISTERS)).astype(np.int64).reshape(64, REGISTERS)
+    """For each bucket the place of every bucket in the order, a permutation of all, in which it asks them for a register."""
+    grid = mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64), 77).reshape(REGISTERS, REGISTERS)
+    return grid.argsort(axis=1).argsort(axis=1).astype(np.uint8)
 
 
 _PROBES = _probes()
@@ -82,13 +82,8 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     out = np.full(REGISTERS, _EMPTY, dtype=np.uint16)
     out[full] = (zeros.astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
     if not full.all():
-        kept = out.copy()
-        for probe in _PROBES:
-            empty = np.flatnonzero(out == _EMPTY)
-            if not len(empty):
-                break
-            out[empty] = kept[probe[empty]]
-        out[out == _EMPTY] = kept[full][0]
+        lent = np.flatnonzero(full)
+        out[~full] = out[lent[_PROBES[~full][:, lent].argmin(axis=1)]]
     return out
 
 

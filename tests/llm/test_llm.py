@@ -316,6 +316,19 @@ def test_estimate_corrects_for_chance():
     assert 0 < minhash.chance(n, n)[0] < 1e-2 and minhash.estimate(np.array([0]), n, n)[0] == 0
 
 
+@pytest.mark.parametrize("more, fewer", [(5, 4), (6, 5), (10, 8)])
+def test_small_sets_share_a_band(more, fewer):
+    rng = np.random.default_rng(more)
+    n = minhash.REGISTERS // minhash.BAND_ROWS * minhash.BAND_ROWS
+    missed = 0
+    for _ in range(3000):
+        h = rng.integers(0, 1 << 64, more, dtype=np.uint64)
+        a, b = (minhash.registers(np.sort(x))[:n].reshape(-1, minhash.BAND_ROWS) for x in (h, h[:fewer]))
+        missed += not (a == b).all(axis=1).any()
+    assert missed == 0
+    assert (minhash.registers(h[:1]) == minhash.registers(h[:1])[0]).all()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
