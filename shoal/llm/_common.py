@@ -14,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """URI of a new folder below the shared folder named in spark.checkpoint.dir."""
+    """URI of a new folder below the shared folder named in spark.checkpoint.dir, which only a local session may leave unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.gettempdir() + "/shoal-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/shoal-{uuid.uuid4().hex}"
@@ -30,19 +32,55 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stashed tables whose readers have all been written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], times: str, share: int = 1000) -> DataFrame:
+    """left joined with right, a stashed table of one row per key whose column times counts the rows of left.
+
+    Keys of more than one in share of all these rows, fewer than share by
+    arithmetic, are broadcast, so that no task is given all rows of a hot key;
+    the others are shuffled.
+    """
+    total = right.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) * share > total
+    few = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot), on)
+    return left.join(few, on).unionByName(rest)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like names that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows that an Arrow batch to or from Python holds."""
+    """Bound the rows that an Arrow batch to or from Python holds; a session setting, since plans read it when they run."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def doc_key(doc_id: Column, text: Column) -> Column:
-    """Surrogate key: rows alike in both doc_id and text share it, null or not."""
-    return F.xxhash64(doc_id.cast("string"), doc_id.isNull(), F.coalesce(text, F.lit("")), text.isNull())
+    """Surrogate key of 128 bits: rows alike in both doc_id and text share it, null or not."""
+    halves = [F.xxhash64(F.lit(i), doc_id.cast("string"), doc_id.isNull(), F.coalesce(text, F.lit("")), text.isNull()) for i in (1, 2)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

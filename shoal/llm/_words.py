@@ -78,8 +78,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
-def stretches(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, bytes, offsets) of consecutive texts of about STRETCH bytes; nulls are empty."""
+def stretches(column: pa.Array, size: int = STRETCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, offsets) of consecutive texts of about size bytes; nulls are empty."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     n = len(column)
     if not n:
@@ -89,7 +89,7 @@ def stretches(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STRETCH, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         last = min(last, n)
         yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last

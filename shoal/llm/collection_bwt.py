@@ -1,84 +1,207 @@
 """Burrows-Wheeler transform and common prefixes of a collection, column by column.
 
-Strings are inserted from their last symbol to their first, one symbol of each
-string a round. A round reads the transform in order, counts for every string
-where its suffix, one symbol longer, belongs (the symbols less than it, and its
-equals before its place), and writes transform, common prefixes and suffix
-numbers anew in one sequential pass. The passes run over arrays that stand for
-the external files: a batch of strings is bounded, and a task may not count on a
-folder of its machine.
+The strings are written as columns, the last symbols of all strings first. Round
+by round one more symbol of each string is inserted. A round reads the files of
+the one before in order, block by block, and finds for every string where its
+suffix, one symbol longer, belongs (the symbols less than it, and its equals
+before its place) and what it has in common with its new neighbours; a second
+pass in order merges the new rows in and writes the files anew. In memory are a
+block, one number per symbol and three per string.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 
+BLOCK = 1 << 20
+#: A row of the files: the symbol before the suffix, the weight it has in common with the suffix before it, and whose suffix of how many symbols it is.
+ROW = [("symbol", np.uint16), ("prefix", np.uint16), ("owner", np.uint32), ("depth", np.uint16)]
+_FAR = np.int64(1) << 40
+
+
+class Folder:
+    """Sequential files in a folder of any file system that the cluster shares."""
+
+    def __init__(self, uri: str):
+        from pyarrow import fs
+
+        self.files, self.path = fs.FileSystem.from_uri(uri)
+        self.files.create_dir(self.path, recursive=True)
+
+    def write(self, name: str, blocks) -> None:
+        with self.files.open_output_stream(f"{self.path}/{name}", compression=None) as f:
+            for block in blocks:
+                f.write(np.array([len(block[0])], dtype=np.int64).tobytes())
+                for column in block:
+                    f.write(memoryview(np.ascontiguousarray(column)).cast("B"))
+
+    def read(self, name: str, kinds):
+        with self.files.open_input_stream(f"{self.path}/{name}", compression=None) as f:
+            while head := f.read(8):
+                n = int(np.frombuffer(head, dtype=np.int64)[0])
+                yield [np.frombuffer(f.read(n * np.dtype(k).itemsize), dtype=k) for k in kinds]
+
+    def remove(self, name: str | None = None) -> None:
+        with contextlib.suppress(FileNotFoundError):
+            if name is None:
+                self.files.delete_dir(self.path)
+            else:
+                self.files.delete_file(f"{self.path}/{name}")
+
 
 def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(x[lo:hi]) of each range, lo < hi."""
     if not len(lo):
-        return np.zeros(0, dtype=x.dtype)
+        return np.zeros(0, dtype=np.int64)
     order = np.argsort(lo, kind="stable")
     at = np.empty(2 * len(lo), dtype=np.int64)
     at[0::2], at[1::2] = lo[order], hi[order]
-    out = np.empty(len(lo), dtype=x.dtype)
+    out = np.empty(len(lo), dtype=np.int64)
     out[order] = np.minimum.reduceat(np.append(x, x.dtype.type(0)), at)[0::2]
     return out
 
 
-def transform(strings: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, prefixes, string, depth) of all suffixes in sorted order.
+class _Taker:
+    """The rows of a file, as many at a time as asked for."""
+
+    def __init__(self, blocks, kinds):
+        self.blocks, self.held, self.kinds = blocks, None, kinds
+
+    def take(self, n: int) -> list[np.ndarray]:
+        parts = []
+        while n > 0:
+            if self.held is None or not len(self.held[0]):
+                self.held = next(self.blocks)
+            parts.append([c[:n] for c in self.held])
+            self.held = [c[n:] for c in self.held]
+            n -= len(parts[-1][0])
+        if len(parts) == 1:
+            return parts[0]
+        return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(self.kinds)]
+
+
+def _places(blocks, place: np.ndarray, alphabet: int) -> tuple[np.ndarray, ...]:
+    """First pass, for the strings at place (ascending): symbol, equals before it, common weights with the equal before and after it (-1: none), and the count of each symbol."""
+    n = len(place)
+    symbol, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    own, follow = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    seen = np.zeros(alphabet, np.int64)
+    since = np.full(alphabet, _FAR)  # least prefix after a symbol's last row so far
+    open_, after = np.full(alphabet, -1, np.int64), np.full(alphabet, _FAR)  # string that waits for the next row of its symbol, least prefix after it
+    base = first = 0
+    for x, p in blocks:
+        m = len(x)
+        last = int(np.searchsorted(place, base + m))
+        a = place[first:last] - base
+        order = np.argsort(x, kind="stable")
+        rank = np.empty(m, dtype=np.int64)
+        rank[order] = np.arange(m)
+        line = x[order]
+        starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        kinds = line[starts].astype(np.int64)
+        ends = np.append(starts[1:], m)
+        group = np.zeros(alphabet, np.int64)
+        group[kinds] = np.arange(len(kinds))
+        upto = np.minimum.accumulate(p).astype(np.int64)
+        onward = np.append(np.minimum.accumulate(p[::-1])[::-1].astype(np.int64), _FAR)
+        # strings of earlier blocks whose symbol comes again
+        waiting = np.flatnonzero(open_[kinds] >= 0)
+        c = kinds[waiting]
+        follow[open_[c]] = np.minimum(after[c], upto[order[starts[waiting]]])
+        open_[c] = -1
+        c = x[a].astype(np.int64)
+        r, g = rank[a], group[c]
+        symbol[first:last], before[first:last] = c, seen[c] + r - starts[g]
+        inside = r > starts[g]
+        mine = own[first:last]
+        mine[inside] = _range_min(p, order[r[inside] - 1] + 1, a[inside] + 1)
+        across = ~inside & (seen[c] > 0)
+        mine[across] = np.minimum(since[c[across]], upto[a[across]])
+        inside = r + 1 < ends[g]
+        mine = follow[first:last]
+        mine[inside] = _range_min(p, a[inside] + 1, order[r[inside] + 1] + 1)
+        since, after = np.minimum(since, onward[0]), np.minimum(after, onward[0])
+        since[kinds] = onward[order[ends - 1] + 1]
+        seen[kinds] += ends - starts
+        waits = np.flatnonzero(~inside)
+        open_[c[waits]], after[c[waits]] = first + waits, onward[a[waits] + 1]
+        base, first = base + m, last
+    return symbol, before, own, follow, seen
+
+
+def _merged(taker: _Taker, total: int, target: np.ndarray, rows: list[np.ndarray], late: np.ndarray, late_prefix: np.ndarray, block: int):
+    """Second pass: the old rows with the new ones at target, and the prefixes of the rows at late set anew."""
+    for base in range(0, total, block):
+        m = min(block, total - base)
+        a, b = np.searchsorted(target, (base, base + m))
+        at = target[a:b] - base
+        old = np.ones(m, dtype=bool)
+        old[at] = False
+        held = taker.take(m - len(at))
+        out = []
+        for column, new in zip(held, rows, strict=True):
+            full = np.empty(m, dtype=column.dtype)
+            full[old] = column
+            full[at] = new[a:b]
+            out.append(full)
+        a, b = np.searchsorted(late, (base, base + m))
+        out[1][late[a:b] - base] = late_prefix[a:b]
+        yield out
+
+
+def transform(strings: list[np.ndarray], weights: np.ndarray, folder: Folder, block: int = BLOCK):
+    """Blocks (symbols, prefixes, owner, depth) of all suffixes in sorted order.
 
     strings hold symbols from 1 to 65535. symbols is the transform, with 0 where
-    a string begins; prefixes the weight that a suffix has in common with the
-    one before it (weights: of each symbol); string and depth tell whose suffix
-    it is and of how many symbols. Empty suffixes come first, by string.
+    a string begins; prefixes the weight, below 65536, that a suffix has in
+    common with the one before it (weights: of each symbol); owner and depth
+    tell whose suffix it is and of how many symbols. Empty suffixes come first.
     """
+    kinds = [k for _, k in ROW]
     n = len(strings)
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    ends = np.cumsum(lengths)
+    longest = int(lengths.max()) if n else 0
     flat = np.concatenate(strings).astype(np.uint16) if n else np.zeros(0, np.uint16)
-    symbols = np.zeros(n, dtype=np.uint16)
-    prefixes = np.zeros(n, dtype=np.int32)
-    owner, depth = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-    active = np.flatnonzero(lengths)
-    symbols[active] = flat[ends[active] - 1]
-    place = active.copy()  # of each active string's suffix
-    done = 0
+    ends = np.cumsum(lengths)
+    for d in range(longest):
+        folder.write(f"column-{d}", [[flat[ends[lengths > d] - 1 - d]]])
+    del flat
+    alphabet = len(weights)
+    weights = weights.astype(np.int64)
+
+    def column(d: int, owner: np.ndarray) -> np.ndarray:
+        """The symbols that come before the suffixes of d symbols, 0 where there is none."""
+        out = np.zeros(n, dtype=np.uint16)
+        if d < longest:
+            out[lengths > d] = next(folder.read(f"column-{d}", [np.uint16]))[0]
+            folder.remove(f"column-{d}")
+        return out[owner]
+
+    everyone = np.arange(n)
+    first = [column(0, everyone), np.zeros(n, np.uint16), everyone.astype(np.uint32), np.zeros(n, np.uint16)]
+    folder.write("round-0", ([c[a : a + block] for c in first] for a in range(0, n, block)))
+    active = place = np.flatnonzero(lengths)
+    total, done = n, 0
     while len(active):
+        files = folder.read(f"round-{done}", kinds)
+        symbol, before, own, follow, seen = _places(((b[0], b[1]) for b in files), place, alphabet)
+        less = np.cumsum(seen) - seen
+        target = n + less[symbol] - seen[0] + before
+        own = np.where(own >= 0, own + weights[symbol], 0)
+        has = follow >= 0
+        late, late_prefix = target[has] + 1, follow[has] + weights[symbol[has]]
+        order = np.argsort(target, kind="stable")
+        active, target, own = active[order], target[order], own[order]
         done += 1
-        order = np.argsort(symbols, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        blanks = int(np.count_nonzero(symbols == 0))
-        mine = rank[place]
-        target = n + mine - blanks
-        c = symbols[place]
-        # the equals next to it, before and after
-        before = order[np.maximum(mine - 1, 0)]
-        has = (mine > blanks) & (symbols[before] == c)
-        own = np.zeros(len(active), dtype=np.int32)
-        own[has] = _range_min(prefixes, before[has] + 1, place[has] + 1) + weights[c[has]]
-        after = order[np.minimum(mine + 1, len(order) - 1)]
-        next_has = (mine + 1 < len(order)) & (symbols[after] == c)
-        follow = _range_min(prefixes, place[next_has] + 1, after[next_has] + 1) + weights[c[next_has]]
-        # one sequential pass writes each file anew
-        fresh = np.zeros(len(symbols) + len(active), dtype=bool)
-        fresh[target] = True
-        rest = ~fresh
-
-        def written(old, new, fresh=fresh, rest=rest, target=target):
-            out = np.empty(len(fresh), dtype=old.dtype)
-            out[rest] = old
-            out[target] = new
-            return out
-
+        rows = [column(done, active), own.astype(np.uint16), active.astype(np.uint32), np.full(len(active), done, np.uint16)]
+        by = np.argsort(late, kind="stable")
+        total += len(active)
+        taker = _Taker(folder.read(f"round-{done - 1}", kinds), kinds)
+        folder.write(f"round-{done}", _merged(taker, total, target, rows, late[by], late_prefix[by].astype(np.uint16), block))
+        folder.remove(f"round-{done - 1}")
         left = lengths[active] > done
-        coming = np.zeros(len(active), dtype=np.uint16)
-        coming[left] = flat[ends[active[left]] - 1 - done]
-        symbols = written(symbols, coming)
-        prefixes = written(prefixes, own)
-        prefixes[target[next_has] + 1] = follow
-        owner, depth = written(owner, active.astype(np.int32)), written(depth, np.int32(done))
         active, place = active[left], target[left]
-    return symbols, prefixes, owner, depth
+    yield from folder.read(f"round-{done}", kinds)
+    folder.remove(f"round-{done}")

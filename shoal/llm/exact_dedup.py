@@ -1,14 +1,21 @@
 """Exact dedup by two-pass Bloom filtering, with DataFrame functions only.
 
-The first pass counts hash positions and keeps, as a bitmap, those hit at least
-twice; the second tests every row against the bitmap. Only rows whose positions
-were all hit twice can have a copy: they alone are shuffled by digest. All other
-rows pass straight through as groups of one.
+The first pass counts hash positions, one number a row, and keeps as a bitmap
+those hit at least twice; the second tests every row against the bitmap. Only
+rows whose position was hit twice can have a copy: they alone are shuffled by
+digest. All other rows pass straight through as groups of one. The bitmap is
+broadcast in pieces of a bounded size; when there are several, digests are
+written by piece, without a shuffle, and each meets its own piece.
+
+Positions are counted as numbers, not merged as one bitmap per partition: a
+partition sets at most one bit a row, which as a number takes eight bytes, while
+its bitmap would take as many bits as all rows of the table need.
 
 Defined results: null text counts as empty; texts equal after deleting ASCII
 white space are copies; of copies the one with most code points, then smallest
 doc_id (null last), then first row stays, so that of repeated rows one stays.
-Columns other than the id and the text play no part; empty input gives no rows.
+Columns other than the id and the text play no part, whatever their names; empty
+input gives no rows.
 """
 
 from __future__ import annotations
@@ -16,12 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, stash
-
-#: Positions a bitmap of bitmap_construct_agg holds.
-BITS = 32768
-#: Filters up to this size are broadcast; larger ones are joined by bucket.
-BROADCAST_BYTES = 32 << 20
+from . import bitmaps
+from ._common import ASCII_SPACE, join_hot, stash, unused
 
 
 def normalised(text: Column) -> Column:
@@ -32,57 +35,70 @@ def digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def _test(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, int(bit & 7))")) != 0, F.lit(False))
+def _points(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def repeated_filter(hashes: DataFrame, positions: list[Column]) -> DataFrame:
+def repeated(hashes: DataFrame, hashed: Column, size: int) -> DataFrame:
     """First pass: (bucket, bitmap) of the positions that two rows or more hit."""
-    twice = hashes.select(F.explode(F.array(*positions)).alias("pos")).groupBy("pos").count().where("count > 1")
-    return twice.groupBy(F.shiftright("pos", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("pos").bitwiseAND(F.lit(BITS - 1))).alias("bitmap"))
+    twice = hashes.select(bitmaps.position(hashed, size).alias("pos")).groupBy("pos").count().where("count > 1")
+    return stash(bitmaps.built(twice), "filter")
+
+
+def _first(doc_id: str, points: str, rid: str) -> Column:
+    """The row that stays."""
+    return F.min(F.struct((-F.col(points)).alias("o"), F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"))).alias("first")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = bitmaps.BITS_PER_ROW, piece_bytes: int = bitmaps.PIECE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_points."""
     text = docs[text_col]
-    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), digest(text).alias("text_sha256"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_points"))
+    narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), digest(text).alias("text_sha256"), _points(text).alias("n_points"))
     narrow = stash(narrow.withColumn("rid", F.monotonically_increasing_id()), "digests")
-    rows = narrow.count()
-    size = BITS
-    while size < rows * bits_per_row:
-        size *= 2
-    positions = [F.pmod(F.xxhash64(F.col("text_sha256"), F.lit(i)), F.lit(size)) for i in (0, 1)]
-    seen = stash(repeated_filter(narrow, positions), "filter")
-    small = seen.count() * (BITS // 8) <= BROADCAST_BYTES
-    tested = narrow
-    for i, pos in enumerate(positions):
-        one = seen.select(F.col("bucket").alias(f"b{i}"), F.col("bitmap").alias(f"m{i}"))
-        tested = tested.withColumn(f"p{i}", pos).withColumn(f"b{i}", F.shiftright(f"p{i}", 15))
-        tested = tested.join(F.broadcast(one) if small else one, f"b{i}", "left")
-        tested = tested.withColumn("bit", F.col(f"p{i}").bitwiseAND(F.lit(BITS - 1)))
-        tested = tested.withColumn(f"h{i}", _test(F.col(f"m{i}"), F.col("bit"))).drop(f"m{i}", f"b{i}", f"p{i}", "bit")
-    maybe = F.col("h0") & F.col("h1")
-    alone = tested.where(~maybe).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points")
-    hits = tested.where(maybe).select("doc_id", "text_sha256", "n_points", "rid")
-    first = F.min(F.struct((-F.col("n_points")).alias("o"), F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("rid"))).alias("first")
-    groups = hits.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first)
-    groups = groups.select("text_sha256", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid"))
-    grouped = hits.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "n_points")
+    size = bitmaps.positions_for(narrow.count(), bits_per_row)
+    hashed = F.xxhash64("text_sha256")
+    pos, several = bitmaps.position(hashed, size), bitmaps.pieces(size, piece_bytes)
+    seen = repeated(narrow, hashed, size)
+    if several == 1:
+        tested = bitmaps.tested(narrow, seen, pos, "maybe")
+    else:
+        path = narrow._stashed_at + "-pieces"
+        narrow.withColumn("piece", bitmaps.piece_of(pos, size, piece_bytes)).write.partitionBy("piece").parquet(path)
+        by_piece = docs.sparkSession.read.parquet(path)
+        parts = [(by_piece.where(F.col("piece") == i).drop("piece"), seen.where(bitmaps.piece_of(F.col("bucket") * bitmaps.BITS, size, piece_bytes) == i)) for i in range(several)]
+        tested = bitmaps.tested(*parts[0], pos, "maybe")
+        for rows, members in parts[1:]:
+            tested = tested.unionByName(bitmaps.tested(rows, members, pos, "maybe"))
+    alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_points")
+    hits = tested.where("maybe").select("doc_id", "text_sha256", "n_points", "rid")
+    groups = hits.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), _first("doc_id", "n_points", "rid"))
+    groups = stash(groups.select("text_sha256", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid")), "groups")
+    grouped = join_hot(hits, groups, ["text_sha256"], "group_size").select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "n_points")
     return alone.unionByName(grouped)
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that copies() drops, all columns kept."""
-    found = stash(copies(docs, id_col, text_col), "copies")
-    keys = ["doc_id", "text_sha256", "n_points"]
-    gone = found.where("not kept").select(keys).distinct()
-    again = gone.join(found.where("kept").select([F.col(k).alias(f"k_{k}") for k in keys]), [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys], "left_semi")
-    own = [docs[id_col].cast("long"), digest(docs[text_col]), F.length(F.coalesce(docs[text_col], F.lit(""))).cast("long")]
-    match = lambda right: [a.eqNullSafe(right[k]) for a, k in zip(own, keys, strict=True)]
-    rest = docs.join(gone, match(gone), "left_anti")
-    once = docs.join(again, match(again), "left_semi").dropDuplicates([id_col, text_col])
-    return rest.unionByName(once)
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = bitmaps.BITS_PER_ROW, piece_bytes: int = bitmaps.PIECE_BYTES) -> DataFrame:
+    """docs without the rows that copies() drops, all columns kept.
+
+    Rows that can't have a copy pass through; the others are written once, with
+    a number each, and what stays of them is found by digest and joined by number.
+    A filter of more than one piece tests its rows in as many passes over docs.
+    """
+    sha, points, rid, maybe = unused(docs, "text_sha", "points", "rid", "maybe")
+    wide = docs.withColumn(sha, digest(docs[text_col]))
+    hashes = stash(wide.select(F.xxhash64(sha).alias("h")), "hashes")
+    size = bitmaps.positions_for(hashes.count(), bits_per_row)
+    seen, pos = repeated(hashes, F.col("h"), size), bitmaps.position(F.xxhash64(sha), size)
+    tested = None
+    for i in range(bitmaps.pieces(size, piece_bytes)):
+        in_piece = lambda at: bitmaps.piece_of(at, size, piece_bytes) == i  # noqa: B023, E731
+        part = bitmaps.tested(wide.where(in_piece(pos)), seen.where(in_piece(F.col("bucket") * bitmaps.BITS)), pos, maybe)
+        tested = part if tested is None else tested.unionByName(part)
+    hits = tested.where(F.col(maybe)).withColumn(points, _points(F.col(f"`{text_col}`"))).withColumn(rid, F.monotonically_increasing_id())
+    hits = stash(hits, "hits")
+    stay = hits.groupBy(sha).agg(_first(f"`{id_col}`", points, rid)).select(F.col("first.rid").alias(rid))
+    kept = hits.join(stay, rid, "left_semi")
+    return tested.where(~F.col(maybe)).select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def op3_exact_dedup(spark, sf_dir):

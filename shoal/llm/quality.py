@@ -163,7 +163,7 @@ def _scorer(model: FactorisationMachine | None):
 def score(docs: DataFrame, model: FactorisationMachine | None) -> DataFrame:
     """(key, doc_id, score) of every row."""
     small_batches(docs.sparkSession)
-    return keyed(docs).mapInArrow(_scorer(model), "key long, doc_id long, score double")
+    return keyed(docs).mapInArrow(_scorer(model), "key binary, doc_id long, score double")
 
 
 def op10_quality(spark, sf_dir, threshold: float = 0.3):

@@ -1,54 +1,68 @@
 """Substring dedup: every byte covered by a string of LENGTH bytes that starts twice.
 
-1. Every window of LENGTH bytes has an anchor, its least hashed k-gram (the
+Hashes only choose what is looked at; the transform decides what is a repeat.
+
+1. Every window of PASSAGE bytes has an anchor, its least hashed k-gram (the
    leftmost of equals). Equal windows have equal anchors at the same place, so
    that only anchors whose hash occurs twice can hold a repeat. A run is the
-   windows of one anchor; runs of equal content are repeats outright.
-2. Where the runs of an anchor differ, they are cut into units at fixed places
-   from the anchor. All windows of a unit contain its core; units with equal
-   cores form a group, equal units are one string.
-3. The strings of whole groups (bytes before the core, the core as one symbol of
-   its own weight, bytes after it) go through the collection Burrows-Wheeler
-   transform. Suffixes with LENGTH bytes in common with a neighbour are repeats.
-4. Repeats go back to their documents, whose covered bytes are removed.
+   windows of one anchor. Of runs with equal content two occurrences stand for
+   all, so that copies without number cost no more than two.
+2. Runs are cut into units at fixed places from the anchor. All windows of a
+   unit contain its core; units with equal cores form a group.
+3. The units of whole groups are strings (bytes before the core, the core as one
+   symbol of its own weight, bytes after it), two of each kind, and go through
+   the collection Burrows-Wheeler transform, in shards, over sequential files in
+   the shared folder. Suffixes with the length asked in common with a neighbour
+   are repeats. The units of a core with more than GROUP different ones are
+   grouped window by window instead, each window being its own core.
+4. Repeats go back to all occurrences, whose covered bytes are removed.
+
+The same is done for strings of PASSAGE bytes, which are counted, not removed.
+Content, cores and windows are told apart by digests of 128 bits.
 
 Defined results: a null text is empty; texts shorter than LENGTH are kept whole;
 matches never cross texts; repeated rows are documents of their own and remove
-each other; all is judged on the input. Other columns play no part; empty input
-gives no rows.
+each other; all is judged on the input. Other columns play no part, whatever
+their names; empty input gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, small_batches, stash
-from ._words import powers
-from .collection_bwt import transform
+from ._common import join_hot, keyed, release, scratch, small_batches, stash
+from ._words import powers, stretches
+from .collection_bwt import Folder, transform
 from .perfect_hash import mix
 
-LENGTH = 400
+LENGTH, PASSAGE = 400, 240
 #: Bytes of an anchor's k-gram; window starts in a unit.
-GRAM, UNIT = 48, 64
-CORE = LENGTH - UNIT + 1
-#: Positions looked at together, and strings that a transform takes unless one group has more.
-STRETCH, BATCH = 1 << 19, 4096
+GRAM, UNIT = 48, 32
+#: Bytes looked at together; strings of a shard; different strings of a core that go through the transform.
+STRETCH, SHARD, GROUP = 1 << 17, 1 << 14, 1 << 13
 _TABLE = mix(np.arange(256, dtype=np.uint64), 23)
 _POSITION = np.uint64((1 << 20) - 1)
-RUNS = "h long, content long, key long, lo int, n int, off int"
+RUNS = "h long, content binary, key binary, lo int, n int, off int"
+STRING = "kind short, core binary, unit binary"
+
 
+def _digest(*parts: bytes) -> bytes:
+    import xxhash
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * powers(len(data))[0])))
+    return xxhash.xxh3_128_digest(b"".join(parts))
 
 
-def _hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64), salt)
+def _grams(data: np.ndarray) -> np.ndarray:
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * up[:-1])))
+    n = len(data) - GRAM + 1
+    return mix((sums[GRAM:] - sums[:n]) * down[:n], 1)
 
 
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -62,156 +76,222 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(h, content, lo, n, off): anchor hash, content hash, first window, windows and anchor's place in it."""
+def runs(data: np.ndarray, offsets: np.ndarray, passage: int = PASSAGE) -> tuple[np.ndarray, ...]:
+    """(h, lo, n, off) of the runs of windows, none across an offset: anchor hash, first window, windows and anchor's place in it."""
     out = []
-    last = len(data) - LENGTH  # the last window
-    for base in range(0, last + 1, STRETCH):
-        part = data[base : min(len(data), base + STRETCH + LENGTH - 1)]
-        sums = _sums(part)
-        at = np.arange(len(part) - GRAM + 1)
-        grams = _hash(sums, at, at + GRAM, 1)
-        least = _window_min((grams & ~_POSITION) | at.astype(np.uint64), LENGTH - GRAM + 1)
+    for base in range(0, max(1, len(data) - passage + 1), STRETCH):
+        part = data[base : min(len(data), base + STRETCH + passage - 1)]
+        if len(part) < passage:
+            continue
+        grams = _grams(part)
+        least = _window_min((grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64), passage - GRAM + 1)
         anchor = (least & _POSITION).astype(np.int64)
+        ends = offsets[(offsets > base) & (offsets < base + len(part))] - base
+        crossing = np.zeros(len(anchor) + 1, dtype=np.int32)
+        np.add.at(crossing, np.minimum(np.maximum(ends - passage + 1, 0), len(anchor)), 1)
+        np.add.at(crossing, np.minimum(ends, len(anchor)), -1)
+        anchor[np.cumsum(crossing[:-1]) > 0] = -1
         lo = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        hi = np.append(lo[1:], len(anchor))
-        place = anchor[lo]
-        content = mix(_hash(sums, lo, hi - 1 + LENGTH, 2) ^ (place - lo).astype(np.uint64), 3)
-        out.append((grams[place], content, lo + base, hi - lo, place - lo))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.uint64 if i < 2 else np.int64) for i in range(5))
-
-
-def _bytes(text) -> np.ndarray:
-    return np.frombuffer(text.as_buffer(), dtype=np.uint8)
-
-
-def _runner(batches):
-    for batch in batches:
-        found = []
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-            r = runs(_bytes(text))
-            found.append((*r, np.full(len(r[0]), key, dtype=np.int64)))
-        if found:
-            h, content, lo, n, off, key = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key), *[pa.array(x.astype(np.int32)) for x in (lo, n, off)]], ["h", "content", "key", "lo", "n", "off"])
-
-
-def _unit_maker(batches):
-    """Units of each run in a text's list."""
-    kinds = {"core": pa.int64(), "unit": pa.int64(), "h": pa.int64(), "content": pa.int64(), "first": pa.int32(), "n": pa.int32(), "head": pa.binary(), "tail": pa.binary()}
-    for batch in batches:
-        out = {k: [] for k in kinds}
-        for text, marks in zip(batch.column("text"), batch.column("runs"), strict=True):
-            data = _bytes(text)
-            body = data.tobytes()
-            for r in marks.as_py():
-                anchor, lo, hi = r["lo"] + r["off"], r["lo"], r["lo"] + r["n"]
-                # a unit's starts are anchor + UNIT * i .. anchor + UNIT * i + UNIT - 1
-                for i in range((lo - anchor) // UNIT, (hi - 1 - anchor) // UNIT + 1):
-                    base = anchor + UNIT * i
-                    s, e = max(lo, base), min(hi, base + UNIT)
-                    core, tail = base + UNIT - 1, base + LENGTH
-                    digest = hashlib.blake2b(body[core:tail], digest_size=8, salt=(i & 0xFFFF).to_bytes(2, "little")).digest()
-                    head, rest = body[s:core], body[tail : e - 1 + LENGTH]
-                    unit = hashlib.blake2b(digest + len(head).to_bytes(4, "little") + head + rest, digest_size=8).digest()
-                    values = (int.from_bytes(digest, "little", signed=True), int.from_bytes(unit, "little", signed=True), r["h"], r["content"], s - lo, e - s, head, rest)
-                    for k, v in zip(out, values, strict=True):
-                        out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], list(kinds))
-
-
-def covered(groups: np.ndarray, heads: list[bytes], tails: list[bytes]) -> list[tuple[int, int]]:
-    """(string, window) of each window that occurs twice; strings of equal core are of one group."""
-    _, group = np.unique(groups, return_inverse=True)
-    weights = np.ones(257 + (int(group.max()) + 1 if len(group) else 0), dtype=np.int32)
-    weights[257:] = CORE
-    symbols = lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.uint16) + 1
-    strings = [np.concatenate((symbols(a), [np.uint16(257 + g)], symbols(b))).astype(np.uint16) for a, g, b in zip(heads, group, tails, strict=True)]
-    _, prefixes, owner, depth = transform(strings, weights)
-    twice = prefixes >= LENGTH
-    either = twice.copy()
-    either[:-1] |= twice[1:]
-    at = np.flatnonzero(either)
-    sizes = np.array([len(s) for s in strings])
-    return sorted(zip(owner[at].tolist(), (sizes[owner[at]] - depth[at]).tolist(), strict=True))
-
-
-def _transformer(batches):
-    """Whole groups, whose rows follow one another, go through the transform in batches."""
+        n = np.diff(np.append(lo, len(anchor)))
+        good = anchor[lo] >= 0
+        lo, n = lo[good], n[good]
+        out.append((grams[anchor[lo]], lo + base, n, anchor[lo] - lo))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.uint64 if i < 1 else np.int64) for i in range(4))
+
+
+def _runner(length: int, passage: int):
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            keys = batch.column("key")
+            for first, data, offsets in stretches(batch.column("text"), STRETCH):
+                h, lo, n, off = runs(data, offsets, passage)
+                text = np.searchsorted(offsets, lo, "right") - 1
+                ends = np.minimum(lo + n - 1 + length, offsets[text + 1])
+                body = memoryview(data)
+                content = [xxhash.xxh3_128_digest(body[a:b], seed=s) for a, b, s in zip(lo.tolist(), ends.tolist(), (off << 10 | n).tolist(), strict=True)]
+                columns = [pa.array(h.view(np.int64)), pa.array(content, pa.binary()), keys.take(pa.array(first + text)), *[pa.array(x.astype(np.int32)) for x in (lo - offsets[text], n, off)]]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "content", "key", "lo", "n", "off"])
+
+    return run
+
+
+def _unit_maker(lengths: tuple[int, ...]):
+    """Units of each run in a text's list, for windows of each length."""
+    kinds = {"kind": pa.int16(), "core": pa.binary(), "unit": pa.binary(), "content": pa.binary(), "times": pa.int64(), "first": pa.int32(), "n": pa.int32(), "head": pa.binary(), "tail": pa.binary()}
+
+    def make(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for text, marks in zip(batch.column("text"), batch.column("runs"), strict=True):
+                body, out = text.as_buffer().to_pybytes(), []
+                for r in marks.as_py():
+                    content, times, lo, anchor = r["content"], r["times"], r["lo"], r["lo"] + r["off"]
+                    for kind, length in enumerate(lengths):
+                        hi = min(lo + r["n"], len(body) - length + 1)
+                        # a unit's starts are anchor + UNIT * i .. anchor + UNIT * i + UNIT - 1
+                        for base in range(lo - (lo - anchor) % UNIT, hi, UNIT):
+                            s, e = max(lo, base), min(hi, base + UNIT)
+                            core, head, tail = digest(body[base + UNIT - 1 : base + length]), body[s : base + UNIT - 1], body[base + length : e - 1 + length]
+                            out.append((kind, core, digest(core + bytes((len(head),)) + head + tail), content, times, s - lo, e - s, head, tail))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    return make
+
+
+def covered(kinds: list[int], cores: list[bytes], heads: list[bytes], tails: list[bytes], lengths: tuple[int, ...], folder: Folder) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window) of each window that occurs twice; strings of equal kind and core are of one group."""
+    names: dict[tuple[int, bytes], int] = {}
+    group = [names.setdefault(x, len(names)) for x in zip(kinds, cores, strict=True)]
+    weights = np.ones(257 + len(names), dtype=np.int32)
+    weights[257:] = [lengths[k] - UNIT + 1 for k, _ in names]
+    symbols = lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.uint16) + np.uint16(1)
+    strings = [np.concatenate((symbols(a), np.array([257 + g], dtype=np.uint16), symbols(b))) for a, g, b in zip(heads, group, tails, strict=True)]
+    sizes, need = np.array([len(s) for s in strings]), np.asarray(lengths)[np.asarray(kinds)]
+    found, last = [], None
+    for _, prefix, owner, depth in transform(strings, weights, folder):
+        if last is not None:  # the row before a block may repeat its first
+            prefix, owner, depth = (np.concatenate(x) for x in zip(last, (prefix, owner, depth), strict=True))
+        twice = prefix >= need[owner]
+        either = twice.copy()
+        either[:-1] |= twice[1:]
+        at = np.flatnonzero(either)
+        found.append(np.stack((owner[at].astype(np.int64), sizes[owner[at]] - depth[at]), axis=1))
+        last = prefix[-1:], owner[-1:], depth[-1:]
+    rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return rows[:, 0], rows[:, 1]
+
+
+def _transformer(lengths: tuple[int, ...], shared: str):
+    """Whole groups, whose rows follow one another, go through the transform in shards."""
+    names = ["kind", "core", "unit", "times", "windows"]
 
     def flush(rows):
-        found = covered(np.array([r[0] for r in rows]), [r[2] for r in rows], [r[3] for r in rows])
-        out, open_run = [], None
-        for string, window in found:
-            if open_run and open_run[0] == string and open_run[2] == window:
-                open_run[2] += 1
-            else:
-                open_run = [string, window, window + 1]
-                out.append(open_run)
-        columns = [[rows[s][0] for s, _, _ in out], [rows[s][1] for s, _, _ in out], [a for _, a, _ in out], [b for _, _, b in out]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["core", "unit", "a", "b"])
-
-    rows = []
+        folder = Folder(f"{shared}/{uuid.uuid4().hex}")
+        both = [r for r in rows for _ in range(min(2, r[3]))]
+        of = np.repeat(np.arange(len(rows)), [min(2, r[3]) for r in rows])
+        string, window = covered([r[0] for r in both], [r[1] for r in both], [r[4] for r in both], [r[5] for r in both], lengths, folder)
+        folder.remove()
+        found = np.unique(np.stack((of[string], window), axis=1), axis=0)
+        at, starts = np.unique(found[:, 0], return_index=True)
+        windows = [w.tolist() for w in np.split(found[:, 1], starts[1:])] if len(at) else []
+        columns = [[rows[i][k] for i in at] for k in range(4)]
+        kinds = pa.int16(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, windows], kinds, strict=True)], names)
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "core", "unit", "times", "head", "tail")), strict=True):
+                if len(rows) >= SHARD and row[:2] != rows[-1][:2]:
+                    yield flush(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield flush(rows)
+
+    return run
+
+
+def _windows(batches):
+    """Each window of a string with its digest."""
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("core", "unit", "head", "tail")), strict=True):
-            if len(rows) >= BATCH and row[0] != rows[-1][0]:
-                yield flush(rows)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield flush(rows)
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, a, b): the windows a to b - 1 of a document occur elsewhere too."""
-    small_batches(docs.sparkSession)
+        out = []
+        for kind, core, unit, n, head, tail in zip(*(batch.column(c).to_pylist() for c in ("kind", "core", "unit", "n", "head", "tail")), strict=True):
+            for w in range(n):
+                rest = len(tail) - (n - 1 - w)
+                out.append((kind, core, unit, w, _digest(core, bytes((len(head) - w,)), head[w:], tail[:rest])))
+        if out:
+            kinds = pa.int16(), pa.binary(), pa.binary(), pa.int32(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "core", "unit", "w", "window"])
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, group: int = GROUP) -> DataFrame:
+    """(key, lo, marks) of the runs with repeats: marks are windows (kind, first, n) from lo on that occur elsewhere too; kind 0 is of passage bytes, 1 of length."""
+    spark, lengths = docs.sparkSession, (passage, length)
+    small_batches(spark)
     texts = keyed(docs, id_col, text_col)
-    found = stash(texts.mapInArrow(_runner, RUNS), "runs")
-    anchors = found.groupBy("h").agg(F.count(F.lit(1)).alias("times"), (F.min("content") != F.max("content")).alias("differ")).where("times > 1").drop("times")
-    shared = stash(found.join(anchors, "h"), "shared")
-    contents = stash(shared.groupBy("h", "content").agg(F.count(F.lit(1)).alias("times"), F.first("differ").alias("differ"), F.min(F.struct("key", "lo", "n", "off")).alias("r")), "contents")
-    whole = contents.where("times > 1").select("h", "content", F.lit(0).alias("a"), F.col("r.n").alias("b"))
-    lists = contents.where("differ").select(F.col("r.key").alias("k"), F.struct("h", "content", "r.lo", "r.n", "r.off").alias("run")).groupBy("k").agg(F.collect_list("run").alias("runs"))  # runs of one document
-    units = texts.join(lists, texts["key"] == lists["k"]).select("text", "runs").mapInArrow(_unit_maker, "core long, unit long, h long, content long, first int, n int, head binary, tail binary")
-    units = stash(units.dropDuplicates(["core", "unit", "h", "content", "first"]), "units")
-    strings = units.groupBy("core", "unit").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+    found = stash(texts.mapInArrow(_runner(length, passage), RUNS), "runs")
+    anchors = stash(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "anchors")
+    shared = stash(join_hot(found, anchors, ["h"], "times").drop("h", "times"), "shared")
+    release(found, anchors)
+    run = F.struct("key", "lo", "n", "off")
+    contents = shared.groupBy("content").agg(F.count(F.lit(1)).alias("times"), F.min(run).alias("a"), F.max(run).alias("b"))
+    pair = F.when((F.col("times") > 1) & (F.col("a") != F.col("b")), F.array("a", "b")).otherwise(F.array("a"))
+    of_text = contents.select("content", "times", F.explode(pair).alias("r")).groupBy(F.col("r.key").alias("k")).agg(F.collect_list(F.struct("content", "times", "r.lo", "r.n", "r.off")).alias("runs"))  # runs of one text
+    units = texts.join(of_text, texts["key"] == of_text["k"]).select("text", "runs")
+    units = stash(units.mapInArrow(_unit_maker(lengths), f"{STRING}, content binary, times long, first int, n int, head binary, tail binary"), "units")
+    strings = units.groupBy("kind", "core", "unit").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
     strings = stash(strings, "strings")
-    several = strings.groupBy("core").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1").select("core")
-    groups = strings.join(several, "core").select("core", "unit", "head", "tail")
-    partial = groups.repartition("core").sortWithinPartitions("core", "unit").mapInArrow(_transformer, "core long, unit long, a int, b int")
-    equal = strings.where("times > 1").select("core", "unit", F.lit(0).alias("a"), F.col("n").alias("b"))
-    back = units.select("core", "unit", "h", "content", "first").join(partial.unionByName(equal), ["core", "unit"])
-    marks = stash(whole.unionByName(back.select("h", "content", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))), "marks")
-    placed = shared.select("h", "content", "key", "lo").join(marks, ["h", "content"])
-    return placed.select("key", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
-
-
-def _cutter(batches):
-    names = ["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    for batch in batches:
-        out = []
-        for key, doc_id, text, a, b in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("a"), batch.column("b"), strict=True):
-            data = _bytes(text)
-            a, b = (np.asarray(x.as_py() or [], dtype=np.int64) for x in (a, b))
-            change = np.zeros(len(data) + 1, dtype=np.int32)
-            np.add.at(change, a, 1)
-            np.add.at(change, b - 1 + LENGTH, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            kept = data[~gone].tobytes()
-            n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if len(gone) else 0
-            out.append((key, doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = [*[pa.int64()] * 5, pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: key, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, which may cut a character)."""
-    marks = repeats(docs, id_col, text_col).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("m"))  # ranges of one document
-    marks = marks.select(F.col("key").alias("k"), F.col("m.a").alias("a"), F.col("m.b").alias("b"))
+    cores = strings.groupBy("kind", "core").agg(F.count(F.lit(1)).alias("members"), F.sum(F.least("times", F.lit(2))).alias("copies")).where("copies > 1").drop("copies")
+    cores = stash(cores, "cores")
+    groups = join_hot(strings, cores, ["kind", "core"], "members")
+    few = groups.where(F.col("members") <= group).select("kind", "core", "unit", "times", "head", "tail")
+    few = few.repartition("kind", "core").sortWithinPartitions("kind", "core", "unit")
+    parts = few.mapInArrow(_transformer(lengths, scratch(spark) + "/transform"), f"{STRING}, times long, windows array<int>")
+    many = stash(groups.where(F.col("members") > group).mapInArrow(_windows, f"{STRING}, w int, window binary"), "windows")
+    told = many.join(strings.select("kind", "core", "unit", "times"), ["kind", "core", "unit"])
+    told = stash(told, "told")
+    twice = stash(told.groupBy("kind", "window").agg(F.count(F.lit(1)).alias("strings"), F.sum("times").alias("all")).where("all > 1").drop("all"), "twice")
+    single = join_hot(told, twice, ["kind", "window"], "strings").groupBy("kind", "core", "unit").agg(F.max("times").alias("times"), F.collect_set("w").alias("windows"))  # at most UNIT
+    marked = stash(parts.unionByName(single), "marked")
+    back = join_hot(units.select("kind", "core", "unit", "content", "first", F.col("times").alias("uses")), marked, ["kind", "core", "unit"], "times")
+    back = back.select("content", "uses", F.struct("kind", "first", "windows").alias("mark"))
+    marks = stash(back.groupBy("content").agg(F.max("uses").alias("times"), F.collect_set("mark").alias("marks")), "marks")  # units of one run
+    release(units, strings, cores, many, told, twice, marked)
+    placed = join_hot(shared.select("content", "key", "lo"), marks, ["content"], "times").select("key", "lo", "marks")
+    placed = stash(placed, "placed")
+    release(shared, marks)
+    return placed
+
+
+def _cutter(length: int, passage: int):
+    names = ["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"]
+
+    def cover(size: int, starts: list[int], width: int) -> np.ndarray:
+        change = np.zeros(size + 1, dtype=np.int32)
+        np.add.at(change, starts, 1)
+        np.add.at(change, np.asarray(starts, dtype=np.int64) + width, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for key, doc_id, text, found in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
+                data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
+                starts: tuple[list[int], list[int]] = [], []
+                for run in found or ():
+                    for mark in run["marks"]:
+                        at = run["lo"] + mark["first"]
+                        starts[mark["kind"]].extend([at + w for w in mark["windows"]])
+                gone = cover(len(data), starts[1], length) if starts[1] else np.zeros(len(data), dtype=bool)
+                kept = data[~gone].tobytes()
+                n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if len(gone) else 0
+                again = int(cover(len(data), starts[0], passage).sum()) if starts[0] else 0
+                out.append((key, doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), again, kept))
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            kinds = [pa.binary(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    return cut
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, group: int = GROUP) -> DataFrame:
+    """One row per document: key, doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, kept (bytes, which may cut a character).
+
+    n_repeated counts the bytes covered by strings of passage bytes that start elsewhere too.
+    """
+    if not GRAM <= passage <= length or passage <= UNIT or length >= 1 << 15:
+        raise ValueError("passage must hold a gram and a unit, length at least a passage")
+    placed = repeats(docs, id_col, text_col, length, passage, group)
+    placed = placed.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("lo", "marks")).alias("found"))  # runs of one text
     texts = keyed(docs, id_col, text_col)
-    joined = texts.join(marks, texts["key"] == F.col("k"), "left").select("key", "doc_id", "text", "a", "b")
-    return joined.mapInArrow(_cutter, "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = texts.join(placed, texts["key"] == F.col("k"), "left").select("key", "doc_id", "text", "found")
+    return joined.mapInArrow(_cutter(length, passage), "key binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary")
 
 
 def op1_suffix_dedup(spark, sf_dir):

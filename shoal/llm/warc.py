@@ -1,22 +1,29 @@
 """WARC archives with revisit resolution.
 
-Headers (payload digest and page id) are shuffled by digest, revisit records are
-joined to their original responses, and deduplicated archives are written with
-fresh headers. Archives are written by Spark's own text writer, whose separator
-is the blank lines that end a WARC record, so that any file system of the
-cluster serves and failed tasks leave no files; they are read back by walking
-the records' Content-Length.
+Headers (payload digest and page id) are shuffled by digest, and revisit records
+are joined to their original responses; payloads are not shuffled. A revisit is
+written from its header alone. A response is written by the task that reads its
+page, which has to know that it is no revisit: the keys of all revisits go into
+a bitmap, the keys of responses that hit it by chance into a second one, those of
+revisits that hit that into a third, and so on until no key is mistaken. Together
+they decide every row exactly. They are broadcast while they are small; beyond
+that, pages are joined to the keys of the revisits by shuffle.
+
+Archives are written by Spark's own text writer, whose separator is the blank
+lines that end a WARC record, so that any file system of the cluster serves and
+failed tasks leave no files. They are read back as a stream of the same lines,
+record by record by their Content-Length, so that a file may have any size.
 
 Defined results: a null payload is empty; equal payloads of at least min_bytes
 bytes are one response (smallest page_id, null last) and revisits; rows that
 repeat the smallest page_id with the same payload are responses as well; control
 characters and spaces in a URL are percent-encoded, a null URL becomes urn:page.
-Empty input gives an empty archive and no rows.
+Columns other than the three named play no part. Empty input gives an empty
+archive and no rows.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
 import zlib
 
@@ -24,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch
+from . import bitmaps
+from ._common import join_hot, scratch, small_batches, stash
 
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, block_bytes long, block_crc32 long"
+#: Bytes of the first bitmap of revisits up to which the bitmaps are broadcast.
+SMALL_BYTES = 256 << 20
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -45,14 +55,55 @@ def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
 
 
-def resolve(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """records with record_type and refers_to; only digests held twice or more meet the payloads again."""
+def revisits(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The headers (page_id, url, payload_bytes, payload_digest) that revisit another one, with refers_to."""
+    large = heads.where(F.col("payload_bytes") >= min_bytes)
     first = F.min(F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("page_id"))).alias("first")
-    heads = records.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), first)
-    origins = heads.where("n > 1").select(F.col("payload_digest").alias("d"), F.col("first.page_id").alias("origin"), F.lit(True).alias("shared"))
-    joined = records.join(origins, (records["payload_digest"] == F.col("d")) & (records["payload_bytes"] >= min_bytes), "left")
-    revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("origin"))
-    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("origin"))).drop("d", "origin", "shared")
+    origins = large.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("times"), first).where("times > 1")
+    origins = stash(origins.select("payload_digest", "times", F.col("first.page_id").alias("refers_to")), "origins")
+    return join_hot(large, origins, ["payload_digest"], "times").drop("times").where("not page_id <=> refers_to")
+
+
+def _key() -> Column:
+    return F.xxhash64("payload_digest", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+
+
+def cascade(members: DataFrame, others: DataFrame, rows: int) -> list[tuple[int, DataFrame]]:
+    """Bitmaps, with their sizes, by which each hashed key k of members is told from each of others."""
+    out = []
+    while rows:
+        size = bitmaps.positions_for(rows)
+        pos = bitmaps.position(F.xxhash64("k", F.lit(len(out))), size)
+        held = stash(bitmaps.built(members.select(pos.alias("pos"))), "keys")
+        out.append((size, held))
+        mistaken = stash(bitmaps.tested(others, held, pos, "hit").where("hit").select("k"), "mistaken")
+        members, others, rows = mistaken, members, mistaken.count()
+    return out
+
+
+def responses(records: DataFrame, heads: DataFrame, again: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """records without those that revisit another one."""
+    n = again.count()
+    if bitmaps.positions_for(n) > 8 * small_bytes:
+        keys = again.select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p")).distinct()
+        return records.join(keys, (F.col("payload_digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left_anti")
+    members = stash(again.select(_key().alias("k")).distinct(), "members")
+    others = stash(heads.select(_key().alias("k")).join(members, "k", "left_anti"), "others")
+    state = records.withColumn("is_in", F.lit(True)).withColumn("open", F.lit(True)).withColumn("k", _key())
+    for i, (size, held) in enumerate(cascade(members, others, n)):
+        state = bitmaps.tested(state, held, bitmaps.position(F.xxhash64("k", F.lit(i)), size), "hit")
+        # the first bitmap that doesn't hold the key tells: an even one that it is no member, an odd one that it is
+        state = state.withColumn("is_in", F.when(F.col("open") & ~F.col("hit"), F.lit(i % 2 == 1)).otherwise(F.when(F.col("open"), F.lit(i % 2 == 0)).otherwise(F.col("is_in"))))
+        state = state.withColumn("open", F.col("open") & F.col("hit")).drop("hit")
+    return records if not n else state.where("not is_in").drop("is_in", "open", "k")
+
+
+def resolve(records: DataFrame, min_bytes: int = 0, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """records with record_type and refers_to; revisits come without their payload."""
+    heads = stash(records.drop("payload"), "heads")
+    again = stash(revisits(heads, min_bytes), "revisits")
+    origin = responses(records, heads, again, small_bytes).withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long"))
+    return origin.unionByName(again.withColumn("payload", F.lit("")).withColumn("record_type", F.lit("revisit")))
 
 
 def _uri(page_id: Column) -> Column:
@@ -72,24 +123,45 @@ def record_text(date: str = "2024-01-01T00:00:00Z") -> Column:
     )
 
 
-def write_archive(records: DataFrame, path: str, records_per_file: int = 2000) -> None:
+def write_archive(records: DataFrame, path: str, records_per_file: int = 100_000) -> None:
     """Write resolved records as gzip-compressed archives of at most records_per_file records."""
     out = records.select(record_text().alias("value"))
     out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(data: bytes):
-    """(headers, block) of every record, one after the other."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(re.findall(r"^([^:\r\n]+): ?(.*?)\r?$", data[at:end].decode(), re.M))
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        yield head, memoryview(data)[start:stop]
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} isn't followed by two line ends")
-        at = stop + 4
+def parse(parts):
+    """(headers, block) of every record of a stream cut at END, one after the other.
+
+    A block that ends with a line end begins the END after it: then the next
+    record's headers follow in the same part.
+    """
+    gap = END.encode()
+    head, held, size, need = None, [], 0, 0
+
+    def opened(part):
+        found = dict(re.findall(r"^([^:\r\n]+): ?(.*?)\r?$", part.decode(), re.M))
+        return found, int(found["Content-Length"])
+
+    for part in parts:
+        if head is None:
+            part = part.lstrip(b"\r\n")
+            if part:
+                head, need = opened(part)
+                held, size = [], -len(gap)
+            continue
+        held.append(part)
+        size += len(gap) + len(part)
+        while head is not None and size >= need:
+            block = gap.join(held)
+            yield head, block[:need]
+            part = block[need:].lstrip(b"\r\n")
+            head, held, size = None, [], -len(gap)
+            if part:
+                head, need = opened(part)
+    if head is not None:
+        if need and size + len(gap) < need:
+            raise ValueError(f"record {head['WARC-Record-ID']} is cut off")
+        yield head, (gap.join(held) + gap)[:need]
 
 
 def _page(uri: str | None) -> int | None:
@@ -98,22 +170,22 @@ def _page(uri: str | None) -> int | None:
 
 
 def _rows(batches):
-    for batch in batches:
-        for content in batch.column("content"):
-            data = content.as_py()
+    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("block_bytes", pa.int64()), ("block_crc32", pa.int64())]
+    lines = (line.as_buffer().to_pybytes() for batch in batches for line in batch.column("value"))
+    rows = []
+    for head, block in parse(lines):
+        rows.append((_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), _page(head.get("WARC-Refers-To")), len(block), zlib.crc32(block)))
+        if len(rows) == 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
             rows = []
-            for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                rows.append({
-                    "page_id": _page(head["WARC-Record-ID"]), "url": head["WARC-Target-URI"], "record_type": head["WARC-Type"], "payload_bytes": int(head["X-Payload-Length"]),
-                    "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": _page(head.get("WARC-Refers-To")), "block_bytes": len(block), "block_crc32": zlib.crc32(block),
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("block_bytes", pa.int64()), ("block_crc32", pa.int64())]))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
 
 def read_archive(spark, path: str) -> DataFrame:
-    """One row per record of the archives below path; a scan partition's archives are in memory at a time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_rows, SCHEMA)
+    """One row per record of the archives below path; gzip files aren't split, so that a task reads a file's lines in order."""
+    small_batches(spark)
+    return spark.read.option("lineSep", END).text(path).mapInArrow(_rows, SCHEMA)
 
 
 def op5_warc(spark, sf_dir):

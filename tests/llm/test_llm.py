@@ -1,6 +1,9 @@
 """The training-data operators against brute force, on small awkward tables."""
 
 import hashlib
+import itertools
+import os
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +18,7 @@ import corpus_pipeline
 from shoal.llm import exact_dedup, minhash, mixing, packing, perfect_hash, quality, spans, suffix_dedup, token_files, topk, warc
 from shoal.llm._bpe import PieceCoder
 from shoal.llm._words import words_of
-from shoal.llm.collection_bwt import transform
+from shoal.llm.collection_bwt import Folder, transform
 from shoal.llm.components import components
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,11 +77,33 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.copies(none).count() == 0 and exact_dedup.drop_copies(none).columns == none.columns
 
 
-@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 5)), min_size=1, max_size=8, unique_by=lambda t: t[0]), st.integers(0, 400))
-def test_fit(lengths, budget):
+def test_exact_dedup_by_pieces(docs):
+    """A filter in several pieces, one bit a row, and columns of other uses with the operator's own names."""
+    want = bag(exact_dedup.copies(docs).collect())
+    odd = docs.selectExpr("*", "1 as rid", "'x' as text_sha", "true as maybe", "2 as points")
+    assert bag(exact_dedup.copies(odd, bits_per_row=4096, piece_bytes=4096).collect()) == want
+    assert bag(exact_dedup.copies(docs, bits_per_row=1).collect()) == want
+    for options in ({}, {"bits_per_row": 4096, "piece_bytes": 4096}, {"bits_per_row": 1}):
+        got = exact_dedup.drop_copies(odd, **options)
+        assert got.columns == odd.columns
+        assert bag(got.select("doc_id", F.sha2("text", 256)).collect()) == bag(docs.join(exact_dedup.copies(docs).where("kept").dropDuplicates(["doc_id", "n_points", "text_sha256"]).select(F.col("doc_id").alias("i"), "text_sha256", "n_points"), F.col("doc_id").eqNullSafe(F.col("i")) & (exact_dedup.digest(F.col("text")) == F.col("text_sha256")) & (F.length(F.coalesce("text", F.lit(""))) == F.col("n_points"))).dropDuplicates(["doc_id", "text"]).select("doc_id", F.sha2("text", 256)).collect())
+
+
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 3)), min_size=1, max_size=4, unique_by=lambda t: t[0]), st.integers(0, 400))
+def test_fit_comes_as_near_as_any_choice(lengths, budget):
     l, c = (np.array(x) for x in zip(*lengths, strict=True))
     take = mixing.fit(l, c, budget)
-    assert ((take >= 0) & (take <= c)).all() and (take * l).sum() <= budget
+    assert ((take >= 0) & (take <= c)).all()
+    best = min(abs(sum(a * n for a, n in zip(l, q, strict=True)) - budget) for q in itertools.product(*[range(n + 1) for n in c]))
+    assert abs(int((take * l).sum()) - budget) == best
+
+
+def test_fit_with_long_documents():
+    assert mixing.fit(np.array([45_000, 45_001, 45_002]), np.array([1, 1, 1]), 50_000).tolist() == [0, 0, 1]
+    rng = np.random.default_rng(2)
+    l = np.unique(rng.integers(1, 10**6, 4000))
+    c = rng.integers(1, 50, len(l))
+    assert int((mixing.fit(l, c, int((l * c).sum() * 0.4)) * l).sum()) == int((l * c).sum() * 0.4)
 
 
 def test_targets():
@@ -99,6 +124,32 @@ def test_mixing(docs, none):
     assert all(abs(sum(v) - t) <= (15_000 if size > 30_000 else 0.01 * t + 2) for (size, t), v in by.items())
     assert bag(got) == bag(mixing.mix(docs).collect())
     assert mixing.mix(none).count() == 0 and mixing.mixed(docs).columns == docs.columns
+    # targets by a rule of their own: pour the budget by weight, a little at a time
+    totals = {}
+    for r in docs.collect():
+        totals[r.source] = totals.get(r.source, 0) + len((r.text or "").encode().split())
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    weight, given_ = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, dict.fromkeys(order, 0.0)
+    left = 1.5 * sum(totals.values())
+    while left > 1e-6:
+        open_ = [s for s in order if given_[s] < 2 * totals[s] - 1e-9]
+        drop = min([left / sum(weight[s] for s in open_)] + [(2 * totals[s] - given_[s]) / weight[s] for s in open_])
+        for s in open_:
+            given_[s] += drop * weight[s]
+        left -= drop * sum(weight[s] for s in open_)
+    assert {(r.source_size, round(r.target, 3)) for r in got} == {(totals[s], round(given_[s], 3)) for s in order}
+
+
+def test_mixed_emits_what_is_taken(spark):
+    rows = [(1, "a b c", "s", 7)] * 3 + [(2, "d e f g", "s", 8), (3, "h i", None, 9), (3, "h i", "s", 9), (4, None, "t", 1), (None, "j k l m n", "t", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key int").selectExpr("*", "1 as times", "2 as _key", "3 as _k", "4 as rows", "5 as extra", "6 as mine")
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        if r["size"]:
+            want[(r.doc_id, r["size"])] += r.taken // r["size"]
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and got.where("_key = 2 and _k = 3 and times = 1").count() == got.count()
+    assert Counter((r.doc_id, len(r.text.split())) for r in got.collect()) == +want
 
 
 def test_packing(docs, none):
@@ -197,6 +248,7 @@ def test_warc(spark, tmp_path):
     warc.write_archive(warc.resolve(warc.headers(pages)), f"{tmp_path}/w", 3)
     got = warc.read_archive(spark, f"{tmp_path}/w").collect()
     kinds = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got)
+    assert all(r.block_crc32 == zlib.crc32((dict((i, h or "") for i, _, h in rows if i)[r.page_id]).encode()) for r in got if r.record_type == "response" and r.page_id)
     assert kinds == Counter({(1, "response", None, 6): 1, (2, "revisit", 1, 6): 1, (3, "response", None, 0): 1, (4, "revisit", 3, 0): 1, (5, "response", None, 2): 2, (None, "revisit", 5, 2): 1, (None, "response", None, 4): 1})
     assert all(r.block_bytes == (r.payload_bytes if r.record_type == "response" else 0) for r in got)
     import base64
@@ -205,6 +257,42 @@ def test_warc(spark, tmp_path):
     warc.write_archive(warc.resolve(warc.headers(pages), 3), f"{tmp_path}/m")
     assert warc.read_archive(spark, f"{tmp_path}/m").where("record_type = 'revisit'").count() == 1
     warc.write_archive(warc.resolve(warc.headers(pages.limit(0))), f"{tmp_path}/e")
+    assert warc.read_archive(spark, f"{tmp_path}/e").count() == 0
+    by_shuffle = warc.resolve(warc.headers(pages), small_bytes=0)
+    columns = ["page_id", "record_type", "refers_to", "payload", "payload_digest"]
+    assert bag(by_shuffle.select(columns).collect()) == bag(warc.resolve(warc.headers(pages)).select(columns).collect())
+
+
+def test_warc_with_awkward_payloads(spark, tmp_path):
+    """Line ends at the ends of payloads, long ones, many copies, and columns of other uses with the operator's own names."""
+    ends = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\n\r\n\r\n\r\n"]
+    texts = [a + t + e for a in ends for t in ("abc", "", "WARC/1.1\r\nContent-Length: 3\r\n\r\nx") for e in ends] + ["long \r\n\r\n é" * 100_000]
+    rows = [(i, f"http://h/{i}", t, "d", 1, True) for i, t in enumerate(texts + texts[::3] + ["hot"] * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, k int, is_in boolean").repartition(5)
+    warc.write_archive(warc.resolve(warc.headers(pages)), f"{tmp_path}/a", 7)
+    got = {r.page_id: r for r in warc.read_archive(spark, f"{tmp_path}/a").collect()}
+    first = {}
+    for i, t in enumerate(r[2] for r in rows):
+        r = got.pop(i)
+        origin = first.setdefault(t, i)
+        assert (r.record_type, r.refers_to, r.payload_bytes) == (("response", None) if origin == i else ("revisit", origin)) + (len(t.encode()),)
+        assert r.block_crc32 == zlib.crc32(t.encode() if origin == i else b"")
+    assert not got
+
+
+def test_cascade_is_exact(spark):
+    keys = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("k"))
+    members, others = keys(0, 3000), keys(3000, 50_000)
+    filters = warc.cascade(members, others, 3000)
+    assert len(filters) > 1
+    for rows, inside in ((members, True), (others, False)):
+        left, told = rows, 0
+        for i, (size, held) in enumerate(filters):
+            state = warc.bitmaps.tested(left, held, warc.bitmaps.position(F.xxhash64("k", F.lit(i)), size), "hit").persist()
+            missed = state.where("not hit").count()
+            assert not missed or (i % 2 == 1) == inside
+            told, left = told + missed, state.where("hit").select("k")
+        assert told + (left.count() if (len(filters) % 2 == 1) == inside else 0) == rows.count()
 
 
 def test_topk(spark):
@@ -336,10 +424,14 @@ def test_components(spark):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 3), max_size=7), min_size=1, max_size=6))
-def test_collection_transform(strings):
+@given(st.lists(st.lists(st.integers(1, 3), max_size=7), min_size=1, max_size=6), st.sampled_from([1, 2, 5, 1000]))
+def test_collection_transform(strings, block):
     weights = np.array([0, 1, 1, 5], dtype=np.int32)
-    symbols, prefixes, owner, depth = transform([np.array(s, dtype=np.uint16) for s in strings], weights)
+    with tempfile.TemporaryDirectory() as path:
+        blocks = list(transform([np.array(s, dtype=np.uint16) for s in strings], weights, Folder(f"file://{path}/f"), block))
+        assert not any(os.scandir(f"{path}/f"))
+    assert all(len(b[0]) <= block for b in blocks)
+    symbols, prefixes, owner, depth = (np.concatenate(x) for x in zip(*blocks, strict=True))
     want = sorted((tuple(s[len(s) - d :]), j, d) for j, s in enumerate(strings) for d in range(len(s) + 1))
     assert [(j, d) for _, j, d in want] == list(zip(owner.tolist(), depth.tolist(), strict=True))
     for k, (suffix, j, d) in enumerate(want):
@@ -352,22 +444,41 @@ def test_collection_transform(strings):
         assert prefixes[k] == common
 
 
-def test_suffix_dedup(docs, none):
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    windows = Counter(b[p : p + 400] for _, b in rows for p in range(len(b) - 399))
-    want = Counter()
+def twice_covered(rows, length):
+    """For each (doc_id, bytes) which bytes lie in a string of length bytes that starts twice."""
+    windows = Counter(b[p : p + length] for _, b in rows for p in range(len(b) - length + 1))
     for i, b in rows:
         gone = np.zeros(len(b), dtype=bool)
-        for p in range(len(b) - 399):
-            if windows[b[p : p + 400]] > 1:
-                gone[p : p + 400] = True
+        for p in range(len(b) - length + 1):
+            if windows[b[p : p + length]] > 1:
+                gone[p : p + length] = True
+        yield i, b, gone
+
+
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 1])
+def test_suffix_dedup(docs, none, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 50 if group == 1 else 1 << 14)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    again = [int(g.sum()) for _, _, g in twice_covered(rows, suffix_dedup.PASSAGE)]
+    want = Counter()
+    for (i, b, gone), n in zip(twice_covered(rows, 400), again, strict=True):
         spans_ = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(int)))) == 1))
-        want[(i, len(b), int(gone.sum()), spans_, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
-    got = suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        want[(i, len(b), int(gone.sum()), spans_, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), n)] += 1
+    got = suffix_dedup.remove_repeats(docs, group=group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
     assert bag(got.collect()) == want
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_of_texts_longer_than_a_stretch(spark):
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    long, shared = letters(1_300_000), letters(700)
+    rows = [(1, long[:400_000] + shared + long[400_000:]), (2, letters(150_000) + "!" + shared), (3, letters(1000) + "!" + long[131_072 - 300 : 131_072 + 200]), (4, "ab" * 70_000)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 1200 and got[1].n_spans == 2 and got[2].n_removed == 700 and got[3].n_removed == 500
+    assert got[4].n_removed == 140_000 and got[4].n_spans == 1
+
+
 def junk(spark, n=600):
     rng = np.random.default_rng(11)
     words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(500)]
