@@ -59,6 +59,13 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], times: str, share
     return left.join(few, on).unionByName(rest)
 
 
+def without_hot(left: DataFrame, right: DataFrame, on: list[str], times: str, share: int = 1000) -> DataFrame:
+    """The rows of left whose key isn't in right, a table as join_hot takes it."""
+    total = right.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) * share > total
+    return left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot).select(*on), on, "left_anti")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like names that df doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []

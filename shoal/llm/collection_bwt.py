@@ -16,8 +16,11 @@ import contextlib
 import numpy as np
 
 BLOCK = 1 << 20
-#: A row of the files: the symbol before the suffix, the weight it has in common with the suffix before it, and whose suffix of how many symbols it is.
-ROW = [("symbol", np.uint16), ("prefix", np.uint16), ("owner", np.uint32), ("depth", np.uint16)]
+#: A row of the files is 64 bits: the symbol before the suffix (16), the weight it has in common with the suffix before it (16), and whose suffix (22) of how many symbols (10) it is.
+ROW = np.dtype(np.uint64)
+MOST_STRINGS, MOST_SYMBOLS = 1 << 22, 1 << 10
+_SYMBOL, _PREFIX, _OWNER = np.uint64(48), np.uint64(32), np.uint64(10)
+_ALL_BUT_PREFIX = np.uint64(0xFFFF_0000_FFFF_FFFF)
 _FAR = np.int64(1) << 40
 
 
@@ -33,15 +36,14 @@ class Folder:
     def write(self, name: str, blocks) -> None:
         with self.files.open_output_stream(f"{self.path}/{name}", compression=None) as f:
             for block in blocks:
-                f.write(np.array([len(block[0])], dtype=np.int64).tobytes())
-                for column in block:
-                    f.write(memoryview(np.ascontiguousarray(column)).cast("B"))
+                f.write(np.array([len(block)], dtype=np.int64).tobytes())
+                f.write(memoryview(np.ascontiguousarray(block)).cast("B"))
 
-    def read(self, name: str, kinds):
+    def read(self, name: str, kind):
         with self.files.open_input_stream(f"{self.path}/{name}", compression=None) as f:
             while head := f.read(8):
                 n = int(np.frombuffer(head, dtype=np.int64)[0])
-                yield [np.frombuffer(f.read(n * np.dtype(k).itemsize), dtype=k) for k in kinds]
+                yield np.frombuffer(f.read(n * np.dtype(kind).itemsize), dtype=kind)
 
     def remove(self, name: str | None = None) -> None:
         with contextlib.suppress(FileNotFoundError):
@@ -66,20 +68,18 @@ def _range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 class _Taker:
     """The rows of a file, as many at a time as asked for."""
 
-    def __init__(self, blocks, kinds):
-        self.blocks, self.held, self.kinds = blocks, None, kinds
+    def __init__(self, blocks):
+        self.blocks, self.held = blocks, np.zeros(0, ROW)
 
-    def take(self, n: int) -> list[np.ndarray]:
+    def take(self, n: int) -> np.ndarray:
         parts = []
         while n > 0:
-            if self.held is None or not len(self.held[0]):
+            if not len(self.held):
                 self.held = next(self.blocks)
-            parts.append([c[:n] for c in self.held])
-            self.held = [c[n:] for c in self.held]
-            n -= len(parts[-1][0])
-        if len(parts) == 1:
-            return parts[0]
-        return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(self.kinds)]
+            parts.append(self.held[:n])
+            self.held = self.held[n:]
+            n -= len(parts[-1])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, ROW)
 
 
 def _places(blocks, place: np.ndarray, alphabet: int) -> tuple[np.ndarray, ...]:
@@ -96,8 +96,6 @@ def _places(blocks, place: np.ndarray, alphabet: int) -> tuple[np.ndarray, ...]:
         last = int(np.searchsorted(place, base + m))
         a = place[first:last] - base
         order = np.argsort(x, kind="stable")
-        rank = np.empty(m, dtype=np.int64)
-        rank[order] = np.arange(m)
         line = x[order]
         starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
         kinds = line[starts].astype(np.int64)
@@ -112,7 +110,11 @@ def _places(blocks, place: np.ndarray, alphabet: int) -> tuple[np.ndarray, ...]:
         follow[open_[c]] = np.minimum(after[c], upto[order[starts[waiting]]])
         open_[c] = -1
         c = x[a].astype(np.int64)
-        r, g = rank[a], group[c]
+        asked = np.zeros(m, dtype=bool)
+        asked[a] = True
+        r = np.empty(len(a), dtype=np.int64)
+        r[np.argsort(c, kind="stable")] = np.flatnonzero(asked[order])  # both in the order of symbols
+        g = group[c]
         symbol[first:last], before[first:last] = c, seen[c] + r - starts[g]
         inside = r > starts[g]
         mine = own[first:last]
@@ -131,42 +133,54 @@ def _places(blocks, place: np.ndarray, alphabet: int) -> tuple[np.ndarray, ...]:
     return symbol, before, own, follow, seen
 
 
-def _merged(taker: _Taker, total: int, target: np.ndarray, rows: list[np.ndarray], late: np.ndarray, late_prefix: np.ndarray, block: int):
+def _merged(taker: _Taker, total: int, target: np.ndarray, rows: np.ndarray, late: np.ndarray, late_prefix: np.ndarray, block: int):
     """Second pass: the old rows with the new ones at target, and the prefixes of the rows at late set anew."""
     for base in range(0, total, block):
         m = min(block, total - base)
         a, b = np.searchsorted(target, (base, base + m))
-        at = target[a:b] - base
         old = np.ones(m, dtype=bool)
-        old[at] = False
-        held = taker.take(m - len(at))
-        out = []
-        for column, new in zip(held, rows, strict=True):
-            full = np.empty(m, dtype=column.dtype)
-            full[old] = column
-            full[at] = new[a:b]
-            out.append(full)
+        old[target[a:b] - base] = False
+        out = np.empty(m, dtype=ROW)
+        out[old] = taker.take(m - (b - a))
+        out[target[a:b] - base] = rows[a:b]
         a, b = np.searchsorted(late, (base, base + m))
-        out[1][late[a:b] - base] = late_prefix[a:b]
+        at = late[a:b] - base
+        out[at] = out[at] & _ALL_BUT_PREFIX | late_prefix[a:b].astype(np.uint64) << _PREFIX
         yield out
 
 
+def _packed(symbol: np.ndarray, prefix: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
+    as_bits = lambda x, by: x.astype(np.uint64) << by
+    return as_bits(symbol, _SYMBOL) | as_bits(prefix, _PREFIX) | as_bits(owner, _OWNER) | np.uint64(depth)
+
+
+def _symbols_prefixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (rows >> _SYMBOL).astype(np.uint16), (rows >> _PREFIX).astype(np.uint16)
+
+
+def unpacked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """symbol, prefix, owner and depth of rows."""
+    low = rows.astype(np.uint32)
+    return *_symbols_prefixes(rows), (low >> np.uint32(_OWNER)).astype(np.int64), (low & np.uint32(MOST_SYMBOLS - 1)).astype(np.int64)
+
+
 def transform(strings: list[np.ndarray], weights: np.ndarray, folder: Folder, block: int = BLOCK):
-    """Blocks (symbols, prefixes, owner, depth) of all suffixes in sorted order.
+    """Blocks of packed rows, one for each suffix, in sorted order.
 
-    strings hold symbols from 1 to 65535. symbols is the transform, with 0 where
-    a string begins; prefixes the weight, below 65536, that a suffix has in
+    strings hold symbols from 1 to 65535. symbol is the transform, with 0 where
+    a string begins; prefix the weight, below 65536, that a suffix has in
     common with the one before it (weights: of each symbol); owner and depth
     tell whose suffix it is and of how many symbols. Empty suffixes come first.
     """
-    kinds = [k for _, k in ROW]
     n = len(strings)
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
     longest = int(lengths.max()) if n else 0
+    if n >= MOST_STRINGS or longest >= MOST_SYMBOLS:
+        raise ValueError("too many strings, or too long ones, for a shard")
     flat = np.concatenate(strings).astype(np.uint16) if n else np.zeros(0, np.uint16)
     ends = np.cumsum(lengths)
     for d in range(longest):
-        folder.write(f"column-{d}", [[flat[ends[lengths > d] - 1 - d]]])
+        folder.write(f"column-{d}", [flat[ends[lengths > d] - 1 - d]])
     del flat
     alphabet = len(weights)
     weights = weights.astype(np.int64)
@@ -175,18 +189,18 @@ def transform(strings: list[np.ndarray], weights: np.ndarray, folder: Folder, bl
         """The symbols that come before the suffixes of d symbols, 0 where there is none."""
         out = np.zeros(n, dtype=np.uint16)
         if d < longest:
-            out[lengths > d] = next(folder.read(f"column-{d}", [np.uint16]))[0]
+            out[lengths > d] = next(folder.read(f"column-{d}", np.uint16))
             folder.remove(f"column-{d}")
         return out[owner]
 
     everyone = np.arange(n)
-    first = [column(0, everyone), np.zeros(n, np.uint16), everyone.astype(np.uint32), np.zeros(n, np.uint16)]
-    folder.write("round-0", ([c[a : a + block] for c in first] for a in range(0, n, block)))
+    first = _packed(column(0, everyone), np.zeros(n, np.uint16), everyone, 0)
+    folder.write("round-0", (first[a : a + block] for a in range(0, n, block)))
     active = place = np.flatnonzero(lengths)
     total, done = n, 0
     while len(active):
-        files = folder.read(f"round-{done}", kinds)
-        symbol, before, own, follow, seen = _places(((b[0], b[1]) for b in files), place, alphabet)
+        blocks = folder.read(f"round-{done}", ROW)
+        symbol, before, own, follow, seen = _places(map(_symbols_prefixes, blocks), place, alphabet)
         less = np.cumsum(seen) - seen
         target = n + less[symbol] - seen[0] + before
         own = np.where(own >= 0, own + weights[symbol], 0)
@@ -195,13 +209,13 @@ def transform(strings: list[np.ndarray], weights: np.ndarray, folder: Folder, bl
         order = np.argsort(target, kind="stable")
         active, target, own = active[order], target[order], own[order]
         done += 1
-        rows = [column(done, active), own.astype(np.uint16), active.astype(np.uint32), np.full(len(active), done, np.uint16)]
+        rows = _packed(column(done, active), own, active, done)
         by = np.argsort(late, kind="stable")
         total += len(active)
-        taker = _Taker(folder.read(f"round-{done - 1}", kinds), kinds)
-        folder.write(f"round-{done}", _merged(taker, total, target, rows, late[by], late_prefix[by].astype(np.uint16), block))
+        taker = _Taker(folder.read(f"round-{done - 1}", ROW))
+        folder.write(f"round-{done}", _merged(taker, total, target, rows, late[by], late_prefix[by], block))
         folder.remove(f"round-{done - 1}")
         left = lengths[active] > done
         active, place = active[left], target[left]
-    yield from folder.read(f"round-{done}", kinds)
+    yield from folder.read(f"round-{done}", ROW)
     folder.remove(f"round-{done}")

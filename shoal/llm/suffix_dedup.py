@@ -5,19 +5,22 @@ Hashes only choose what is looked at; the transform decides what is a repeat.
 1. Every window of PASSAGE bytes has an anchor, its least hashed k-gram (the
    leftmost of equals). Equal windows have equal anchors at the same place, so
    that only anchors whose hash occurs twice can hold a repeat. A run is the
-   windows of one anchor. Of runs with equal content two occurrences stand for
-   all, so that copies without number cost no more than two.
+   windows of one anchor. One of the runs with equal content stands for all and
+   counts as often, so that copies without number are one run to look at.
 2. Runs are cut into units at fixed places from the anchor. All windows of a
-   unit contain its core; units with equal cores form a group.
-3. The units of whole groups are strings (bytes before the core, the core as one
-   symbol of its own weight, bytes after it), two of each kind, and go through
-   the collection Burrows-Wheeler transform, in shards, over sequential files in
-   the shared folder. Suffixes with the length asked in common with a neighbour
-   are repeats. The units of a core with more than GROUP different ones are
-   grouped window by window instead, each window being its own core.
+   unit contain its core, and units with equal cores meet in one task.
+3. There they are cut into parts of PART windows, which contain a longer core
+   each. Parts whose core occurs twice are strings (bytes before the core, the
+   core as one symbol of its own weight, bytes after it), each with its count,
+   and go shard by shard through the collection Burrows-Wheeler transform over
+   sequential files in the shared folder. A suffix that holds the length asked is
+   a repeat if it has that length in common with a neighbour, or counts twice.
+   Where more than GROUP units have one core, they are compared window by
+   window instead, by digest, and spread over all tasks.
 4. Repeats go back to all occurrences, whose covered bytes are removed.
 
-The same is done for strings of PASSAGE bytes, which are counted, not removed.
+The same is done for strings of PASSAGE bytes, which are counted, not removed;
+where LENGTH bytes repeat, those among them need no strings of their own.
 Content, cores and windows are told apart by digests of 128 bits.
 
 Defined results: a null text is empty; texts shorter than LENGTH are kept whole;
@@ -36,26 +39,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_hot, keyed, release, scratch, small_batches, stash
+from ._common import join_hot, keyed, release, scratch, small_batches, stash, without_hot
 from ._words import powers, stretches
-from .collection_bwt import Folder, transform
+from .collection_bwt import ROW, Folder, transform, unpacked
 from .perfect_hash import mix
 
-LENGTH, PASSAGE = 400, 240
-#: Bytes of an anchor's k-gram; window starts in a unit.
-GRAM, UNIT = 48, 32
-#: Bytes looked at together; strings of a shard; different strings of a core that go through the transform.
+LENGTH, PASSAGE = 400, 280
+#: Bytes of an anchor's k-gram; window starts in a unit, and in a part of it.
+GRAM, UNIT, PART = 32, 32, 16
+#: Bytes looked at together; strings of a shard; units of a core that go through the transform.
 STRETCH, SHARD, GROUP = 1 << 17, 1 << 14, 1 << 13
 _TABLE = mix(np.arange(256, dtype=np.uint64), 23)
 _POSITION = np.uint64((1 << 20) - 1)
-RUNS = "h long, content binary, key binary, lo int, n int, off int"
-STRING = "kind short, core binary, unit binary"
-
-
-def _digest(*parts: bytes) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(b"".join(parts))
+#: Of a run: first window, number of windows and place of the anchor, in one number.
+_LO, _N, _FIELD = 24, 12, (1 << 12) - 1
+RUNS = "h long, content binary, key binary, place long"
+UNITS = "kind short, core binary, content binary, times long, first int, n int, head binary, tail binary"
+MARKS = "content binary, mark long, times long"
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -111,15 +111,16 @@ def _runner(length: int, passage: int):
                 ends = np.minimum(lo + n - 1 + length, offsets[text + 1])
                 body = memoryview(data)
                 content = [xxhash.xxh3_128_digest(body[a:b], seed=s) for a, b, s in zip(lo.tolist(), ends.tolist(), (off << 10 | n).tolist(), strict=True)]
-                columns = [pa.array(h.view(np.int64)), pa.array(content, pa.binary()), keys.take(pa.array(first + text)), *[pa.array(x.astype(np.int32)) for x in (lo - offsets[text], n, off)]]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "content", "key", "lo", "n", "off"])
+                place = (lo - offsets[text]) << _LO | n << _N | off
+                columns = [pa.array(h.view(np.int64)), pa.array(content, pa.binary()), keys.take(pa.array(first + text)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "content", "key", "place"])
 
     return run
 
 
-def _unit_maker(lengths: tuple[int, ...]):
-    """Units of each run in a text's list, for windows of each length."""
-    kinds = {"kind": pa.int16(), "core": pa.binary(), "unit": pa.binary(), "content": pa.binary(), "times": pa.int64(), "first": pa.int32(), "n": pa.int32(), "head": pa.binary(), "tail": pa.binary()}
+def _unit_maker(lengths: tuple[int, int]):
+    """Units of each run in a text's list, for windows of either length."""
+    kinds = {"kind": pa.int16(), "core": pa.binary(), "content": pa.binary(), "times": pa.int64(), "first": pa.int32(), "n": pa.int32(), "head": pa.binary(), "tail": pa.binary()}
 
     def make(batches):
         import xxhash
@@ -129,89 +130,158 @@ def _unit_maker(lengths: tuple[int, ...]):
             for text, marks in zip(batch.column("text"), batch.column("runs"), strict=True):
                 body, out = text.as_buffer().to_pybytes(), []
                 for r in marks.as_py():
-                    content, times, lo, anchor = r["content"], r["times"], r["lo"], r["lo"] + r["off"]
+                    content, times, place = r["content"], r["times"], r["place"]
+                    first, n = place >> _LO, place >> _N & _FIELD
+                    anchor, end = first + (place & _FIELD), first + n
                     for kind, length in enumerate(lengths):
-                        hi = min(lo + r["n"], len(body) - length + 1)
+                        hi = min(end, len(body) - length + 1)
+                        # windows of the longer kind repeat for certain where the content does
+                        lo = max(first, len(body) - lengths[1] + 1) if kind == 0 and times > 1 else first
                         # a unit's starts are anchor + UNIT * i .. anchor + UNIT * i + UNIT - 1
                         for base in range(lo - (lo - anchor) % UNIT, hi, UNIT):
                             s, e = max(lo, base), min(hi, base + UNIT)
-                            core, head, tail = digest(body[base + UNIT - 1 : base + length]), body[s : base + UNIT - 1], body[base + length : e - 1 + length]
-                            out.append((kind, core, digest(core + bytes((len(head),)) + head + tail), content, times, s - lo, e - s, head, tail))
+                            out.append((kind, digest(body[base + UNIT - 1 : base + length]), content, times, s - first, e - s, body[s : base + UNIT - 1], body[base + length : e - 1 + length]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 
     return make
 
 
-def covered(kinds: list[int], cores: list[bytes], heads: list[bytes], tails: list[bytes], lengths: tuple[int, ...], folder: Folder) -> tuple[np.ndarray, np.ndarray]:
-    """(string, window) of each window that occurs twice; strings of equal kind and core are of one group."""
-    names: dict[tuple[int, bytes], int] = {}
-    group = [names.setdefault(x, len(names)) for x in zip(kinds, cores, strict=True)]
-    weights = np.ones(257 + len(names), dtype=np.int32)
-    weights[257:] = [lengths[k] - UNIT + 1 for k, _ in names]
+def parts(units: list[tuple[bytes, bytes, int, int]]) -> list[list[tuple[bytes, bytes, int, list[tuple[int, int]]]]]:
+    """For each core of parts that occurs twice its strings: head, tail, count, and the units and windows where they begin.
+
+    units, all of one core, are (head, tail, number of windows, count).
+    """
+    found: dict[tuple, dict[tuple, list]] = {}
+    for u, (head, tail, n, count) in enumerate(units):
+        a = UNIT - 1 - len(head)
+        for i in range(a // PART, (a + n - 1) // PART + 1):
+            low, high = max(a, PART * i), min(a + n, PART * i + PART)
+            core = PART * i + PART - 1 - a  # where it begins, in head
+            of_core = found.setdefault((i, head[core:], tail[: PART * i]), {})
+            string = of_core.setdefault((head[low - a : core], tail[PART * i : high - 1]), [0, []])
+            string[0] += count
+            string[1].append((u, low - a))
+    return [[(h, t, count, at) for (h, t), (count, at) in of_core.items()] for of_core in found.values() if sum(c for c, _ in of_core.values()) > 1]
+
+
+def covered(cores: list[tuple[int, list[tuple[bytes, bytes, int, list]]]], folder: Folder) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window) of each window that occurs twice; cores are (length, strings), strings count from the first core's on."""
+    weights = np.concatenate((np.ones(257, np.int64), [length - PART + 1 for length, _ in cores]))
     symbols = lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.uint16) + np.uint16(1)
-    strings = [np.concatenate((symbols(a), np.array([257 + g], dtype=np.uint16), symbols(b))) for a, g, b in zip(heads, group, tails, strict=True)]
-    sizes, need = np.array([len(s) for s in strings]), np.asarray(lengths)[np.asarray(kinds)]
-    found, last = [], None
-    for _, prefix, owner, depth in transform(strings, weights, folder):
-        if last is not None:  # the row before a block may repeat its first
-            prefix, owner, depth = (np.concatenate(x) for x in zip(last, (prefix, owner, depth), strict=True))
+    strings = [np.concatenate((symbols(h), np.array([257 + g], dtype=np.uint16), symbols(t))) for g, (_, of_core) in enumerate(cores) for h, t, _, _ in of_core]
+    several = np.array([c > 1 for _, of_core in cores for _, _, c, _ in of_core])
+    sizes, windows = np.array([len(s) for s in strings]), np.array([len(h) + len(t) - PART + 2 for _, of_core in cores for h, t, _, _ in of_core])
+    need = np.repeat([length for length, _ in cores], [len(of_core) for _, of_core in cores])
+    found, last = [], np.zeros(0, ROW)
+    for block in transform(strings, weights, folder):
+        rows = np.concatenate((last, block))  # the row before a block may repeat its first
+        _, prefix, owner, depth = unpacked(rows)
+        window = sizes[owner] - depth
         twice = prefix >= need[owner]
-        either = twice.copy()
+        either = several[owner]
+        either[: len(twice)] |= twice
         either[:-1] |= twice[1:]
-        at = np.flatnonzero(either)
-        found.append(np.stack((owner[at].astype(np.int64), sizes[owner[at]] - depth[at]), axis=1))
-        last = prefix[-1:], owner[-1:], depth[-1:]
+        at = np.flatnonzero(either & (window < windows[owner]))
+        found.append(np.stack((owner[at], window[at]), axis=1))
+        last = rows[-1:]
     rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return rows[:, 0], rows[:, 1]
 
 
-def _transformer(lengths: tuple[int, ...], shared: str):
+def _mark(kind: int, a: int, b: int) -> int:
+    """The windows a to b - 1 of a run, in one number."""
+    return kind << 48 | a << 24 | b
+
+
+def _transformer(lengths: tuple[int, int], shared: str):
     """Whole groups, whose rows follow one another, go through the transform in shards."""
-    names = ["kind", "core", "unit", "times", "windows"]
 
-    def flush(rows):
+    def flush(groups, cores):
         folder = Folder(f"{shared}/{uuid.uuid4().hex}")
-        both = [r for r in rows for _ in range(min(2, r[3]))]
-        of = np.repeat(np.arange(len(rows)), [min(2, r[3]) for r in rows])
-        string, window = covered([r[0] for r in both], [r[1] for r in both], [r[4] for r in both], [r[5] for r in both], lengths, folder)
+        string, window = covered([(lengths[kind], of_core) for _, kind, of_core in cores], folder)
         folder.remove()
-        found = np.unique(np.stack((of[string], window), axis=1), axis=0)
-        at, starts = np.unique(found[:, 0], return_index=True)
-        windows = [w.tolist() for w in np.split(found[:, 1], starts[1:])] if len(at) else []
-        columns = [[rows[i][k] for i in at] for k in range(4)]
-        kinds = pa.int16(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, windows], kinds, strict=True)], names)
+        places = [(g, at) for g, _, of_core in cores for *_, at in of_core]
+        marked: dict[tuple[int, int], list[int]] = {}
+        for i, w in zip(string.tolist(), window.tolist(), strict=True):
+            g, at = places[i]
+            for u, start in at:
+                marked.setdefault((g, u), []).append(start + w)
+        contents, marks, times = [], [], []
+        for (g, u), windows in marked.items():
+            kind, uses = groups[g][0], groups[g][1][u]
+            w = np.unique(windows)
+            cuts = np.flatnonzero(np.diff(w) > 1) + 1
+            for a, b in zip(w[np.append(0, cuts)].tolist(), w[np.append(cuts, len(w)) - 1].tolist(), strict=True):
+                for content, n, first in uses:
+                    contents.append(content)
+                    marks.append(_mark(kind, first + a, first + b + 1))
+                    times.append(n)
+        return pa.RecordBatch.from_arrays([pa.array(contents, pa.binary()), pa.array(marks, pa.int64()), pa.array(times, pa.int64())], ["content", "mark", "times"])
 
     def run(batches):
-        rows = []
+        groups, cores, held, now, units = [], [], 0, None, {}
+
+        def close():
+            """The units of one core, equal ones together, become strings."""
+            made = parts([(*unit, sum(n for _, n, _ in uses)) for unit, uses in units.items()]) if len(units) > 1 or any(n > 1 or len(uses) > 1 for uses in units.values() for _, n, _ in uses) else []
+            cores.extend((len(groups), now[0], of_core) for of_core in made)
+            if made:
+                groups.append((now[0], list(units.values())))
+            units.clear()
+            return sum(map(len, made))
+
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "core", "unit", "times", "head", "tail")), strict=True):
-                if len(rows) >= SHARD and row[:2] != rows[-1][:2]:
-                    yield flush(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield flush(rows)
+            for kind, core, content, times, first, n, head, tail in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                if (kind, core) != now:
+                    held += close()
+                    if held >= SHARD:
+                        yield flush(groups, cores)
+                        groups, cores, held = [], [], 0
+                    now = kind, core
+                units.setdefault((head, tail, n), []).append((content, times, first))
+        held += close()
+        if held:
+            yield flush(groups, cores)
 
     return run
 
 
-def _windows(batches):
-    """Each window of a string with its digest."""
-    for batch in batches:
-        out = []
-        for kind, core, unit, n, head, tail in zip(*(batch.column(c).to_pylist() for c in ("kind", "core", "unit", "n", "head", "tail")), strict=True):
-            for w in range(n):
-                rest = len(tail) - (n - 1 - w)
-                out.append((kind, core, unit, w, _digest(core, bytes((len(head) - w,)), head[w:], tail[:rest])))
-        if out:
-            kinds = pa.int16(), pa.binary(), pa.binary(), pa.int32(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "core", "unit", "w", "window"])
+def _windows(lengths: tuple[int, int]):
+    """Each window of a unit with its digest."""
+
+    def digests(batches):
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for kind, core, content, times, first, n, head, tail in zip(*(batch.column(c).to_pylist() for c in ("kind", "core", "content", "times", "first", "n", "head", "tail")), strict=True):
+                for w in range(n):
+                    rest = len(tail) - (n - 1 - w)
+                    out.append((xxhash.xxh3_128_digest(b"".join((bytes((kind, len(head) - w)), core, head[w:], tail[:rest]))), content, times, _mark(kind, first + w, first + w + 1)))
+            if out:
+                kinds = pa.binary(), pa.binary(), pa.int64(), pa.int64()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["window", "content", "times", "mark"])
+
+    return digests
+
+
+def _crowded(units: DataFrame, group: int) -> DataFrame | None:
+    """(kind, core, members) of the cores of more than group units; counted exactly only where a hash of them is crowded."""
+    n = units.count()
+    if n <= group:
+        return None
+    own = units.select("kind", "core", F.pmod(F.xxhash64("kind", "core"), F.lit(max(1, 64 * n // group))).alias("bucket"))
+    full = stash(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group), "buckets")
+    if not full.head(1):
+        return None
+    exact = join_hot(own, full, ["bucket"], "rows").groupBy("kind", "core").agg(F.count(F.lit(1)).alias("members"))
+    out = stash(exact.where(F.col("members") > group), "crowded")
+    return out if out.head(1) else None
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, group: int = GROUP) -> DataFrame:
-    """(key, lo, marks) of the runs with repeats: marks are windows (kind, first, n) from lo on that occur elsewhere too; kind 0 is of passage bytes, 1 of length."""
+    """(key, place, marks) of the runs with repeats, written; a mark is the windows of a run (from place >> 24 on) that occur elsewhere too, of passage bytes (kind 0) or of length (1)."""
     spark, lengths = docs.sparkSession, (passage, length)
     small_batches(spark)
     texts = keyed(docs, id_col, text_col)
@@ -219,32 +289,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     anchors = stash(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "anchors")
     shared = stash(join_hot(found, anchors, ["h"], "times").drop("h", "times"), "shared")
     release(found, anchors)
-    run = F.struct("key", "lo", "n", "off")
-    contents = shared.groupBy("content").agg(F.count(F.lit(1)).alias("times"), F.min(run).alias("a"), F.max(run).alias("b"))
-    pair = F.when((F.col("times") > 1) & (F.col("a") != F.col("b")), F.array("a", "b")).otherwise(F.array("a"))
-    of_text = contents.select("content", "times", F.explode(pair).alias("r")).groupBy(F.col("r.key").alias("k")).agg(F.collect_list(F.struct("content", "times", "r.lo", "r.n", "r.off")).alias("runs"))  # runs of one text
+    contents = shared.groupBy("content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "place")).alias("r"))
+    of_text = contents.groupBy(F.col("r.key").alias("k")).agg(F.collect_list(F.struct("content", "times", "r.place")).alias("runs"))  # runs of one text
     units = texts.join(of_text, texts["key"] == of_text["k"]).select("text", "runs")
-    units = stash(units.mapInArrow(_unit_maker(lengths), f"{STRING}, content binary, times long, first int, n int, head binary, tail binary"), "units")
-    strings = units.groupBy("kind", "core", "unit").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("tail").alias("tail"))
-    strings = stash(strings, "strings")
-    cores = strings.groupBy("kind", "core").agg(F.count(F.lit(1)).alias("members"), F.sum(F.least("times", F.lit(2))).alias("copies")).where("copies > 1").drop("copies")
-    cores = stash(cores, "cores")
-    groups = join_hot(strings, cores, ["kind", "core"], "members")
-    few = groups.where(F.col("members") <= group).select("kind", "core", "unit", "times", "head", "tail")
-    few = few.repartition("kind", "core").sortWithinPartitions("kind", "core", "unit")
-    parts = few.mapInArrow(_transformer(lengths, scratch(spark) + "/transform"), f"{STRING}, times long, windows array<int>")
-    many = stash(groups.where(F.col("members") > group).mapInArrow(_windows, f"{STRING}, w int, window binary"), "windows")
-    told = many.join(strings.select("kind", "core", "unit", "times"), ["kind", "core", "unit"])
-    told = stash(told, "told")
-    twice = stash(told.groupBy("kind", "window").agg(F.count(F.lit(1)).alias("strings"), F.sum("times").alias("all")).where("all > 1").drop("all"), "twice")
-    single = join_hot(told, twice, ["kind", "window"], "strings").groupBy("kind", "core", "unit").agg(F.max("times").alias("times"), F.collect_set("w").alias("windows"))  # at most UNIT
-    marked = stash(parts.unionByName(single), "marked")
-    back = join_hot(units.select("kind", "core", "unit", "content", "first", F.col("times").alias("uses")), marked, ["kind", "core", "unit"], "times")
-    back = back.select("content", "uses", F.struct("kind", "first", "windows").alias("mark"))
-    marks = stash(back.groupBy("content").agg(F.max("uses").alias("times"), F.collect_set("mark").alias("marks")), "marks")  # units of one run
-    release(units, strings, cores, many, told, twice, marked)
-    placed = join_hot(shared.select("content", "key", "lo"), marks, ["content"], "times").select("key", "lo", "marks")
-    placed = stash(placed, "placed")
+    units = stash(units.mapInArrow(_unit_maker(lengths), UNITS), "units")
+    crowded = _crowded(units, group)
+    few = units if crowded is None else without_hot(units, crowded, ["kind", "core"], "members")
+    few = few.select(*units.columns).repartition("kind", "core").sortWithinPartitions("kind", "core")
+    marked = few.mapInArrow(_transformer(lengths, scratch(spark) + "/transform"), MARKS)
+    if crowded is not None:
+        windows = stash(join_hot(units, crowded, ["kind", "core"], "members").mapInArrow(_windows(lengths), "window binary, content binary, times long, mark long"), "windows")
+        twice = stash(windows.groupBy("window").agg(F.count(F.lit(1)).alias("rows"), F.sum("times").alias("all")).where("all > 1").drop("all"), "twice")
+        marked = marked.unionByName(join_hot(windows, twice, ["window"], "rows").select("content", "mark", "times"))
+    marks = stash(marked.groupBy("content").agg(F.max("times").alias("times"), F.collect_set("mark").alias("marks")), "marks")  # windows of one run
+    release(units)
+    placed = stash(join_hot(shared, marks, ["content"], "times").select("key", "place", "marks"), "placed")
     release(shared, marks)
     return placed
 
@@ -252,27 +311,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 def _cutter(length: int, passage: int):
     names = ["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"]
 
-    def cover(size: int, starts: list[int], width: int) -> np.ndarray:
+    def cover(size: int, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
         change = np.zeros(size + 1, dtype=np.int32)
         np.add.at(change, starts, 1)
-        np.add.at(change, np.asarray(starts, dtype=np.int64) + width, -1)
+        np.add.at(change, ends - 1 + width, -1)
         return np.cumsum(change[:-1]) > 0
 
     def cut(batches):
         for batch in batches:
             out = []
-            for key, doc_id, text, found in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
+            for key, doc_id, text, found in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found"), strict=True):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
-                starts: tuple[list[int], list[int]] = [], []
-                for run in found or ():
-                    for mark in run["marks"]:
-                        at = run["lo"] + mark["first"]
-                        starts[mark["kind"]].extend([at + w for w in mark["windows"]])
-                gone = cover(len(data), starts[1], length) if starts[1] else np.zeros(len(data), dtype=bool)
+                gone = again = np.zeros(len(data), dtype=bool)
+                if found.is_valid and len(found.values):
+                    marks = found.values.field("marks")
+                    mark = marks.flatten().to_numpy(zero_copy_only=False)
+                    lo = np.repeat(found.values.field("place").to_numpy(zero_copy_only=False) >> _LO, marks.value_lengths().to_numpy(zero_copy_only=False))
+                    starts, ends, long = lo + (mark >> 24 & 0xFFFFFF), lo + (mark & 0xFFFFFF), mark >> 48 == 1
+                    gone = cover(len(data), starts[long], ends[long], length)
+                    again = gone | cover(len(data), starts[~long], ends[~long], passage)
                 kept = data[~gone].tobytes()
                 n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]) if len(gone) else 0
-                again = int(cover(len(data), starts[0], passage).sum()) if starts[0] else 0
-                out.append((key, doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), again, kept))
+                out.append((key, doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), int(again.sum()), kept))
             columns = list(zip(*out, strict=True)) or [[]] * 8
             kinds = [pa.binary(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -285,10 +345,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n_repeated counts the bytes covered by strings of passage bytes that start elsewhere too.
     """
-    if not GRAM <= passage <= length or passage <= UNIT or length >= 1 << 15:
+    if not GRAM <= passage <= length or passage <= UNIT or length > _FIELD:
         raise ValueError("passage must hold a gram and a unit, length at least a passage")
     placed = repeats(docs, id_col, text_col, length, passage, group)
-    placed = placed.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("lo", "marks")).alias("found"))  # runs of one text
+    placed = placed.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("place", "marks")).alias("found"))  # runs of one text
     texts = keyed(docs, id_col, text_col)
     joined = texts.join(placed, texts["key"] == F.col("k"), "left").select("key", "doc_id", "text", "found")
     return joined.mapInArrow(_cutter(length, passage), "key binary, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary")

@@ -18,7 +18,7 @@ import corpus_pipeline
 from shoal.llm import exact_dedup, minhash, mixing, packing, perfect_hash, quality, spans, suffix_dedup, token_files, topk, warc
 from shoal.llm._bpe import PieceCoder
 from shoal.llm._words import words_of
-from shoal.llm.collection_bwt import Folder, transform
+from shoal.llm.collection_bwt import Folder, transform, unpacked
 from shoal.llm.components import components
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -430,8 +430,8 @@ def test_collection_transform(strings, block):
     with tempfile.TemporaryDirectory() as path:
         blocks = list(transform([np.array(s, dtype=np.uint16) for s in strings], weights, Folder(f"file://{path}/f"), block))
         assert not any(os.scandir(f"{path}/f"))
-    assert all(len(b[0]) <= block for b in blocks)
-    symbols, prefixes, owner, depth = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    assert all(len(b) <= block for b in blocks)
+    symbols, prefixes, owner, depth = unpacked(np.concatenate(blocks))
     want = sorted((tuple(s[len(s) - d :]), j, d) for j, s in enumerate(strings) for d in range(len(s) + 1))
     assert [(j, d) for _, j, d in want] == list(zip(owner.tolist(), depth.tolist(), strict=True))
     for k, (suffix, j, d) in enumerate(want):
