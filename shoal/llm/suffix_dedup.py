@@ -147,11 +147,24 @@ def _unit_maker(lengths: tuple[int, int]):
     return make
 
 
-def parts(units: list[tuple[bytes, bytes, int, int]]) -> list[list[tuple[bytes, bytes, int, list[tuple[int, int]]]]]:
-    """For each core of parts that occurs twice its strings: head, tail, count, and the units and windows where they begin.
+class Core:
+    """Strings that share a core: (head, tail, windows, count, units and windows where they begin).
 
-    units, all of one core, are (head, tail, number of windows, count).
+    Where there is one string only, all of it is the core, one symbol for all its windows.
     """
+
+    def __init__(self, length: int, group: int, strings: list[tuple[bytes, bytes, int, int, list[tuple[int, int]]]], part: int = PART):
+        self.length, self.group = length, group
+        self.alone = len(strings) == 1
+        self.weight = length + (strings[0][2] - 1 if self.alone else 1 - part)
+        self.strings = [(b"", b"", *strings[0][2:])] if self.alone else strings
+
+
+def parts(units: list[tuple[bytes, bytes, int, int]], length: int, group: int) -> list[Core]:
+    """The cores of parts that occur twice. units, all of one core, are (head, tail, number of windows, count)."""
+    if len(units) == 1:
+        head, tail, n, count = units[0]
+        return [Core(length, group, [(head, tail, n, count, [(0, 0)])])] if count > 1 else []
     found: dict[tuple, dict[tuple, list]] = {}
     for u, (head, tail, n, count) in enumerate(units):
         a = UNIT - 1 - len(head)
@@ -159,34 +172,38 @@ def parts(units: list[tuple[bytes, bytes, int, int]]) -> list[list[tuple[bytes,
             low, high = max(a, PART * i), min(a + n, PART * i + PART)
             core = PART * i + PART - 1 - a  # where it begins, in head
             of_core = found.setdefault((i, head[core:], tail[: PART * i]), {})
-            string = of_core.setdefault((head[low - a : core], tail[PART * i : high - 1]), [0, []])
-            string[0] += count
-            string[1].append((u, low - a))
-    return [[(h, t, count, at) for (h, t), (count, at) in of_core.items()] for of_core in found.values() if sum(c for c, _ in of_core.values()) > 1]
+            string = of_core.setdefault((head[low - a : core], tail[PART * i : high - 1]), [high - low, 0, []])
+            string[1] += count
+            string[2].append((u, low - a))
+    return [Core(length, group, [(h, t, *rest) for (h, t), rest in of_core.items()]) for of_core in found.values() if sum(c for _, c, _ in of_core.values()) > 1]
 
 
-def covered(cores: list[tuple[int, list[tuple[bytes, bytes, int, list]]]], folder: Folder) -> tuple[np.ndarray, np.ndarray]:
-    """(string, window) of each window that occurs twice; cores are (length, strings), strings count from the first core's on."""
-    weights = np.concatenate((np.ones(257, np.int64), [length - PART + 1 for length, _ in cores]))
+def covered(cores: list[Core], folder: Folder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, a, b): the windows a to b - 1 occur twice; strings count from the first core's on."""
+    weights = np.concatenate((np.ones(257, np.int64), [c.weight for c in cores]))
+    flat = [x for c in cores for x in c.strings]
+    group = np.repeat(np.arange(len(cores)), [len(c.strings) for c in cores])
     symbols = lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.uint16) + np.uint16(1)
-    strings = [np.concatenate((symbols(h), np.array([257 + g], dtype=np.uint16), symbols(t))) for g, (_, of_core) in enumerate(cores) for h, t, _, _ in of_core]
-    several = np.array([c > 1 for _, of_core in cores for _, _, c, _ in of_core])
-    sizes, windows = np.array([len(s) for s in strings]), np.array([len(h) + len(t) - PART + 2 for _, of_core in cores for h, t, _, _ in of_core])
-    need = np.repeat([length for length, _ in cores], [len(of_core) for _, of_core in cores])
+    names = (257 + np.arange(len(cores))).astype(np.uint16)
+    strings = [np.concatenate((symbols(x[0]), names[g : g + 1], symbols(x[1]))) if x[0] or x[1] else names[g : g + 1] for g, x in zip(group.tolist(), flat, strict=True)]
+    sizes, windows, several = (np.array(x) for x in zip(*[(len(s), x[2], x[3] > 1) for s, x in zip(strings, flat, strict=True)], strict=True))
+    need, alone = np.array([c.length for c in cores])[group], np.array([c.alone for c in cores])[group]
     found, last = [], np.zeros(0, ROW)
     for block in transform(strings, weights, folder):
         rows = np.concatenate((last, block))  # the row before a block may repeat its first
         _, prefix, owner, depth = unpacked(rows)
         window = sizes[owner] - depth
         twice = prefix >= need[owner]
-        either = several[owner]
-        either[: len(twice)] |= twice
+        either = several[owner] | twice
         either[:-1] |= twice[1:]
-        at = np.flatnonzero(either & (window < windows[owner]))
-        found.append(np.stack((owner[at], window[at]), axis=1))
+        at = np.flatnonzero(either & (depth > 0) & (window < windows[owner]))
+        found.append(owner[at] << 32 | window[at])
         last = rows[-1:]
-    rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    return rows[:, 0], rows[:, 1]
+    at = np.unique(np.concatenate(found))
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1))) if len(at) else at
+    string, a = at[starts] >> 32, at[starts] & 0xFFFFFFFF
+    b = (at[np.append(starts[1:], len(at)) - 1] & 0xFFFFFFFF) + 1 if len(at) else at
+    return string, a, np.where(alone[string], windows[string], b)
 
 
 def _mark(kind: int, a: int, b: int) -> int:
@@ -199,40 +216,32 @@ def _transformer(lengths: tuple[int, int], shared: str):
 
     def flush(groups, cores):
         folder = Folder(f"{shared}/{uuid.uuid4().hex}")
-        string, window = covered([(lengths[kind], of_core) for _, kind, of_core in cores], folder)
+        found = covered(cores, folder)
         folder.remove()
-        places = [(g, at) for g, _, of_core in cores for *_, at in of_core]
-        marked: dict[tuple[int, int], list[int]] = {}
-        for i, w in zip(string.tolist(), window.tolist(), strict=True):
+        places = [(c.group, x[4]) for c in cores for x in c.strings]
+        out = []
+        for i, a, b in zip(*(x.tolist() for x in found), strict=True):
             g, at = places[i]
+            kind, uses = groups[g]
             for u, start in at:
-                marked.setdefault((g, u), []).append(start + w)
-        contents, marks, times = [], [], []
-        for (g, u), windows in marked.items():
-            kind, uses = groups[g][0], groups[g][1][u]
-            w = np.unique(windows)
-            cuts = np.flatnonzero(np.diff(w) > 1) + 1
-            for a, b in zip(w[np.append(0, cuts)].tolist(), w[np.append(cuts, len(w)) - 1].tolist(), strict=True):
-                for content, n, first in uses:
-                    contents.append(content)
-                    marks.append(_mark(kind, first + a, first + b + 1))
-                    times.append(n)
-        return pa.RecordBatch.from_arrays([pa.array(contents, pa.binary()), pa.array(marks, pa.int64()), pa.array(times, pa.int64())], ["content", "mark", "times"])
+                out += [(content, _mark(kind, first + start + a, first + start + b), n) for content, n, first in uses[u]]
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["content", "mark", "times"])
 
     def run(batches):
         groups, cores, held, now, units = [], [], 0, None, {}
 
         def close():
             """The units of one core, equal ones together, become strings."""
-            made = parts([(*unit, sum(n for _, n, _ in uses)) for unit, uses in units.items()]) if len(units) > 1 or any(n > 1 or len(uses) > 1 for uses in units.values() for _, n, _ in uses) else []
-            cores.extend((len(groups), now[0], of_core) for of_core in made)
+            made = parts([(*unit, sum(n for _, n, _ in uses)) for unit, uses in units.items()], lengths[now[0]], len(groups)) if units else []
+            cores.extend(made)
             if made:
                 groups.append((now[0], list(units.values())))
             units.clear()
-            return sum(map(len, made))
+            return sum(len(c.strings) for c in made)
 
         for batch in batches:
-            for kind, core, content, times, first, n, head, tail in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+            for kind, core, content, times, first, n, head, tail in zip(*(c.to_pylist() for c in _not_single(batch).columns), strict=True):
                 if (kind, core) != now:
                     held += close()
                     if held >= SHARD:
@@ -247,6 +256,18 @@ def _transformer(lengths: tuple[int, int], shared: str):
     return run
 
 
+def _not_single(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """batch without the units whose core comes once, as far as the batch shows it."""
+    if batch.num_rows < 3:
+        return batch
+    column = batch.column("core")
+    core = np.frombuffer(column.buffers()[2], dtype=np.uint64)[2 * column.offset : 2 * (column.offset + batch.num_rows)].reshape(-1, 2)
+    kind = batch.column("kind").to_numpy()
+    same = np.append((core[1:] == core[:-1]).all(axis=1) & (kind[1:] == kind[:-1]), True)  # as the next one, which the last can't tell
+    keep = same | np.append(True, same[:-1]) | (batch.column("times").to_numpy() > 1)
+    return batch if keep.all() else batch.filter(pa.array(keep))
+
+
 def _windows(lengths: tuple[int, int]):
     """Each window of a unit with its digest."""
 
