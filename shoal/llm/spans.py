@@ -17,7 +17,6 @@ is repeated; other columns play no part. Empty input gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 
@@ -26,9 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keyed, small_batches, stash
+from ._common import crowded, join_hot, release, small_batches, stash, without_hot
 
 RUN, WORDS, LONG, NEAR = 3, 24, 12, 7
+#: Occurrences of a span that one task takes.
+GROUP = 1 << 13
+SPANS = "one long, two long, id long, hash long, place long"
+#: Bits of a place for the number of sentences of a run.
+_SIZE = 24
+#: Of either half of a hash: what a run's sentences are weighted by, and its inverse modulo 2^64.
+_BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+")
 _WORD = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
@@ -60,104 +66,107 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of sentences and hash of the run from each sentence that has one."""
+def runs(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number of sentences and hash (two numbers) of the run from each sentence that has one."""
     import xxhash
 
     words = [p.encode("utf-8", "surrogatepass").split() for p in parts]
-    hashes = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) if w else 0 for w in words], dtype=np.uint64)
     full = np.flatnonzero([bool(w) for w in words])  # white space alone is no sentence
     if not len(full):
-        return full, full, hashes[:0]
+        return full, full, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b" ".join(words[i])) for i in full]), dtype=np.uint64).reshape(-1, 2)
     n = np.cumsum([0, *[len(words[i]) for i in full]])
     need = np.searchsorted(n, n[:-1] + WORDS)  # sentences up to the one that completes the words
     ends = np.maximum(need, np.arange(len(full)) + RUN)
     good = ends <= len(full)
-    h = hashes[full]
-    with np.errstate(over="ignore"):
-        base = np.uint64(0x9E3779B97F4A7C15)
-        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(h), base, dtype=np.uint64))))
-        # prefix sums of h[i] * base^i; a run's sum is brought to a common power
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(h * powers[:-1])))
-        starts = np.arange(len(full))[good]
-        ends = ends[good]
-        out = (sums[ends] - sums[starts]) * powers[len(h) - starts]
-        lift = pow(int(base), -1, 1 << 64)
-        back = np.uint64(pow(lift, len(h), 1 << 64))
-        out = out * back
-    last = full[ends - 1]
-    return full[starts], last - full[starts] + 1, out
+    starts, ends = np.arange(len(full))[good], ends[good]
+    out = []
+    for half, (base, inverse) in zip(digests.T, _BASES, strict=True):
+        up, down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(half), x, dtype=np.uint64)))) for x in (base, inverse))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(half * up[:-1])))
+        out.append((sums[ends] - sums[starts]) * down[starts])  # each run's first sentence counts once
+    return full[starts], full[ends - 1] - full[starts] + 1, *out
 
 
 def _spanner(batches):
     for batch in batches:
-        keys, ids, at, size, hashes = [], [], [], [], []
-        for key, doc_id, text in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            s, n, h = runs(sentences(text.as_py()))
-            keys.append(np.full(len(s), key))
-            ids.append(np.full(len(s), np.iinfo(np.int64).max if doc_id is None else doc_id))
-            at.append(s), size.append(n), hashes.append(h)
-        flat = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-        yield pa.RecordBatch.from_arrays([flat(hashes, np.uint64).view(pa.int64()), flat(ids, np.int64), flat(keys, np.int64), flat(at, np.int32), flat(size, np.int32)], ["span", "id", "key", "at", "size"])
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, at, size): the non-first occurrences of repeated spans."""
+        found = [runs(sentences(text.as_py())) for text in batch.column("text")]
+        if not found:
+            continue
+        at, size, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+        of = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        place = at.astype(np.int64) << _SIZE | size
+        yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("id").take(of), batch.column("hash").take(of), pa.array(place)], ["one", "two", "id", "hash", "place"])
+
+
+def _not_first(batches):
+    """Rows, in the order of their spans, that are neither a span's first nor its equals."""
+    held = None
+    for batch in batches:
+        x = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        if not len(x):
+            continue
+        rows = x if held is None else np.concatenate((held[None], x))
+        new = np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        other = (rows[:, 2:] != rows[first, 2:]).any(axis=1)
+        held = rows[first[-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[other, c]) for c in (2, 3, 4)], ["id", "hash", "place"])
+
+
+def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, doc_id, text): the id, null last, and a hash of the text tell documents apart and order them."""
+    doc_id, text = docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit(""))
+    return docs.select(F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text, docs[text_col].isNull(), doc_id.isNull()).alias("hash"), doc_id.alias("doc_id"), text.alias("text"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """(id, hash, place): the non-first occurrences of repeated spans, written; a place is a sentence's number and the sentences from it.
+
+    Spans are shuffled once, by their hash of 128 bits. Those of more than group
+    occurrences stay out of that: their first is found by aggregation.
+    """
     small_batches(docs.sparkSession)
-    spans = stash(keyed(docs, id_col, text_col).mapInArrow(_spanner, "span long, id long, key long, at int, size int"), "spans")
-    counts = spans.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "at")).alias("first")).where("n > 1")
-    found = spans.join(counts, "span").where(F.struct("id", "key", "at") != F.col("first"))
-    return found.select("key", "at", "size").distinct()
+    columns = ["id", "hash", "place"]
+    spans = stash(_located(docs, id_col, text_col).select("id", "hash", "text").mapInArrow(_spanner, SPANS), "spans")
+    hot = crowded(spans, ["one", "two"], group)
+    few = spans if hot is None else without_hot(spans, hot, ["one", "two"], "times").select(*spans.columns)
+    found = few.repartition("one", "two").sortWithinPartitions(*spans.columns).mapInArrow(_not_first, "id long, hash long, place long")
+    if hot is not None:
+        many = stash(join_hot(spans, hot, ["one", "two"], "times"), "many")
+        first = many.groupBy("one", "two").agg(F.min(F.struct(*columns)).alias("first"), F.first("times").alias("times"))
+        found = found.unionByName(join_hot(many.drop("times"), stash(first, "first"), ["one", "two"], "times").where(F.struct(*columns) != F.col("first")).select(*columns))
+    found = stash(found, "repeated")
+    release(spans)
+    return found
 
 
 def _cutter(batches):
     for batch in batches:
         out = []
-        for key, doc_id, text, at, size in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("at"), batch.column("size"), strict=True):
-            parts = sentences(text.as_py())
+        for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places"), strict=True):
+            parts = sentences(text)
             gone = np.zeros(len(parts) + 1, dtype=np.int64)
-            starts = np.asarray(at.as_py() or [], dtype=np.int64)
-            np.add.at(gone, starts, 1)
-            np.add.at(gone, starts + np.asarray(size.as_py() or [], dtype=np.int64), -1)
+            if places.is_valid:
+                place = places.values.to_numpy(zero_copy_only=False)
+                np.add.at(gone, place >> _SIZE, 1)
+                np.add.at(gone, (place >> _SIZE) + (place & (1 << _SIZE) - 1), -1)
             cover = np.cumsum(gone)[:-1] > 0
             kept = "".join(p for p, c in zip(parts, cover, strict=True) if not c)
             n_spans = int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum()) if len(cover) else 0
-            out.append((key, doc_id, kept, len(parts), int(cover.sum()), n_spans, len(text.as_py()) - len(kept)))
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "doc_id", "kept_text", "n_sentences", "n_removed", "n_spans", "n_chars_removed"])
+            out.append((doc_id, kept, len(parts), int(cover.sum()), n_spans, len(text) - len(kept)))
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "kept_text", "n_sentences", "n_removed", "n_spans", "n_chars_removed"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: key, doc_id, kept_text, n_sentences, n_removed, n_spans, n_chars_removed."""
-    marks = repeated_spans(docs, id_col, text_col).groupBy("key").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
-    marks = marks.select(F.col("key").alias("k"), F.col("marks.at").alias("at"), F.col("marks.size").alias("size"))  # at most one for each sentence of a document
-    rows = keyed(docs, id_col, text_col)
-    joined = rows.join(marks, rows["key"] == F.col("k"), "left").select("key", "doc_id", "text", "at", "size")
-    return joined.mapInArrow(_cutter, "key long, doc_id long, kept_text string, n_sentences long, n_removed long, n_spans long, n_chars_removed long")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """One row per document: doc_id, kept_text, n_sentences, n_removed, n_spans, n_chars_removed."""
+    marks = repeated_spans(docs, id_col, text_col, group).groupBy("id", "hash").agg(F.collect_set("place").alias("places"))  # at most one for each sentence of a document
+    joined = _located(docs, id_col, text_col).join(marks, ["id", "hash"], "left").select("doc_id", "text", "places")
+    return joined.mapInArrow(_cutter, "doc_id long, kept_text string, n_sentences long, n_removed long, n_spans long, n_chars_removed long")
 
 
 def op8_sentence_spans(spark, sf_dir):
     kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_sentences", "n_removed", "n_spans", "n_chars_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: dict[int, str]) -> dict[int, list[int]]:
-    """Removed sentence positions by plain comparison of the words of every run; for tests."""
-    seen, out = {}, {}
-    for doc_id in sorted(texts):
-        parts = sentences(texts[doc_id])
-        words = [(i, p.encode().split()) for i, p in enumerate(parts)]
-        words = [(i, w) for i, w in words if w]
-        gone = set()
-        for s in range(len(words)):
-            n, e = 0, s
-            while e < len(words) and (n < WORDS or e - s < RUN):
-                n, e = n + len(words[e][1]), e + 1
-            if n >= WORDS and e - s >= RUN:
-                text = hashlib.sha256(b"\0".join(b" ".join(w) for _, w in words[s:e])).hexdigest()
-                if text in seen:
-                    gone.update(range(words[s][0], words[e - 1][0] + 1))
-                seen.setdefault(text, doc_id)
-        out[doc_id] = sorted(gone)
-    return out

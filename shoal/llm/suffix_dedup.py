@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_hot, keyed, release, scratch, small_batches, stash, without_hot
+from ._common import crowded, join_hot, keyed, release, scratch, small_batches, stash, without_hot
 from ._words import powers, stretches
 from .collection_bwt import ROW, Folder, transform, unpacked
 from .perfect_hash import mix
@@ -287,20 +287,6 @@ def _windows(lengths: tuple[int, int]):
     return digests
 
 
-def _crowded(units: DataFrame, group: int) -> DataFrame | None:
-    """(kind, core, members) of the cores of more than group units; counted exactly only where a hash of them is crowded."""
-    n = units.count()
-    if n <= group:
-        return None
-    own = units.select("kind", "core", F.pmod(F.xxhash64("kind", "core"), F.lit(max(1, 64 * n // group))).alias("bucket"))
-    full = stash(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group), "buckets")
-    if not full.head(1):
-        return None
-    exact = join_hot(own, full, ["bucket"], "rows").groupBy("kind", "core").agg(F.count(F.lit(1)).alias("members"))
-    out = stash(exact.where(F.col("members") > group), "crowded")
-    return out if out.head(1) else None
-
-
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE, group: int = GROUP) -> DataFrame:
     """(key, place, marks) of the runs with repeats, written; a mark is the windows of a run (from place >> 24 on) that occur elsewhere too, of passage bytes (kind 0) or of length (1)."""
     spark, lengths = docs.sparkSession, (passage, length)
@@ -314,12 +300,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     of_text = contents.groupBy(F.col("r.key").alias("k")).agg(F.collect_list(F.struct("content", "times", "r.place")).alias("runs"))  # runs of one text
     units = texts.join(of_text, texts["key"] == of_text["k"]).select("text", "runs")
     units = stash(units.mapInArrow(_unit_maker(lengths), UNITS), "units")
-    crowded = _crowded(units, group)
-    few = units if crowded is None else without_hot(units, crowded, ["kind", "core"], "members")
+    hot = crowded(units, ["kind", "core"], group)
+    few = units if hot is None else without_hot(units, hot, ["kind", "core"], "times")
     few = few.select(*units.columns).repartition("kind", "core").sortWithinPartitions("kind", "core")
     marked = few.mapInArrow(_transformer(lengths, scratch(spark) + "/transform"), MARKS)
-    if crowded is not None:
-        windows = stash(join_hot(units, crowded, ["kind", "core"], "members").mapInArrow(_windows(lengths), "window binary, content binary, times long, mark long"), "windows")
+    if hot is not None:
+        of_hot = join_hot(units, hot.withColumnRenamed("times", "members"), ["kind", "core"], "members")
+        windows = stash(of_hot.mapInArrow(_windows(lengths), "window binary, content binary, times long, mark long"), "windows")
         twice = stash(windows.groupBy("window").agg(F.count(F.lit(1)).alias("rows"), F.sum("times").alias("all")).where("all > 1").drop("all"), "twice")
         marked = marked.unionByName(join_hot(windows, twice, ["window"], "rows").select("content", "mark", "times"))
     marks = stash(marked.groupBy("content").agg(F.max("times").alias("times"), F.collect_set("mark").alias("marks")), "marks")  # windows of one run
