@@ -8,8 +8,11 @@ them with bitmap arithmetic. The top rows are selected from the score's most
 significant slice downward; rows that tie at the boundary have equal scores, and
 the smallest ids among them are taken, so that the result is exact.
 
-Queries meet all rows in blocks: the index of a block of rows is joined by its
-number to the blocks of queries. A block's answers are at most k per query.
+Queries meet all rows in blocks: blocks of queries, which are a small part of the
+rows, are sent to every block of rows, whose index is built once where its rows
+are gathered. While there are fewer blocks of rows than TASKS, a block is
+gathered in several places, each of which takes a share of the queries. A block's
+answers are at most k per query.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows without an id, take no part; vectors of different length count as
@@ -28,6 +31,8 @@ from pyspark.sql.window import Window
 from ._common import stash
 
 BLOCK_ROWS, BLOCK_QUERIES = 32768, 128
+#: Places at which few blocks of rows are gathered.
+TASKS = 24
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -113,31 +118,32 @@ class BitSliced:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def _blocker(names: tuple[str, str, str]):
-    def block(pdf):
-        import pandas as pd
+def _blocker(pdf):
+    import pandas as pd
 
-        values = np.zeros((len(pdf), int(pdf["width"].max())), dtype=np.int32)
-        for row, v in enumerate(pdf["q"]):
-            values[row, : len(v)] = v
-        ids = pdf["vec_id"].to_numpy(dtype=np.int64)
-        return pd.DataFrame({names[0]: [pdf["block"].iloc[0]], names[1]: [ids.tobytes()], names[2]: [values.tobytes()]})
-
-    return block
+    values = np.zeros((len(pdf), int(pdf["width"].max())), dtype=np.int32)
+    for row, v in enumerate(pdf["q"]):
+        values[row, : len(v)] = v
+    ids = pdf["vec_id"].to_numpy(dtype=np.int64)
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [ids.tobytes()], "vectors": [values.tobytes()]})
 
 
 def _searcher(k: int):
+    def unpack(row):
+        ids = np.frombuffer(row["ids"], dtype=np.int64)
+        return ids, np.frombuffer(row["vectors"], dtype=np.int32).reshape(len(ids), -1).astype(np.int64)
+
     def search(batches):
-        held: tuple[int, BitSliced] | None = None
+        held, index = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if held is None or held[0] != row["rows"]:
-                    ids = np.frombuffer(row["ids"], dtype=np.int64)
-                    held = row["rows"], BitSliced(ids, np.frombuffer(row["rows_values"], dtype=np.int32).reshape(len(ids), -1).astype(np.int64))
-                queries = np.frombuffer(row["query_ids"], dtype=np.int64)
-                values = np.frombuffer(row["query_values"], dtype=np.int32).reshape(len(queries), -1).astype(np.int64)
-                width = min(values.shape[1], held[1].width)
-                index = held[1]
+                if not row["asks"]:  # a block's rows come before its queries
+                    held, index = (row["block"], row["share"]), BitSliced(*unpack(row))
+                    continue
+                if held != (row["block"], row["share"]):
+                    continue
+                queries, values = unpack(row)
+                width = min(values.shape[1], index.width)
                 out = []
                 for own, q in zip(queries, values, strict=True):
                     full = np.zeros(index.width, dtype=np.int64)
@@ -163,13 +169,14 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     rows = stash(quantised(vectors, id_col, vector_col), "quantised")
     n, n_queries = rows.count(), rows.where(F.col("vec_id") % every == 0).count()
     blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    shares = min(query_blocks, -(-TASKS // blocks))
     deal = lambda df, m: df.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(m)))
-    index = deal(rows, blocks).groupBy("block").applyInPandas(_blocker(("rows", "ids", "rows_values")), "rows long, ids binary, rows_values binary")
-    asked = deal(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "q"]), query_blocks)
-    asked = asked.groupBy("block").applyInPandas(_blocker(("queries", "query_ids", "query_values")), "queries long, query_ids binary, query_values binary")
-    asked = asked.withColumn("rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    tasks = min(blocks * query_blocks, 4096)
-    met = index.join(asked, "rows").repartition(tasks, "rows", "queries").sortWithinPartitions("rows")
+    packed = lambda df, m: deal(df, m).groupBy("block").applyInPandas(_blocker, "block long, ids binary, vectors binary")
+    numbers = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    index = packed(rows, blocks).select("block", numbers(shares).alias("share"), F.lit(False).alias("asks"), "ids", "vectors")
+    asked = packed(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "q"]), query_blocks)
+    asked = asked.select(numbers(blocks).alias("block"), F.pmod("block", F.lit(shares)).alias("share"), F.lit(True).alias("asks"), "ids", "vectors")
+    met = index.unionByName(asked).repartition("block", "share").sortWithinPartitions("block", "share", "asks")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = met.mapInArrow(_searcher(k), RESULT).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

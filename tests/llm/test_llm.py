@@ -295,21 +295,20 @@ def test_cascade_is_exact(spark):
         assert told + (left.count() if (len(filters) % 2 == 1) == inside else 0) == rows.count()
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 0.2, 6)]) for i in range(150)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (202, None), (203, [None] * 6), (204, [float("nan")] * 6), (250, [0.0] * 6), (None, rows[0][1]), (300, [0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as q", "2 as block", "'x' as width").repartition(2)
     q = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] + [0] * (6 - len(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for i in sorted(q):
         if i % 50 == 0:
             scores = sorted(((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i))[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
-    for size in (32768, 40):
-        topk.BLOCK_ROWS = size
+    for size, queries in ((32768, 128), (40, 128), (40, 1), (10**6, 2)):
+        monkeypatch.setattr(topk, "BLOCK_ROWS", size), monkeypatch.setattr(topk, "BLOCK_QUERIES", queries)
         assert sorted(tuple(r) for r in topk.top_k(df).collect()) == want
-    topk.BLOCK_ROWS = 32768
     assert topk.top_k(df.limit(0)).count() == 0
 
 
