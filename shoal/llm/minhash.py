@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import doc_key, keyed, small_batches, stash
+from . import bitmaps
+from ._common import crowded, doc_key, join_hot, keyed, release, small_batches, stash, unused, without_hot
 from ._words import stretches, words_of
 from .components import components
 from .perfect_hash import mix
@@ -41,7 +42,9 @@ REGISTERS, BAND_ROWS, MANTISSA = 256, 6, 10
 COUNTERS = 1 << 18
 _EMPTY = np.uint16(0xFFFF)
 _BOUNDS = np.arange(REGISTERS + 1, dtype=np.uint64)
-SETS = "key long, doc_id long, sid long, n long, registers binary"
+SETS = "key binary, doc_id long, digest binary, n long, registers binary"
+#: Sets that hold a frequent shingle, as far as one task compares them.
+GROUP = 1 << 10
 
 
 def shingles_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -106,12 +109,12 @@ def _sketcher(words: int):
         import xxhash
 
         for batch in batches:
-            sids, sizes, regs = [], [], []
+            digests, sizes, regs = [], [], []
             for s in shingles_of(batch.column("text"), words):
                 sizes.append(len(s))
-                sids.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))) if len(s) else None)
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], ["key", "doc_id", "sid", "n", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], ["key", "doc_id", "digest", "n", "registers"])
 
     return sketch
 
@@ -200,30 +203,58 @@ def _prefixer(seen: np.ndarray, percent: int):
 
 def _apart(rest: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components among rest (sid, component): all that may be links, by prefix and position."""
-    texts = keyed(docs).join(sets.select("sid", F.col("first").alias("key")).join(rest, "sid"), "key").select("sid", "component", "text").dropDuplicates(["sid"])
+    texts = _texts(rest, sets, docs).select("sid", "component", "text")
     full = stash(texts.mapInArrow(_reshingler(words, "component"), "sid long, component long, hashes binary"), "rest")
     got = full.select("hashes").mapInArrow(_count, "counter long, seen long").groupBy("counter").agg(F.sum("seen").alias("seen")).toPandas()
     seen = np.zeros(COUNTERS, dtype=np.int32)
     seen[got["counter"].to_numpy(np.int64)] = np.minimum(got["seen"].to_numpy(np.int64), (1 << 31) - 1)
     places = stash(full.mapInArrow(_prefixer(seen, percent), "shingle long, place long, sid long, n long, component long"), "places")
+    return _compared(places, percent)
+
+
+def _compared(places: DataFrame, percent: int, group: int = GROUP) -> DataFrame:
+    """Pairs of different components that share a shingle; the sets of a frequent one are dealt into blocks, each a task's."""
+    hot = crowded(places, ["shingle"], group)
+    even = places if hot is None else without_hot(places, hot, ["shingle"], "times")
+    sides = [(even.withColumn("block", F.lit(0)),) * 2]
+    if hot is not None:
+        many = stash(join_hot(places, hot, ["shingle"], "times").withColumn("blocks", F.ceil(F.col("times") / group).cast("int")), "many")
+        dealt = many.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        sides.append((dealt, many.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))))
+    met = [_met(*[df.select("shingle", "block", *[F.col(c).alias(f"{c}_{x}") for c in ("place", "sid", "n", "component")]) for x, df in zip("ab", side, strict=True)], percent) for side in sides]
+    return (met[0] if len(met) == 1 else met[0].unionByName(met[1])).distinct()
+
+
+def _met(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
     enough = lambda x: (100 + percent) * (F.col(f"n_{x}") - F.col(f"place_{x}")) >= percent * (F.col("n_a") + F.col("n_b"))
-    one, two = (places.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("place", "sid", "n", "component")]) for x in "ab")
     # a is the smaller one: of itself alone, it needs fewer places
     one = one.where(f"{100 + percent} * (n_a - place_a) >= {2 * percent} * n_a")
     smaller = F.expr("n_a < n_b or n_a = n_b and sid_a < sid_b")
     fits = (F.col("component_a") != F.col("component_b")) & smaller & (100 * F.col("n_a") >= percent * F.col("n_b")) & enough("a") & enough("b")
-    return one.join(two, "shingle").where(fits).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct()
+    return one.join(two, ["shingle", "block"]).where(fits).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"))
+
+
+def _texts(needed: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """needed, unique by sid, with the text of each set's first document; few other texts are shuffled."""
+    needed = stash(needed.join(sets.select("sid", F.col("first").alias("key")), "sid"), "needed")
+    return bitmaps.among(keyed(docs), needed, ["key"], "wanted").join(needed, "key").dropDuplicates(["sid"])
+
+
+def _with_side(pairs: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """pairs, stashed, joined with right by one of their sets; a set that many pairs share is broadcast."""
+    uses = pairs.groupBy(on).agg(F.count(F.lit(1)).alias("uses"))
+    return join_hot(pairs, stash(right.join(uses, on), "side"), [on], "uses", share=200).drop("uses")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sids that are links: size bound, estimate, full sets."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb").select("a", "b", "na", "nb", "ra", "rb")
+    wide = _with_side(stash(_with_side(pairs, side("a"), "a"), "wide"), side("b"), "b").where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb").select("a", "b", "na", "nb", "ra", "rb")
     likely = stash(wide.mapInArrow(_estimator(percent / 100), "a long, b long"), "likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "first"), "sid")
-    texts = keyed(docs).join(needed.select("sid", F.col("first").alias("key")), "key").select("sid", "text").dropDuplicates(["sid"])
+    texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), sets, docs).select("sid", "text")
     full = stash(texts.mapInArrow(_reshingler(words), "sid long, hashes binary"), "full")
-    met = likely.join(full.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a").join(full.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
+    met = _with_side(likely, full.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
+    met = _with_side(stash(met, "met"), full.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
     return met.select("a", "b", "ha", "hb").mapInArrow(_confirmer(percent), "a long, b long")
 
 
@@ -232,41 +263,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     small_batches(spark)
     sketched = stash(keyed(docs).mapInArrow(_sketcher(words), SETS), "sketches")
-    sets = stash(sketched.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), F.min("key").alias("first")), "sets")
-    bands = sets.select("sid", "n", "registers").mapInArrow(_bander, "band long, sid long, n long")
-    bands = stash(bands, "bands")
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = stash(bands.join(shared, "band").select("band", "sid", "members"), "members")
+    sets = sketched.where("digest is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), F.min("key").alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    sets = stash(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    bands = stash(sets.select("sid", "n", "registers").mapInArrow(_bander, "band long, sid long, n long").select("band", "sid"), "bands")
+    shared = stash(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    members = stash(join_hot(bands, shared, ["band"], "members"), "members")
+    release(bands)
     # the central set of a key is the one that meets most others, over all its keys
     central = members.groupBy("sid").agg(F.sum("members").alias("meets"))
-    members = stash(members.join(central, "sid").select("band", "sid", "meets"), "met")
-    hubs = members.groupBy("band").agg(F.max(F.struct("meets", "sid"))["sid"].alias("hub"))
+    met = stash(members.drop("members").join(central, "sid"), "met")
+    hubs = stash(met.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("meets", "sid"))["sid"].alias("hub")), "hubs")
     pair = [F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")]
-    tried = stash(members.join(hubs, "band").where("sid <> hub").select(*pair).distinct(), "tried")
+    tried = stash(join_hot(met, hubs, ["band"], "members").where("sid <> hub").select(*pair).distinct(), "tried")
+    release(members, hubs)
     links = stash(_confirmed(tried, sets, docs, words, percent), "links")
     found = components(links)
-    inside = members.select("band", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    inside = met.select("band", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     inside = stash(inside, "inside")
-    mixed = inside.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = stash(inside.join(mixed, "band").select("sid", "component").distinct(), "apart")
+    mixed = inside.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "members")
+    rest = stash(join_hot(inside, stash(mixed, "mixed"), ["band"], "members").select("sid", "component").distinct(), "apart")
+    release(met, inside)
     if rest.head(1):
-        pairs = _apart(rest, sets, docs, words, percent).join(tried, ["a", "b"], "left_anti")
+        pairs = stash(_apart(rest, sets, docs, words, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = stash(_confirmed(pairs, sets, docs, words, percent), "more")
         found = components(links.unionByName(more)) if more.head(1) else found
-    ids = sketched.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least_id"))
-    named = ids.join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_set = named.join(names, "component").select("sid", "component_id")
-    out = sketched.select("key", "doc_id", "sid", "n").join(of_set, "sid", "left")
-    component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    out = out.select("key", "doc_id", F.col("n").alias("n_shingles"), component)
+    named = sets.select("digest", "sid", "least_id", "copies").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = stash(named, "named")
+    names = stash(named.groupBy("component").agg(F.count(F.lit(1)).alias("times"), F.min("least_id").alias("component_id")), "names")
+    of_set = stash(join_hot(named, names, ["component"], "times").select("digest", "copies", "component_id"), "of_set")
+    of_doc = join_hot(sketched.where("digest is not null").select("key", "doc_id", "n", "digest"), of_set, ["digest"], "copies").select("key", "doc_id", "n", "component_id")
+    out = of_doc.unionByName(sketched.where("digest is null").select("key", "doc_id", "n", F.col("doc_id").alias("component_id")))
+    out = out.select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the first document of each component, all columns kept."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("key").alias("_key")).distinct()
-    return docs.join(gone, doc_key(docs["doc_id"], docs["text"]) == F.col("_key"), "left_anti")
+    """docs without all but the first document of each component, all columns kept; rows alike in id and text stay or go together."""
+    found = stash(near_duplicates(docs, words, percent).groupBy("key").agg(F.max("kept").alias("kept")), "found")
+    key, hit, verdict = unused(docs, "key", "hit", "verdict")
+    gone, others = (found.where(c).select(F.col("key").alias(key)) for c in ("not kept", "kept"))
+    return bitmaps.outside(docs.withColumn(key, doc_key(docs["doc_id"], docs["text"])), gone, others, [key], [hit, verdict]).drop(key)
 
 
 def op9_near_dedup(spark, sf_dir):

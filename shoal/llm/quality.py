@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine.
 
 Low-rank pairwise interactions among hashed words, structure statistics and
-metadata (the length in characters), scored in linear time by the identity
+metadata (the length in bytes), scored in linear time by the identity
 sum of squares: 2 * sum over pairs = (sum)^2 - sum of squares, for each factor.
 
 Defined results: a null text is empty; a document without words is scored by its
@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     known = known if all_folds else known.where(fold(F.col("id")) != 0)
     sample = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     small_batches(docs.sparkSession)
-    texts = keyed(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"])  # at most max_rows rows
+    # of rows that repeat a doc_id the least text is learned
+    texts = keyed(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     got = texts.select("doc_id", "text", "y").mapInArrow(_featured_with_id, "doc_id long, y int, index array<int>, value array<float>").toPandas()
     if not len(got):
         return None
@@ -166,6 +167,19 @@ def score(docs: DataFrame, model: FactorisationMachine | None) -> DataFrame:
     return keyed(docs).mapInArrow(_scorer(model), "key binary, doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: FactorisationMachine | None, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score of threshold at least, all columns kept; rows are neither joined nor shuffled."""
+    small_batches(docs.sparkSession)
+
+    def scored(batches):
+        for batch in batches:
+            text = batch.column(text_col).cast(pa.large_string()).fill_null("")
+            good = [model is None or model.score(*x) >= threshold for x in features_of(text)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(scored, docs.schema)
+
+
 def op10_quality(spark, sf_dir, threshold: float = 0.3):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

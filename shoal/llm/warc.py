@@ -37,8 +37,6 @@ from ._common import join_hot, scratch, small_batches, stash
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, block_bytes long, block_crc32 long"
-#: Bytes of the first bitmap of revisits up to which the bitmaps are broadcast.
-SMALL_BYTES = 256 << 20
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -64,41 +62,16 @@ def revisits(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
     return join_hot(large, origins, ["payload_digest"], "times").drop("times").where("not page_id <=> refers_to")
 
 
-def _key() -> Column:
-    return F.xxhash64("payload_digest", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
-
-
-def cascade(members: DataFrame, others: DataFrame, rows: int) -> list[tuple[int, DataFrame]]:
-    """Bitmaps, with their sizes, by which each hashed key k of members is told from each of others."""
-    out = []
-    while rows:
-        size = bitmaps.positions_for(rows)
-        pos = bitmaps.position(F.xxhash64("k", F.lit(len(out))), size)
-        held = stash(bitmaps.built(members.select(pos.alias("pos"))), "keys")
-        out.append((size, held))
-        mistaken = stash(bitmaps.tested(others, held, pos, "hit").where("hit").select("k"), "mistaken")
-        members, others, rows = mistaken, members, mistaken.count()
-    return out
+def responses(records: DataFrame, heads: DataFrame, again: DataFrame, small_bytes: int = bitmaps.SMALL_BYTES) -> DataFrame:
+    """records without those that revisit another one."""
+    on = ["payload_digest", "page"]
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    members = stash(again.select("payload_digest", page.alias("page")).distinct(), "members")
+    others = stash(heads.select("payload_digest", page.alias("page")).join(members, on, "left_anti"), "others")
+    return bitmaps.outside(records.withColumn("page", page), members, others, on, ["hit", "verdict"], small_bytes).drop("page")
 
 
-def responses(records: DataFrame, heads: DataFrame, again: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """records without those that revisit another one."""
-    n = again.count()
-    if bitmaps.positions_for(n) > 8 * small_bytes:
-        keys = again.select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p")).distinct()
-        return records.join(keys, (F.col("payload_digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left_anti")
-    members = stash(again.select(_key().alias("k")).distinct(), "members")
-    others = stash(heads.select(_key().alias("k")).join(members, "k", "left_anti"), "others")
-    state = records.withColumn("is_in", F.lit(True)).withColumn("open", F.lit(True)).withColumn("k", _key())
-    for i, (size, held) in enumerate(cascade(members, others, n)):
-        state = bitmaps.tested(state, held, bitmaps.position(F.xxhash64("k", F.lit(i)), size), "hit")
-        # the first bitmap that doesn't hold the key tells: an even one that it is no member, an odd one that it is
-        state = state.withColumn("is_in", F.when(F.col("open") & ~F.col("hit"), F.lit(i % 2 == 1)).otherwise(F.when(F.col("open"), F.lit(i % 2 == 0)).otherwise(F.col("is_in"))))
-        state = state.withColumn("open", F.col("open") & F.col("hit")).drop("hit")
-    return records if not n else state.where("not is_in").drop("is_in", "open", "k")
-
-
-def resolve(records: DataFrame, min_bytes: int = 0, small_bytes: int = SMALL_BYTES) -> DataFrame:
+def resolve(records: DataFrame, min_bytes: int = 0, small_bytes: int = bitmaps.SMALL_BYTES) -> DataFrame:
     """records with record_type and refers_to; revisits come without their payload."""
     heads = stash(records.drop("payload"), "heads")
     again = stash(revisits(heads, min_bytes), "revisits")

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shoal.llm import exact_dedup, minhash, mixing, packing, perfect_hash, quality, spans, suffix_dedup, token_files, topk, warc
+from shoal.llm import bitmaps, exact_dedup, minhash, mixing, packing, perfect_hash, quality, spans, suffix_dedup, token_files, topk, warc
 from shoal.llm._bpe import PieceCoder
 from shoal.llm._words import words_of
 from shoal.llm.collection_bwt import Folder, transform, unpacked
@@ -281,18 +281,16 @@ def test_warc_with_awkward_payloads(spark, tmp_path):
 
 
 def test_cascade_is_exact(spark):
-    keys = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("k"))
+    keys = lambda a, b: spark.range(a, b).select(F.col("id").alias("i"), F.lit("x").alias("s"))
     members, others = keys(0, 3000), keys(3000, 50_000)
-    filters = warc.cascade(members, others, 3000)
-    assert len(filters) > 1
-    for rows, inside in ((members, True), (others, False)):
-        left, told = rows, 0
-        for i, (size, held) in enumerate(filters):
-            state = warc.bitmaps.tested(left, held, warc.bitmaps.position(F.xxhash64("k", F.lit(i)), size), "hit").persist()
-            missed = state.where("not hit").count()
-            assert not missed or (i % 2 == 1) == inside
-            told, left = told + missed, state.where("hit").select("k")
-        assert told + (left.count() if (len(filters) % 2 == 1) == inside else 0) == rows.count()
+    assert len(bitmaps.cascade(members, others, ["i", "s"], 3000)) > 1
+    rows = keys(0, 50_000).selectExpr("*", "i as hit")
+    for small in (bitmaps.SMALL_BYTES, 0):
+        got = bitmaps.outside(rows, members, others, ["i", "s"], ["h", "v"], small)
+        assert sorted(r.i for r in got.collect()) == list(range(3000, 50_000)) and "v" not in got.columns
+    assert bitmaps.outside(rows, members.limit(0), rows, ["i", "s"], ["h", "v"]).count() == 50_000
+    likely = bitmaps.among(rows, members, ["i", "s"], "h")
+    assert likely.where("i < 3000").count() == 3000 and likely.count() < 6000
 
 
 def test_topk(spark, monkeypatch):
@@ -390,6 +388,19 @@ def test_near_duplicates(docs, none, k):
     assert minhash.near_duplicates(none, k).count() == 0
 
 
+def test_near_duplicates_of_frequent_shingles(docs, monkeypatch):
+    monkeypatch.setattr(minhash._compared, "__defaults__", (2,))
+    test_near_duplicates_in_a_crowded_key(docs.sparkSession)
+
+
+def test_drop_near_duplicates_keeps_columns(docs):
+    odd = docs.selectExpr("*", "'x' as _key", "1 as hit", "true as verdict")
+    want = naive_components([(r.doc_id, r.text) for r in docs.collect()], 5)
+    got = minhash.drop_near_duplicates(odd)
+    assert got.columns == odd.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter(d for (d, _, c), n in want.items() for _ in range(n) if d == c)
+
+
 def test_near_duplicates_on_chains_and_hot_groups(spark):
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in rng.integers(0, 10**6, 120)]
