@@ -7,17 +7,15 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shoal.llm import exact_dedup, minhash, mixing, packing, quality
-from shoal.llm._common import doc_key, stash
+from shoal.llm._common import stash
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier doesn't reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), all_folds=True)
-    rejected = quality.score(docs, model).where(F.col("score") < threshold).select(F.col("key").alias("_key")).distinct()
-    return docs.join(rejected, doc_key(docs["doc_id"], docs["text"]) == F.col("_key"), "left_anti")
+    return quality.keep(docs, model, threshold)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
