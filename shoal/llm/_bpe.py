@@ -19,6 +19,7 @@ from array import array
 import numpy as np
 
 _OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c != " "]
+_OTHER_ASCII = [c for c in _OTHER_SPACE if c.isascii()]
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Pieces that a cache holds, and the longest piece that it takes.
 CACHE_PIECES, CACHE_CHARS = 1_500_000, 64
@@ -41,12 +42,26 @@ def pieces(text: str) -> list[str]:
 
     All parts but the first go without their blank, with their line feed.
     """
-    odd = "  " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or any(c in text and any(c + d in text or d + c in text for d in " \n") for c in _OTHER_SPACE)
+    odd = "  " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace() or any(c in text and any(c + d in text or d + c in text for d in " \n") for c in (_OTHER_ASCII if text.isascii() else _OTHER_SPACE))
     if odd:
         return [p[1:] if i and p[0] == " " else p for i, p in enumerate(_BOUNDARY.split(text))]
     return text.replace("\n", " \n").split(" ")
 
 
+class _Pieces(dict):
+    """The ids of pieces after a blank, or after a line feed that they begin with; a new one is coded when it's asked for."""
+
+    def __init__(self, code):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.code(piece)
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = out
+        return out
+
+
 class PieceCoder:
     """Encodes texts as little-endian 32-bit ids."""
 
@@ -59,7 +74,7 @@ class PieceCoder:
         said = json.loads(self.tokenizer.to_str())
         pre = said.get("pre_tokenizer") or {}
         self.cuts = said.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self._new)
         self.signs: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.tokenize = self.model.tokenize
@@ -75,11 +90,7 @@ class PieceCoder:
             return self._whole(" " + piece if blank else piece)
         if len(word) == len(piece):
             return self._word(word, blank)
-        out = self.known.get(word) if blank else None
-        if out is None:
-            out = self._word(word, blank)
-            if blank:
-                self.known[word] = out
+        out = self.known[word] if blank else self._word(word, blank)
         signs = piece[len(word) :]
         return out + (self.signs.get(signs) or self._sign(signs))
 
@@ -91,20 +102,13 @@ class PieceCoder:
         self.signs[signs] = out = self._whole(signs)
         return out
 
+    def _new(self, piece: str) -> bytes:
+        return self._lf + self._piece(piece[1:], False) if piece[:1] == "\n" else self._piece(piece)
+
     def _parts(self, parts: list[str]) -> bytes:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        got, i = list(map(self.known.get, parts)), 0
-        for _ in range(got.count(None)):
-            i = got.index(None, i)
-            p = parts[i]
-            out = self.known.get(p)
-            if out is None:
-                out = self._lf + self._piece(p[1:], False) if p[:1] == "\n" else self._piece(p)
-                if len(p) <= CACHE_CHARS:
-                    self.known[p] = out
-            got[i] = out
-        return b"".join(got)
+        return b"".join(map(self.known.__getitem__, parts))
 
     def encode_pieces(self, parts: list[str]) -> bytes:
         """The ids of a text cut by pieces()."""

@@ -247,15 +247,21 @@ def _with_side(pairs: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sids that are links: size bound, estimate, full sets."""
+    """The pairs (a, b) of sids that are links, written: size bound, estimate, full sets."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    wide = _with_side(stash(_with_side(pairs, side("a"), "a"), "wide"), side("b"), "b").where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb").select("a", "b", "na", "nb", "ra", "rb")
-    likely = stash(wide.mapInArrow(_estimator(percent / 100), "a long, b long"), "likely")
+    near = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("size_a")), "a").join(sets.select(F.col("sid").alias("b"), F.col("n").alias("size_b")), "b")
+    near = stash(near.where(f"100 * size_b >= {percent} * size_a and 100 * size_a >= {percent} * size_b").select("a", "b"), "near")
+    wide = stash(_with_side(near, side("a"), "a"), "wide")
+    both = _with_side(wide, side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    likely = stash(both.mapInArrow(_estimator(percent / 100), "a long, b long"), "likely")
+    release(near, wide)
     texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), sets, docs).select("sid", "text")
     full = stash(texts.mapInArrow(_reshingler(words), "sid long, hashes binary"), "full")
-    met = _with_side(likely, full.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
-    met = _with_side(stash(met, "met"), full.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
-    return met.select("a", "b", "ha", "hb").mapInArrow(_confirmer(percent), "a long, b long")
+    met = stash(_with_side(likely, full.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a"), "met")
+    met_both = _with_side(met, full.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
+    links = stash(met_both.select("a", "b", "ha", "hb").mapInArrow(_confirmer(percent), "a long, b long"), "links")
+    release(likely, full, met)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -276,7 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pair = [F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")]
     tried = stash(join_hot(met, hubs, ["band"], "members").where("sid <> hub").select(*pair).distinct(), "tried")
     release(members, hubs)
-    links = stash(_confirmed(tried, sets, docs, words, percent), "links")
+    links = _confirmed(tried, sets, docs, words, percent)
     found = components(links)
     inside = met.select("band", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     inside = stash(inside, "inside")
@@ -285,7 +291,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     release(met, inside)
     if rest.head(1):
         pairs = stash(_apart(rest, sets, docs, words, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = stash(_confirmed(pairs, sets, docs, words, percent), "more")
+        more = _confirmed(pairs, sets, docs, words, percent)
         found = components(links.unionByName(more)) if more.head(1) else found
     named = sets.select("digest", "sid", "least_id", "copies").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = stash(named, "named")

@@ -33,10 +33,11 @@ SHARD_DOCS, SHARD_BYTES = 4096, 24 << 20
 #: Neighbours fetched at a time.
 NEIGHBOURS = 16
 #: A term that more than one in DENSE documents of a shard hold is a row of a table, all others are lists.
-DENSE = 8
+DENSE = 16
+TOGETHER = 16
 K1, B = 1.2, 0.75
-#: Weights are whole multiples of 1 / GRAIN, so that sums are exact in any order and equal documents tie.
-GRAIN = 1 << 20
+#: Weights are whole numbers of 1 / GRAIN, so that sums are exact in any order and equal documents tie.
+GRAIN = 1 << 12
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -88,7 +89,7 @@ class Index:
         tf = np.concatenate([c for _, c in bags]).astype(np.float64) if bags else np.zeros(0)
         length = np.asarray([c.sum() for _, c in bags], dtype=np.float64)
         norm = K1 * (1 - B + B * length / max(mean, 1e-9))
-        weight = np.rint(idf[terms] * tf * (K1 + 1) / (tf + norm[docs]) * GRAIN) / GRAIN
+        weight = np.rint(idf[terms] * tf * (K1 + 1) / (tf + norm[docs]) * GRAIN)
         order = np.argsort(terms, kind="stable")
         self.docs, self.weight, terms = docs[order], weight[order], terms[order]
         new = np.append(True, terms[1:] != terms[:-1])[: len(terms)]
@@ -100,7 +101,7 @@ class Index:
         self.queries = np.split(held, np.cumsum(sizes)[:-1])
         common = self.sizes * DENSE > self.n
         self.rows = np.where(common, np.cumsum(common) - 1, -1)
-        self.table = np.zeros((int(common.sum()), self.n))
+        self.table = np.zeros((int(common.sum()), self.n), dtype=np.int32)
         at = common[number]
         self.table[self.rows[number[at]], self.docs[at]] = self.weight[at]
         self.last: tuple[int, np.ndarray] = (-1, np.zeros(0))
@@ -114,9 +115,10 @@ class Index:
             sizes = self.sizes[query]
             ends = np.cumsum(sizes)
             at = np.repeat(self.starts[query] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-            found = np.bincount(self.docs[at], self.weight[at], minlength=self.n).astype(np.float64, copy=False)
-            for row in rows[rows >= 0]:
-                found += self.table[row]
+            found = np.bincount(self.docs[at], self.weight[at], minlength=self.n).astype(np.int64)
+            rows = rows[rows >= 0]
+            for a in range(0, len(rows), TOGETHER):  # sums of int32, each below 2^24, can't overflow
+                found += np.add.reduce(self.table[rows[a : a + TOGETHER]], axis=0, dtype=np.int32)
             self.last = (seed, found)
         return self.last[1]
 

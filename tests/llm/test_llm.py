@@ -197,7 +197,7 @@ def test_retrieval_is_exact_on_documents_of_many_words():
     weights = []
     for t, c in bags:
         norm = packing.K1 * (1 - packing.B + packing.B * c.sum() / mean)
-        weights.append(dict(zip(t.tolist(), np.rint(idf[t] * c * (packing.K1 + 1) / (c + norm) * packing.GRAIN) / packing.GRAIN, strict=True)))
+        weights.append(dict(zip(t.tolist(), np.rint(idf[t] * c * (packing.K1 + 1) / (c + norm) * packing.GRAIN), strict=True)))
     index = packing.Index(bags, idf, mean)
     unused = rng.random(len(bags)) < 0.8
     for seed in range(len(bags)):
