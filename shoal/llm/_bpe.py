@@ -18,6 +18,8 @@ from array import array
 
 import numpy as np
 
+from ._words import stretches, words_of
+
 _OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c != " "]
 _OTHER_ASCII = [c for c in _OTHER_SPACE if c.isascii()]
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -62,6 +64,49 @@ class _Pieces(dict):
         return out
 
 
+class _Table:
+    """Ids of pieces by two hashes of 64 bits, in open addressing: many at once are looked up by column."""
+
+    def __init__(self, bits: int = 21):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.first, self.second = (np.zeros(1 << bits, dtype=np.uint64) for _ in range(2))
+        self.start, self.length = np.zeros(1 << bits, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        self.ids, self.end, self.held = np.zeros(1 << 16, dtype="<u4"), 0, 0
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 if it isn't held."""
+        slot = (first & self.mask).astype(np.int64)
+        out = np.where((self.first[slot] == first) & (self.second[slot] == second) & (self.length[slot] >= 0), slot, -1)
+        left = np.flatnonzero((out < 0) & (self.length[slot] >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & int(self.mask)
+            at = slot[left]
+            good = (self.first[at] == first[left]) & (self.second[at] == second[left]) & (self.length[at] >= 0)
+            out[left[good]] = at[good]
+            left = left[~good & (self.length[at] >= 0)]
+        return out
+
+    def add(self, first: int, second: int, ids: bytes) -> None:
+        slot = first & int(self.mask)
+        while self.length[slot] >= 0:
+            slot = (slot + 1) & int(self.mask)
+        new = np.frombuffer(ids, dtype="<u4")
+        while self.end + len(new) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.end : self.end + len(new)] = new
+        self.first[slot], self.second[slot], self.start[slot], self.length[slot] = first, second, self.end, len(new)
+        self.end, self.held = self.end + len(new), self.held + 1
+
+    def full(self) -> bool:
+        return 2 * self.held > len(self.first)
+
+
+#: Bytes of white space other than blank and line feed, and pairs of bytes that begin one beyond ASCII.
+_ODD_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
+_ODD_PAIRS = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]
+_KIND = (np.arange(3, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
 class PieceCoder:
     """Encodes texts as little-endian 32-bit ids."""
 
@@ -79,6 +124,7 @@ class PieceCoder:
         self.model = self.tokenizer.model
         self.tokenize = self.model.tokenize
         self._lf = self._whole("\n")
+        self.table = _Table()
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -118,6 +164,53 @@ class PieceCoder:
         return self.encode_pieces(pieces(text)) if self.cuts else self._whole(text)
 
 
+    def encode_all(self, column):
+        """The ids of each text of a column, an array each.
+
+        Texts whose words stand one blank or line feed apart, and hold no other
+        white space, are looked up word by word, all at once; the others go one by one.
+        """
+        for first, data, offsets in stretches(column):
+            w = words_of(data, offsets, fold=False, twice=True)
+            n = len(w.starts)
+            count = np.diff(w.bounds)
+            texts = np.repeat(np.arange(len(count)), count)
+            leads = np.zeros(n, dtype=bool)
+            leads[w.bounds[:-1][count > 0]] = True
+            gap = np.where(leads, w.starts - offsets[texts], w.starts - np.append(0, w.ends[:-1])[:n])
+            odd = gap != np.where(leads, 0, 1)
+            bad = np.bincount(texts[odd], minlength=len(count)) > 0
+            bad |= (count == 0) | (not self.cuts)
+            last = w.bounds[1:][~bad] - 1
+            bad[np.flatnonzero(~bad)[w.ends[last] != offsets[1:][~bad]]] = True
+            at = np.flatnonzero(_ODD_BYTE[data])
+            for a, b in _ODD_PAIRS:
+                at = np.append(at, np.flatnonzero((data[:-1] == a) & (data[1:] == b)))
+            bad[np.searchsorted(offsets, at, "right") - 1] = True
+            kind = np.where(leads, 0, np.where(data[np.maximum(w.starts - 1, 0)] == 10, 2, 1))
+            use = np.flatnonzero(~bad[texts])
+            one, two = w.hashes[use] ^ _KIND[kind[use]], w.second[use]
+            if self.table.full():
+                self.table = _Table()
+            slot = self.table.find(one, two)
+            body = None
+            missing = np.flatnonzero(slot < 0)
+            if len(missing):
+                body = data.tobytes()
+                _, new = np.unique(np.stack((one[missing], two[missing]), axis=1), axis=0, return_index=True)
+                for i in missing[new].tolist():
+                    word, k = body[w.starts[use[i]] : w.ends[use[i]]].decode(), kind[use[i]]
+                    self.table.add(int(one[i]), int(two[i]), self._piece(word, False) if k == 0 else self._new(word if k == 1 else "\n" + word))
+                slot[missing] = self.table.find(one[missing], two[missing])
+            size = self.table.length[slot].astype(np.int64)
+            ends = np.cumsum(size)
+            ids = self.table.ids[np.repeat(self.table.start[slot] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+            upto = np.concatenate(([0], ends))
+            of_text = upto[np.concatenate(([0], np.cumsum(np.where(bad, 0, count))))]
+            for i, (a, b) in enumerate(zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)):
+                yield np.frombuffer(self.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode()), dtype="<u4") if bad[i] else ids[a:b]
+
+
 _coders: dict[str, PieceCoder] = {}
 
 

@@ -24,6 +24,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _EXACT = mix(np.arange(256, dtype=np.uint64), 11)
 _FOLDED = _EXACT.copy()
 _FOLDED[65:91] = _EXACT[97:123]
+_SECOND = mix(np.arange(256, dtype=np.uint64), 29)
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -39,15 +40,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Hash, first byte and end of every word, and for each text the bounds of its words."""
+    """Hash, second hash (if asked for), first byte and end of every word, and for each text the bounds of its words."""
 
     hashes: np.ndarray
+    second: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
 
 
-def _stretch(data: np.ndarray, firsts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _stretch(data: np.ndarray, firsts: np.ndarray, tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     n = len(data)
     blank = SPACE[data]
     opens = blank[:-1].copy()
@@ -58,24 +60,27 @@ def _stretch(data: np.ndarray, firsts: np.ndarray, table: np.ndarray) -> tuple[n
     opens[firsts[(firsts > 0) & (firsts < n)] - 1] = True
     ends = np.flatnonzero(np.concatenate((word[:-1] & opens, word[-1:]))) + 1
     up, down = powers(n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * up)))
-    return mix((sums[ends] - sums[starts]) * down[starts], 5), starts, ends
+    hashes = []
+    for table in tables:
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * up)))
+        hashes.append(mix((sums[ends] - sums[starts]) * down[starts], 5))
+    return hashes, starts, ends
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
-    """The words of the texts data[offsets[i]:offsets[i + 1]]; fold lower-cases A-Z."""
-    table, found, at = (_FOLDED if fold else _EXACT), [], 0
+def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = True, twice: bool = False) -> Words:
+    """The words of the texts data[offsets[i]:offsets[i + 1]]; fold lower-cases A-Z, twice gives second hashes."""
+    tables, found, at = [_FOLDED if fold else _EXACT, *([_SECOND] if twice else [])], [], 0
     while at < len(data):
         end = min(len(data), at + STRETCH)
         if end < len(data):
             while end < len(data) and not SPACE[data[end]]:
                 gap = np.flatnonzero(SPACE[data[end : end + STRETCH]])
                 end = end + int(gap[0]) if len(gap) else min(len(data), end + STRETCH)
-        h, s, e = _stretch(data[at:end], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at, table)
-        found.append((h, s + at, e + at))
+        h, s, e = _stretch(data[at:end], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at, tables)
+        found.append((h[0], h[-1], s + at, e + at))
         at = end
-    hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
+    hashes, second, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return Words(hashes, second, starts, ends, np.searchsorted(starts, offsets))
 
 
 def stretches(column: pa.Array, size: int = STRETCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -271,6 +271,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketched = stash(keyed(docs).mapInArrow(_sketcher(words), SETS), "sketches")
     sets = sketched.where("digest is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), F.min("key").alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     sets = stash(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    wide, sketched = sketched, stash(sketched.select("key", "doc_id", "digest", "n"), "documents")
+    release(wide)
     bands = stash(sets.select("sid", "n", "registers").mapInArrow(_bander, "band long, sid long, n long").select("band", "sid"), "bands")
     shared = stash(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     members = stash(join_hot(bands, shared, ["band"], "members"), "members")
@@ -281,7 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hubs = stash(met.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("meets", "sid"))["sid"].alias("hub")), "hubs")
     pair = [F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")]
     tried = stash(join_hot(met, hubs, ["band"], "members").where("sid <> hub").select(*pair).distinct(), "tried")
-    release(members, hubs)
+    release(shared, members, hubs)
     links = _confirmed(tried, sets, docs, words, percent)
     found = components(links)
     inside = met.select("band", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

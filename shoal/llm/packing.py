@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,15 +176,15 @@ def _packer(idf, mean: float, tokenizer: str, end_id: int, window: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names), sequence + (fill > 0)
 
     def pack(batches):
-        coder, end = coder_of(tokenizer), np.asarray([end_id], dtype="<u4").tobytes()
+        coder, end = coder_of(tokenizer), np.asarray([end_id], dtype="<u4")
         sequence = TaskContext.get().partitionId() << 33
         rows, bags, held = [], [], 0
         for batch in batches:
-            for doc_id, text, bag in zip(batch.column("doc_id").to_pylist(), batch.column("text"), bags_of(batch.column("text"), len(idf)), strict=True):
-                text = text.as_py() or ""
-                rows.append((doc_id, np.frombuffer(coder.encode(text) + end, dtype="<u4")))
+            column = batch.column("text")
+            for doc_id, size, ids, bag in zip(batch.column("doc_id").to_pylist(), pc.binary_length(column).fill_null(0).to_pylist(), coder.encode_all(column), bags_of(column, len(idf)), strict=True):
+                rows.append((doc_id, np.concatenate((ids, end))))
                 bags.append(bag)
-                held += len(text)
+                held += size
                 if len(rows) >= SHARD_DOCS or held >= SHARD_BYTES:
                     out, sequence = shard(rows, bags, sequence)
                     yield out

@@ -134,8 +134,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = few.repartition("one", "two").sortWithinPartitions(*spans.columns).mapInArrow(_not_first, "id long, hash long, place long")
     if hot is not None:
         many = stash(join_hot(spans, hot, ["one", "two"], "times"), "many")
-        first = many.groupBy("one", "two").agg(F.min(F.struct(*columns)).alias("first"), F.first("times").alias("times"))
-        found = found.unionByName(join_hot(many.drop("times"), stash(first, "first"), ["one", "two"], "times").where(F.struct(*columns) != F.col("first")).select(*columns))
+        first = many.groupBy("one", "two").agg(F.min(F.struct(*columns)).alias("first")).select("one", "two", "first.*")
+        found = found.unionByName(many.join(first, ["one", "two", *columns], "left_anti").select(*columns))
     found = stash(found, "repeated")
     release(spans)
     return found

@@ -85,15 +85,15 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     def write(batches):
         coder, files = coder_of(tokenizer), None
         width = 2 if max(coder.vocabulary, end_id + 1) <= 1 << 16 else 4
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        end = np.asarray([end_id], dtype="<u4")
         doc_ids, lengths, name, sink = [], [], f"shard-{uuid.uuid4().hex}", None
         for batch in batches:
             if sink is None:
                 files, path = _open(folder)
                 files.create_dir(path, recursive=True)
                 sink = files.open_output_stream(f"{path}/{name}.ids")
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(coder.encode(text.as_py() or "") + end, dtype="<u4")
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode_all(batch.column("text")), strict=True):
+                ids = np.concatenate((ids, end))
                 sink.write(ids.astype(f"<u{width}").tobytes())
                 doc_ids.append(NULL_ID if doc_id is None else doc_id)
                 lengths.append(len(ids))

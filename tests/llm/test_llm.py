@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -213,6 +214,14 @@ def test_pieces_encode_as_the_tokenizer_does(text):
     assert np.frombuffer(coder.encode(text), dtype="<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(list("abAB é\n\t '.1%ñ<|>\u00a0\u2003\x1c世")), max_size=30), st.lists(st.sampled_from(["ab", "Ab", "don't", "é1", "x.", "%%", "世界"]), max_size=9).map(" ".join), st.lists(st.sampled_from(["ab", "Ab,", "<|endoftext|>"]), max_size=9).map("\n".join)), max_size=8))
+def test_columns_encode_as_the_tokenizer_does(texts):
+    coder = token_coder()
+    got = [ids.tolist() for ids in coder.encode_all(pa.array(texts, pa.string()))]
+    assert got == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def token_coder(held=[]):  # noqa: B006
     if not held:
         held.append(PieceCoder(TOKENIZER))
