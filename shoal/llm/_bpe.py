@@ -67,7 +67,7 @@ class _Pieces(dict):
 class _Table:
     """Ids of pieces by two hashes of 64 bits, in open addressing: many at once are looked up by column."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 22):
         self.mask = np.uint64((1 << bits) - 1)
         self.first, self.second = (np.zeros(1 << bits, dtype=np.uint64) for _ in range(2))
         self.start, self.length = np.zeros(1 << bits, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
@@ -86,16 +86,22 @@ class _Table:
             left = left[~good & (self.length[at] >= 0)]
         return out
 
-    def add(self, first: int, second: int, ids: bytes) -> None:
-        slot = first & int(self.mask)
-        while self.length[slot] >= 0:
-            slot = (slot + 1) & int(self.mask)
-        new = np.frombuffer(ids, dtype="<u4")
-        while self.end + len(new) > len(self.ids):
+    def add(self, first: np.ndarray, second: np.ndarray, lengths: list[int], ids: list[int]) -> None:
+        """Hold new pieces; of equal first hashes only one may come at a time."""
+        length = np.asarray(lengths, dtype=np.int64)
+        start = self.end + np.cumsum(length) - length
+        while self.end + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.end : self.end + len(new)] = new
-        self.first[slot], self.second[slot], self.start[slot], self.length[slot] = first, second, self.end, len(new)
-        self.end, self.held = self.end + len(new), self.held + 1
+        self.ids[self.end : self.end + len(ids)] = ids
+        self.end, self.held = self.end + len(ids), self.held + len(first)
+        slot, left = (first & self.mask).astype(np.int64), np.arange(len(first))
+        while len(left):
+            at, which = np.unique(slot[left], return_index=True)  # one piece for each slot
+            free = self.length[at] < 0
+            at, mine = at[free], left[which[free]]
+            self.first[at], self.second[at], self.start[at], self.length[at] = first[mine], second[mine], start[mine], length[mine]
+            left = np.delete(left, which[free])
+            slot[left] = (slot[left] + (self.length[slot[left]] >= 0)) & int(self.mask)
 
     def full(self) -> bool:
         return 2 * self.held > len(self.first)
@@ -193,14 +199,19 @@ class PieceCoder:
             if self.table.full():
                 self.table = _Table()
             slot = self.table.find(one, two)
-            body = None
-            missing = np.flatnonzero(slot < 0)
-            if len(missing):
-                body = data.tobytes()
-                _, new = np.unique(np.stack((one[missing], two[missing]), axis=1), axis=0, return_index=True)
-                for i in missing[new].tolist():
-                    word, k = body[w.starts[use[i]] : w.ends[use[i]]].decode(), kind[use[i]]
-                    self.table.add(int(one[i]), int(two[i]), self._piece(word, False) if k == 0 else self._new(word if k == 1 else "\n" + word))
+            body = data.tobytes() if (slot < 0).any() else b""
+            while len(missing := np.flatnonzero(slot < 0)):
+                new = missing[np.unique(one[missing], return_index=True)[1]]
+                lengths, ids = [], []
+                for a, b, k in zip(w.starts[use[new]].tolist(), w.ends[use[new]].tolist(), kind[use[new]].tolist(), strict=True):
+                    word = body[a:b].decode()
+                    if k == 1 and b - a <= CACHE_CHARS and word.isalpha() and word.isascii():
+                        got = [t.id for t in self.tokenize("\u0120" + word)]
+                    else:
+                        got = array("I", self._piece(word, False) if k == 0 else self._new(word if k == 1 else "\n" + word)).tolist()
+                    ids += got
+                    lengths.append(len(got))
+                self.table.add(one[new], two[new], lengths, ids)
                 slot[missing] = self.table.find(one[missing], two[missing])
             size = self.table.length[slot].astype(np.int64)
             ends = np.cumsum(size)
