@@ -274,22 +274,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     wide, sketched = sketched, stash(sketched.select("key", "doc_id", "digest", "n"), "documents")
     release(wide)
     bands = stash(sets.select("sid", "n", "registers").mapInArrow(_bander, "band long, sid long, n long").select("band", "sid"), "bands")
-    shared = stash(bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    members = stash(join_hot(bands, shared, ["band"], "members"), "members")
+    # a band holds one row of a set, so that even a third of all sets is less than a hundredth of these rows
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = stash(bands.join(shared, "band"), "members")
     release(bands)
     # the central set of a key is the one that meets most others, over all its keys
     central = members.groupBy("sid").agg(F.sum("members").alias("meets"))
     met = stash(members.drop("members").join(central, "sid"), "met")
-    hubs = stash(met.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("meets", "sid"))["sid"].alias("hub")), "hubs")
+    hubs = met.groupBy("band").agg(F.max(F.struct("meets", "sid"))["sid"].alias("hub"))
     pair = [F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")]
-    tried = stash(join_hot(met, hubs, ["band"], "members").where("sid <> hub").select(*pair).distinct(), "tried")
-    release(shared, members, hubs)
+    tried = stash(met.join(hubs, "band").where("sid <> hub").select(*pair).distinct(), "tried")
+    release(members)
     links = _confirmed(tried, sets, docs, words, percent)
     found = components(links)
     inside = met.select("band", "sid").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     inside = stash(inside, "inside")
-    mixed = inside.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "members")
-    rest = stash(join_hot(inside, stash(mixed, "mixed"), ["band"], "members").select("sid", "component").distinct(), "apart")
+    mixed = inside.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    rest = stash(inside.join(mixed, "band").select("sid", "component").distinct(), "apart")
     release(met, inside)
     if rest.head(1):
         pairs = stash(_apart(rest, sets, docs, words, percent).join(tried, ["a", "b"], "left_anti"), "pairs")

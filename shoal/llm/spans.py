@@ -99,19 +99,30 @@ def _spanner(batches):
         yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("id").take(of), batch.column("hash").take(of), pa.array(place)], ["one", "two", "id", "hash", "place"])
 
 
-def _not_first(batches):
-    """Rows, in the order of their spans, that are neither a span's first nor its equals."""
+def _with_firsts(batches, keys: int):
+    """Rows of integers in order, each with whether it is the first of its keys or that one's equal."""
     held = None
     for batch in batches:
         x = np.stack([c.to_numpy() for c in batch.columns], axis=1)
         if not len(x):
             continue
         rows = x if held is None else np.concatenate((held[None], x))
-        new = np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
-        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-        other = (rows[:, 2:] != rows[first, 2:]).any(axis=1)
-        held = rows[first[-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[other, c]) for c in (2, 3, 4)], ["id", "hash", "place"])
+        new = np.concatenate(([True], (rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        held = rows[at[-1]]
+        yield x, (rows[:, keys:] == rows[at, keys:]).all(axis=1)[len(rows) - len(x) :]
+
+
+def _not_first(batches):
+    """The occurrences, in the order of their spans, that are not a span's first."""
+    for x, first in _with_firsts(batches, 2):
+        yield pa.RecordBatch.from_arrays([pa.array(x[~first, c]) for c in (2, 3, 4)], ["id", "hash", "place"])
+
+
+def _told(batches):
+    """The occurrences, in the order of their spans and shares, with whether they are the first of a span's share."""
+    for x, first in _with_firsts(batches, 3):
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[:, c]) for c in (0, 1, 3, 4, 5)], pa.array(first)], ["one", "two", "id", "hash", "place", "first"])
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,7 +135,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, hash, place): the non-first occurrences of repeated spans, written; a place is a sentence's number and the sentences from it.
 
     Spans are shuffled once, by their hash of 128 bits. Those of more than group
-    occurrences stay out of that: their first is found by aggregation.
+    occurrences stay out of that: they are dealt into shares, and the firsts of the
+    shares into spans.
     """
     small_batches(docs.sparkSession)
     columns = ["id", "hash", "place"]
@@ -134,8 +146,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = few.repartition("one", "two").sortWithinPartitions(*spans.columns).mapInArrow(_not_first, "id long, hash long, place long")
     if hot is not None:
         many = stash(join_hot(spans, hot, ["one", "two"], "times"), "many")
-        first = many.groupBy("one", "two").agg(F.min(F.struct(*columns)).alias("first")).select("one", "two", "first.*")
-        found = found.unionByName(many.join(first, ["one", "two", *columns], "left_anti").select(*columns))
+        many = many.withColumn("share", F.pmod(F.xxhash64("id", "hash", "place"), F.ceil(F.col("times") / group)))
+        many = many.repartition("one", "two", "share").sortWithinPartitions("one", "two", "share", *columns)
+        dealt = stash(many.select("one", "two", "share", *columns).mapInArrow(_told, "one long, two long, id long, hash long, place long, first boolean"), "dealt")
+        firsts = dealt.where("first").drop("first").repartition("one", "two").sortWithinPartitions(*spans.columns)
+        found = found.unionByName(dealt.where("not first").select(*columns)).unionByName(firsts.mapInArrow(_not_first, "id long, hash long, place long"))
     found = stash(found, "repeated")
     release(spans)
     return found
