@@ -66,21 +66,23 @@ def without_hot(left: DataFrame, right: DataFrame, on: list[str], times: str, sh
     return left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot).select(*on), on, "left_anti")
 
 
-def crowded(df: DataFrame, on: list[str], group: int) -> DataFrame | None:
-    """on and times of the keys of more than group rows of df, stashed; None if there are none.
+def crowded(df: DataFrame, on: list[str], group: int, most: int = 100_000) -> DataFrame | None:
+    """on and times of the keys of more than group rows of df, and of more than one in most of all, stashed; None if there are none.
 
-    Rows are counted by a hash of the key of about group / 8 rows each first, and
-    exactly only where that is crowded, so that no table of all keys is shuffled.
+    By arithmetic they are fewer than most. Rows are counted by a hash of the key
+    of about group / 8 rows each first, and exactly only where that is crowded,
+    so that no table of all keys is shuffled.
     """
     n = df.count()
-    if n <= group:
+    many = max(group, n // most)
+    if n <= many:
         return None
-    own = df.select(*on, F.pmod(F.xxhash64(*on), F.lit(max(1, 8 * n // group))).alias("bucket"))
-    full = stash(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group), "buckets")
+    own = df.select(*on, F.pmod(F.xxhash64(*on), F.lit(max(1, 8 * n // many))).alias("bucket"))
+    full = stash(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > many), "buckets")
     if not full.head(1):
         return None
     exact = join_hot(own, full, ["bucket"], "rows").groupBy(*on).agg(F.count(F.lit(1)).alias("times"))
-    out = stash(exact.where(F.col("times") > group), "crowded")
+    out = stash(exact.where(F.col("times") > many), "crowded")
     return out if out.head(1) else None
 
 

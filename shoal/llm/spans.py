@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crowded, join_hot, release, small_batches, stash, without_hot
+from ._common import crowded, release, small_batches, stash
 
 RUN, WORDS, LONG, NEAR = 3, 24, 12, 7
 #: Occurrences of a span that one task takes.
@@ -120,9 +120,10 @@ def _not_first(batches):
 
 
 def _told(batches):
-    """The occurrences, in the order of their spans and shares, with whether they are the first of a span's share."""
+    """The occurrences, in the order of their spans and shares, that are not the first of a share, and the firsts of shares of hot spans."""
     for x, first in _with_firsts(batches, 3):
-        yield pa.RecordBatch.from_arrays([*[pa.array(x[:, c]) for c in (0, 1, 3, 4, 5)], pa.array(first)], ["one", "two", "id", "hash", "place", "first"])
+        use = ~first | (x[:, 2] >= 0)
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[use, c]) for c in (0, 1, 3, 4, 5)], pa.array(first[use])], ["one", "two", "id", "hash", "place", "first"])
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,22 +136,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, hash, place): the non-first occurrences of repeated spans, written; a place is a sentence's number and the sentences from it.
 
     Spans are shuffled once, by their hash of 128 bits. Those of more than group
-    occurrences stay out of that: they are dealt into shares, and the firsts of the
-    shares into spans.
+    occurrences are dealt into shares, whose firsts are compared after that.
     """
     small_batches(docs.sparkSession)
     columns = ["id", "hash", "place"]
     spans = stash(_located(docs, id_col, text_col).select("id", "hash", "text").mapInArrow(_spanner, SPANS), "spans")
     hot = crowded(spans, ["one", "two"], group)
-    few = spans if hot is None else without_hot(spans, hot, ["one", "two"], "times").select(*spans.columns)
-    found = few.repartition("one", "two").sortWithinPartitions(*spans.columns).mapInArrow(_not_first, "id long, hash long, place long")
+    rows = spans.withColumn("times", F.lit(None).cast("long")) if hot is None else spans.join(F.broadcast(hot), ["one", "two"], "left")
+    dealt = F.pmod(F.xxhash64(*columns), F.ceil(F.col("times") / group))
+    rows = rows.select("one", "two", F.when(F.col("times").isNull(), F.lit(-1)).otherwise(dealt).cast("long").alias("share"), *columns)
+    rows = rows.repartition("one", "two", "share").sortWithinPartitions("one", "two", "share", *columns)
+    told = stash(rows.mapInArrow(_told, "one long, two long, id long, hash long, place long, first boolean"), "told")
+    found = told.where("not first").select(*columns)
     if hot is not None:
-        many = stash(join_hot(spans, hot, ["one", "two"], "times"), "many")
-        many = many.withColumn("share", F.pmod(F.xxhash64("id", "hash", "place"), F.ceil(F.col("times") / group)))
-        many = many.repartition("one", "two", "share").sortWithinPartitions("one", "two", "share", *columns)
-        dealt = stash(many.select("one", "two", "share", *columns).mapInArrow(_told, "one long, two long, id long, hash long, place long, first boolean"), "dealt")
-        firsts = dealt.where("first").drop("first").repartition("one", "two").sortWithinPartitions(*spans.columns)
-        found = found.unionByName(dealt.where("not first").select(*columns)).unionByName(firsts.mapInArrow(_not_first, "id long, hash long, place long"))
+        firsts = told.where("first").drop("first").repartition("one", "two").sortWithinPartitions(*spans.columns)
+        found = found.unionByName(firsts.mapInArrow(_not_first, "id long, hash long, place long"))
     found = stash(found, "repeated")
     release(spans)
     return found
