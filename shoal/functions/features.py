@@ -167,6 +167,30 @@ def density(array: Column) -> Column:
     return F.when(F.size(array) == 0, F.lit(1.0)).otherwise(F.size(F.filter(array, lambda x: x != 0)) / F.size(array))
 
 
+def compressed(array: Column, sparse_at_half: bool = True) -> Column:
+    """struct(dense, size, indices, values): dense above a density of one half, or from one half on; indices are null where dense."""
+    dense = density(array) > 0.5 if sparse_at_half else density(array) >= 0.5
+    values = F.when(dense, array).otherwise(active_values(array))
+    return F.when(array.isNotNull(), F.struct(dense.alias("dense"), F.size(array).alias("size"), F.when(~dense, active_keys(array)).alias("indices"), values.alias("values")))
+
+
+def ml_vector(array: Column, sparse_at_half: bool = True) -> Column:
+    """The ML vector, dense or sparse, of what compressed() gives; a row-wise function for the ML library's sake."""
+    from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+
+    made = F.udf(lambda c: None if c is None else DenseVector(c["values"]) if c["dense"] else SparseVector(c["size"], c["indices"], c["values"]), VectorUDT())
+    return made(compressed(array, sparse_at_half))
+
+
+def labeled_point(label: Column, array: Column, sparse_at_half: bool = True) -> Column:
+    return F.struct(label.cast("double").alias("label"), ml_vector(array, sparse_at_half).alias("features"))
+
+
+def vector_with_id(key: Column, array: Column) -> Column:
+    """A vector that carries its id."""
+    return F.struct(key.alias("id"), array.alias("vector"))
+
+
 def active_keys(array: Column) -> Column:
     return F.filter(F.transform(array, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
 
@@ -186,17 +210,27 @@ class OneHotModel:
         self.vocabulary = list(vocabulary)
 
     @classmethod
-    def train(cls, df: DataFrame, value: Column, max_size: int | None = None) -> OneHotModel:
-        top = hist_by(df, value).orderBy("place")
-        return cls([(r["value"], r["freq"]) for r in (top.limit(max_size) if max_size else top).collect()])
+    def train(cls, df: DataFrame, value: Column, max_size: int | None = None, min_freq: float | None = None, max_freq: float | None = None, min_prob: float | None = None, max_prob: float | None = None) -> OneHotModel:
+        """The vocabulary within inclusive bounds, which are applied before anything comes to the driver."""
+        return cls._collected(hist_by(df, value), max_size, min_freq, max_freq, min_prob, max_prob)
+
+    @classmethod
+    def train_flat(cls, df: DataFrame, values: Column, max_size: int | None = None, min_freq: float | None = None, max_freq: float | None = None, min_prob: float | None = None, max_prob: float | None = None) -> OneHotModel:
+        return cls._collected(hist_by_flat(df, values), max_size, min_freq, max_freq, min_prob, max_prob)
 
     @classmethod
-    def train_flat(cls, df: DataFrame, values: Column, max_size: int | None = None) -> OneHotModel:
-        top = hist_by_flat(df, values).orderBy("place")
-        return cls([(r["value"], r["freq"]) for r in (top.limit(max_size) if max_size else top).collect()])
+    def _collected(cls, hist: DataFrame, max_size, min_freq, max_freq, min_prob, max_prob) -> OneHotModel:
+        bounds = [(F.col("freq") >= min_freq) if min_freq is not None else None, (F.col("freq") <= max_freq) if max_freq is not None else None]
+        for bound in bounds:
+            hist = hist if bound is None else hist.where(bound)
+        if min_prob is not None or max_prob is not None:
+            total = hist.agg(F.sum("freq")).first()[0] or 0.0
+            hist = hist.where(F.col("freq").between((min_prob or 0.0) * total, (1.0 if max_prob is None else max_prob) * total))
+        top = hist.orderBy("place")
+        return cls([(r["value"], r["freq"]) for r in (top.limit(max_size) if max_size is not None else top).collect()])
 
     def filtered(self, min_freq=None, max_freq=None, min_prob=None, max_prob=None, max_size=None) -> OneHotModel:
-        """Inclusive bounds: frequency, then probability (of the whole vocabulary), then size."""
+        """Inclusive bounds on what was trained: frequency, then probability (of the whole vocabulary), then size."""
         total = sum(f for _, f in self.vocabulary)
         inside = lambda x, lo, hi: (lo is None or x >= lo) and (hi is None or x <= hi)
         kept = [(v, f) for v, f in self.vocabulary if inside(f, min_freq, max_freq)]

@@ -28,19 +28,27 @@ def cramers_v(df: DataFrame, x: Column, y: Column, compat: bool = False) -> Data
 
 
 def permutation_p(df: DataFrame, x: str, y: str, rounds: int = 1000, seed: int = 0) -> float:
-    """1 - share of the rounds in which V of shuffled pairs is less than V; for samples of bounded size.
+    """1 - share of the rounds in which V of shuffled pairs is less than V.
 
-    The contingency table is all that leaves the executors; shuffles are drawn from its marginals.
+    The contingency table, as many rows as pairs of levels, is all that leaves the
+    executors; a shuffled table is drawn from its marginals, level by level of x,
+    as so many draws without replacement from the levels of y.
     """
     cells = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).count().collect()
     if not cells:
         return 0.0
-    xs, ys = sorted({r[0] for r in cells}, key=str), sorted({r[1] for r in cells}, key=str)
+    xs, ys = ({v: i for i, v in enumerate(sorted({r[c] for r in cells}, key=str))} for c in (0, 1))
     table = np.zeros((len(xs), len(ys)), dtype=np.int64)
     for r in cells:
-        table[xs.index(r[0]), ys.index(r[1])] = r[2]
-    rng, left = np.random.default_rng(seed), np.repeat(np.arange(len(xs)), table.sum(1))
-    right = np.repeat(np.arange(len(ys)), table.sum(0))
+        table[xs[r[0]], ys[r[1]]] = r[2]
+    rng = np.random.default_rng(seed)
+
+    def shuffled():
+        left, out = table.sum(0), np.zeros_like(table)
+        for i, n in enumerate(table.sum(1)):
+            out[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+            left = left - out[i]
+        return out
 
     def v(t):
         if 1 in t.shape:
@@ -50,11 +58,22 @@ def permutation_p(df: DataFrame, x: str, y: str, rounds: int = 1000, seed: int =
 
     observed, less = v(table), 0
     for _ in range(rounds):
-        got = np.bincount(left * len(ys) + rng.permutation(right), minlength=table.size).reshape(table.shape)
-        less += v(got) < observed - 1e-12
+        less += v(shuffled()) < observed - 1e-12
     return 1 - less / rounds
 
 
+def ks_two_sample(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """One row d: the greatest distance of the distributions of a column in two frames, nulls left out; null if one is empty."""
+    from ..operators.ordered import scan
+
+    side = lambda df, mine: df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"), F.lit(int(mine)).alias("na"), F.lit(int(not mine)).alias("nb"))
+    counts = side(a, True).unionByName(side(b, False)).groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    both = scan(scan(counts, "na", "x", name="upto_a"), "nb", "x", name="upto_b")
+    totals = counts.agg(F.sum("na").alias("all_a"), F.sum("nb").alias("all_b"))
+    far = F.max(F.abs(F.col("upto_a") / F.nullif(F.col("all_a"), F.lit(0)) - F.col("upto_b") / F.nullif(F.col("all_b"), F.lit(0))))
+    return both.crossJoin(F.broadcast(totals)).agg(far.alias("d"))  # totals are one row
+
+
 def gamma_cdf(shape: float, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma function: a series below shape + 1, a continued fraction above."""
     out = np.zeros(len(x))
@@ -85,11 +104,11 @@ def gamma_cdf(shape: float, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gamma(mean: float, mean_positive: float, mean_log: float) -> tuple[float, float]:
-    """Shape, 1 at least, and scale."""
+def _gamma(mean_positive: float, mean_log: float) -> tuple[float, float]:
+    """Shape, 1 at least, and scale, both of the distances over 0."""
     s = max(1e-12, math.log(mean_positive) - mean_log)
     shape = max(1.0, (3 - s + math.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s))
-    return shape, mean / shape
+    return shape, mean_positive / shape
 
 
 def _density(shape: float, scale: float, mean: float, gamma: bool):
@@ -105,7 +124,7 @@ def fit_pdf(data: np.ndarray):
     if not len(positive):
         return (lambda x: 1e10), 0
     mean = data.mean()
-    shape, scale = _gamma(mean, positive.mean(), np.log(positive).mean())
+    shape, scale = _gamma(positive.mean(), np.log(positive).mean())
     steps = np.arange(1, len(data) + 1) / len(data)
     ks = lambda cdf: max(np.abs(cdf - steps).max(), np.abs(cdf - steps + 1 / len(data)).max())
     return _density(shape, scale, mean, ks(gamma_cdf(shape, data / scale)) <= ks(1 - np.exp(-data / mean)))
@@ -123,7 +142,7 @@ def fit_pdf_of(df: DataFrame, x: Column):
     if not n_positive:
         return (lambda x: 1e10), 0
     mean = total / n
-    shape, scale = _gamma(mean, total_positive / n_positive, logs / n_positive)
+    shape, scale = _gamma(total_positive / n_positive, logs / n_positive)
 
     def distances(batches):
         import pandas as pd

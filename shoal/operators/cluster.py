@@ -155,12 +155,10 @@ class KMedoids:
                     continue
                 halves = self._refine(part, np.stack([a, b]))[0]
                 tried.append(self._refine(rows, np.concatenate([np.delete(medoids, j, axis=0), halves])))
+            tried = [t for t in tried if len(t[0]) == len(medoids) + 1]  # those that lost a cluster are no candidates
             if not tried:
                 break
-            after = min(tried, key=lambda t: t[1])[0]
-            if len(after) <= len(medoids):
-                break
-            medoids = after
+            medoids = min(tried, key=lambda t: t[1])[0]
             best = min(best, (self._length(rows, medoids), medoids), key=lambda t: t[0])
         return best[1]
 
@@ -173,7 +171,7 @@ class RandomForestCluster:
     synthetic: int = 0
     trees: int = 10
     depth: int = 5
-    bins: int = 32
+    bins: int = 5
     clusters: KMedoids = KMedoids(metric="hamming", k=0)
     seed: int = 0
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .ordered import numbered
 
 def count_by(df: DataFrame, value: Column) -> DataFrame:
     """(value, n)."""
@@ -13,18 +15,18 @@ def count_by(df: DataFrame, value: Column) -> DataFrame:
 
 
 def hist_by(df: DataFrame, value: Column, normalized: bool = False, cumulative: bool = False) -> DataFrame:
-    """(value, freq, place), most frequent first, ties by value; normalised before it is summed up.
+    """(value, freq, place), most frequent first, ties by value.
 
-    It has one row per distinct value; the running sum is over those rows alone.
+    Places and running sums take two passes over range partitions, so that no
+    task holds all distinct values.
     """
-    counts = count_by(df, value).withColumn("freq", F.col("n").cast("double"))
-    order = Window.orderBy(F.desc("n"), "value")
+    counts = count_by(df, value)
+    out = numbered(counts.select("value", "n", F.struct((-F.col("n")).alias("n"), "value").alias("_order")), "_order", "n")
+    freq = F.col("_upto" if cumulative else "n").cast("double")
     if normalized:
-        counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).withColumn("freq", F.col("freq") / F.col("_all"))
-    out = counts.withColumn("place", F.row_number().over(order))
-    if cumulative:
-        out = out.withColumn("freq", F.sum("freq").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.select("value", "freq", "place")
+        out = out.crossJoin(F.broadcast(out.agg(F.sum("n").alias("_all"))))  # one row
+        freq = freq / F.col("_all")
+    return out.select("value", freq.alias("freq"), (F.col("_at") + 1).cast("int").alias("place"))
 
 
 def count_by_flat(df: DataFrame, values: Column) -> DataFrame:
@@ -47,6 +49,11 @@ def promise(df: DataFrame, *aggregates: Column) -> DataFrame:
     return df.agg(*aggregates)
 
 
+def promise_of_rows(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """One lazy row by any Python function of all rows, given as an iterator of pandas frames: one task, for frames of bounded size."""
+    return df.coalesce(1).mapInPandas(lambda batches: [f(batches)], schema)
+
+
 def constant_promise(spark, value, name: str = "value") -> DataFrame:
     return spark.range(1).select(F.lit(value).alias(name))
 

@@ -39,6 +39,18 @@ def with_ordinal(df: DataFrame, order_by: str, name: str = "ordinal") -> DataFra
     return rows.withColumn("_own", F.row_number().over(own)).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
 
 
+def numbered(df: DataFrame, order_by: str, value: str) -> DataFrame:
+    """df with _at, the position of each row from 0 in the order of a key, and _upto, the sum of value up to it."""
+    rows = _ranged(df, order_by)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum"))
+    parts = parts.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_sum")])
+    own = Window.partitionBy("_part").orderBy(order_by)
+    local = rows.withColumn("_own", F.row_number().over(own)).withColumn("_own_sum", F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = local.join(F.broadcast(parts), "_part")
+    return joined.withColumn("_at", F.col("_n") + F.col("_own") - 1).withColumn("_upto", F.col("_sum") + F.col("_own_sum")).drop("_part", "_own", "_own_sum", "_n", "_sum")
+
+
 def drop(df: DataFrame, n: int, order_by: str) -> DataFrame:
     """All but the first n rows."""
     return df if n <= 0 else with_ordinal(df, order_by, "_at").where(F.col("_at") >= n).drop("_at")

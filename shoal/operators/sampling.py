@@ -54,3 +54,11 @@ def iid_features(df: DataFrame, n: int, features: str = "features", sample_size:
             yield pd.DataFrame({"row": pdf["id"], "features": out})
 
     return df.sparkSession.range(n).mapInPandas(draw, "row long, features array<double>")
+
+
+def marginals(df: DataFrame, features: str = "features") -> DataFrame:
+    """(place, zeros, ones, others): of each place of an array the number of zeros and ones, and the other values with theirs, in order."""
+    counts = df.select(F.posexplode(features).alias("place", "x")).groupBy("place", "x").agg(F.count(F.lit(1)).alias("n"))
+    x, n = F.col("x"), F.col("n")
+    other = F.when((x != 0) & (x != 1), F.struct("x", "n"))
+    return counts.groupBy("place").agg(F.coalesce(F.sum(F.when(x == 0, n)), F.lit(0)).alias("zeros"), F.coalesce(F.sum(F.when(x == 1, n)), F.lit(0)).alias("ones"), F.array_sort(F.collect_list(other)).alias("others"))

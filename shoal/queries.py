@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, jsonx, stats, text, timeutil
-from .functions.features import FeatureSpec, OneHotModel, active_keys, density
+from .functions.features import FeatureSpec, OneHotModel, active_keys, compressed, density, ml_vector, vector_with_id
 from .operators import cluster, frames, histogram, multiplex, ordered, sampling, som
 from .plans.lineage import lineage
-from .plans.tables import stash
+from .plans.tables import shared_folder, stash
 from .sources import io
 
 QUERIES: dict = {}
@@ -77,9 +77,14 @@ def _(t, spark, d):
     return histogram.count_by(both, F.col("o_orderpriority"))
 
 
-@query("s1_load_dir", "SELECT count(*) AS n, count(DISTINCT n_nationkey) AS keys FROM nation")
+@query("s1_load_dir", "SELECT 2 * count(*) AS n, count(DISTINCT n_nationkey) AS keys FROM nation")
 def _(t, spark, d):
-    return io.load_all(spark, [f"{d}/nation.parquet"]).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("n_nationkey").alias("keys"))
+    import uuid
+
+    folder = f"{shared_folder(spark)}/dir-{uuid.uuid4().hex}"
+    for part in ("a", "b"):
+        t("nation").write.parquet(f"{folder}/{part}")
+    return io.load_dir(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("n_nationkey").alias("keys"))
 
 
 @query("s5_csv_line", """
@@ -187,12 +192,11 @@ def _(t, spark, d):
 
 
 @query("j4_paste", """
-SELECT a.c_custkey, b.e AS event_id FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) a
-JOIN (SELECT event_id AS e, row_number() OVER (ORDER BY event_id) AS k FROM events QUALIFY k <= (SELECT count(*) FROM customer)) b USING (k)""")
+SELECT a.c_custkey, b.c_nationkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) a
+JOIN (SELECT c_nationkey, row_number() OVER (ORDER BY -c_custkey) AS k FROM customer) b USING (k)""")
 def _(t, spark, d):
-    customers = t("customer").select("c_custkey")
-    events = ordered.with_ordinal(t("events").select("event_id"), "event_id").where(F.col("ordinal") < customers.count()).drop("ordinal")
-    return ordered.paste(customers, events, "c_custkey", "event_id")
+    right = t("customer").select((-F.col("c_custkey")).alias("key"), "c_nationkey")
+    return ordered.paste(t("customer").select("c_custkey"), right, "c_custkey", "key").select("c_custkey", "c_nationkey")
 
 
 @query("j5_paste_by", "SELECT a.n_name AS a, b.n_nationkey * 2 AS b FROM nation a JOIN nation b ON a.n_nationkey = 24 - b.n_nationkey")
@@ -258,7 +262,7 @@ def _(t, spark, d):
 
 @query("a12_cramers_p")
 def _(t, spark, d):
-    p = stats.permutation_p(t("customer"), "c_nationkey", "c_mktsegment", rounds=50, seed=1)
+    p = stats.permutation_p(t("customer"), "c_nationkey", "c_mktsegment", seed=1)
     return spark.createDataFrame([(p,)], "p double")
 
 
@@ -294,10 +298,12 @@ def _(t, spark, d):
     return a.union(b).union(c)
 
 
-@query("m12_flat_mux_with", "SELECT event_id % 4 AS bucket, user_id AS value FROM events WHERE user_id % 2 = 1")
+@query("m12_flat_mux_with", "SELECT event_id % 4 AS bucket, user_id AS value, (user_id % 2)::INTEGER AS output FROM events WHERE user_id IS NOT NULL")
 def _(t, spark, d):
     rows = t("events").select((F.col("event_id") % 4).alias("bucket"), "user_id")
-    return multiplex.flat_mux_with(rows, "bucket", 2, lambda k, pdf: (pdf["user_id"][pdf["user_id"] % 2 == 0], pdf["user_id"][pdf["user_id"] % 2 == 1]), "long")[1]
+    outs = multiplex.flat_mux_with(rows, "bucket", 2, lambda k, pdf: (pdf["user_id"][pdf["user_id"] % 2 == 0], pdf["user_id"][pdf["user_id"] % 2 == 1]), "long")
+    even, odd = (o.withColumn("output", F.lit(i)) for i, o in enumerate(outs))
+    return even.unionByName(odd)
 
 
 @query("x1_split_sample", "SELECT event_id, least(3, floor(('0x' || substr(md5(event_id || '-0'), 1, 8))::BIGINT / 4294967296.0 * 4))::INTEGER AS part FROM events")
@@ -346,9 +352,9 @@ def _(t, spark, d):
     return t("part").select("p_partkey", *[c.alias(n) for c, n in zip(spec.columns, "abcd", strict=True)])
 
 
-@query("e8_numeric_string", "SELECT vec_id, embedding[4]::DOUBLE AS a, embedding[1]::DOUBLE AS b, embedding[4]::DOUBLE AS c, label * 1.5::DOUBLE AS s, 1.0::DOUBLE AS density, 64 AS active FROM embeddings WHERE len(list_filter(embedding, lambda x: x = 0)) = 0")
+@query("e8_numeric_string", "SELECT vec_id, embedding[4]::DOUBLE AS a, embedding[1]::DOUBLE AS b, embedding[4]::DOUBLE AS c, label * 1.5::DOUBLE AS s, len(list_filter(embedding, lambda x: x <> 0)) / len(embedding)::DOUBLE AS density, len(list_filter(embedding, lambda x: x <> 0))::INTEGER AS active FROM embeddings")
 def _(t, spark, d):
-    e = t("embeddings").where(F.size(F.filter("embedding", lambda x: x == 0)) == 0)
+    e = t("embeddings")
     spec = FeatureSpec.numeric(F.col("embedding"), 3, 0, 3) + FeatureSpec.string(F.array((F.col("label") * 1.5).cast("string")), 0)
     return e.select("vec_id", *[c.alias(n) for c, n in zip(spec.columns, "abcs", strict=True)], density(F.col("embedding")).alias("density"), F.size(active_keys(F.col("embedding"))).alias("active"))
 
@@ -357,7 +363,7 @@ def _(t, spark, d):
 SELECT o_orderkey, (o_orderpriority = p1)::INTEGER::DOUBLE AS a, (o_orderpriority = p2)::INTEGER::DOUBLE AS b, (o_orderpriority NOT IN (p1, p2))::INTEGER::DOUBLE AS other
 FROM orders, (SELECT max(p) FILTER (k = 1) AS p1, max(p) FILTER (k = 2) AS p2 FROM (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS k FROM orders GROUP BY 1))""")
 def _(t, spark, d):
-    spec = OneHotModel.train(t("orders"), F.col("o_orderpriority")).filtered(max_size=2).one_hot(F.col("o_orderpriority"), undefined="other")
+    spec = OneHotModel.train(t("orders"), F.col("o_orderpriority"), max_size=2).one_hot(F.col("o_orderpriority"), undefined="other")
     return t("orders").select("o_orderkey", *[c.alias(n) for c, n in zip(spec.columns, ("a", "b", "other"), strict=True)])
 
 
@@ -366,14 +372,14 @@ _TOP = "WITH v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS k
 
 @query("e24_multi_hot", _TOP + " SELECT doc_id, max(list_contains(ws, w)::INTEGER::DOUBLE) FILTER (k = 1) AS a, max(list_contains(ws, w)::INTEGER::DOUBLE) FILTER (k = 2) AS b, max(list_contains(ws, w)::INTEGER::DOUBLE) FILTER (k = 3) AS c FROM d, v GROUP BY doc_id")
 def _(t, spark, d):
-    model = OneHotModel.train_flat(t("benchmark"), F.split("text", " ")).filtered(min_freq=3, max_size=3)
+    model = OneHotModel.train_flat(t("benchmark"), F.split("text", " "), min_freq=3, max_size=3)
     spec = model.multi_hot(F.split("text", " "))
     return t("documents").select("doc_id", *[c.alias(n) for c, n in zip(spec.columns, "abc", strict=True)])
 
 
 @query("e25_hist_extractor", _TOP + " SELECT doc_id, max(len(list_filter(ws, lambda x: x = w))::DOUBLE) FILTER (k = 1) AS a, max(len(list_filter(ws, lambda x: x = w))::DOUBLE) FILTER (k = 2) AS b, max(len(list_filter(ws, lambda x: x = w))::DOUBLE) FILTER (k = 3) AS c FROM d, v GROUP BY doc_id")
 def _(t, spark, d):
-    model = OneHotModel.train_flat(t("benchmark"), F.split("text", " ")).filtered(min_freq=3, max_size=3)
+    model = OneHotModel.train_flat(t("benchmark"), F.split("text", " "), min_freq=3, max_size=3)
     spec = model.hist(F.split("text", " "))
     return t("documents").select("doc_id", *[c.alias(n) for c, n in zip(spec.columns, "abc", strict=True)])
 
@@ -481,19 +487,19 @@ def _(t, spark, d):
 
 
 @query("a15_medoid_step", f"""
-WITH {_MED}, c AS (SELECT vec_id, cluster, f FROM n JOIN p USING (vec_id) WHERE vec_id < 200),
+WITH {_MED}, c AS (SELECT vec_id, cluster, f FROM n JOIN p USING (vec_id)),
 s AS (SELECT a.cluster, a.vec_id, sum(list_sum(list_transform(range(1, 65), lambda i: abs(a.f[i]::DOUBLE - b.f[i]::DOUBLE)))) AS total FROM c a JOIN c b ON a.cluster = b.cluster GROUP BY 1, 2)
 SELECT cluster::INTEGER AS cluster, arg_min(vec_id, (round(total, 6), vec_id)) AS vec_id, round(min(total), 5) AS total FROM s GROUP BY cluster""")
 def _(t, spark, d):
     rows, medoids = _medoids(t)
-    assigned = cluster.nearest(rows, "features", medoids, "manhattan").where("vec_id < 200")  # the sample that the step is defined on
+    assigned = cluster.nearest(rows, "features", medoids, "manhattan")
     return cluster.medoid_step(assigned, "vec_id", "features", "manhattan").select("cluster", "vec_id", F.round("total", 5).alias("total"))
 
 
 @query("c2_kmedoids_fit")
 def _(t, spark, d):
     rows, _ = _medoids(t)
-    model = cluster.KMedoids(metric="manhattan", k=4, seed=5, sample_size=300).fit(rows)
+    model = cluster.KMedoids(metric="manhattan", k=4, seed=5, sample_size=1000).fit(rows)
     return model.transform(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("distance")).alias("mean"))
 
 
@@ -522,7 +528,7 @@ def _(t, spark, d):
     import uuid
 
     spec, _, model = _forest(t)
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/shoal-checkpoints"
+    base = shared_folder(spark)
     nodes = cluster.node_table(model.forest, f"{base}/forest-{uuid.uuid4().hex}", spark)
     found = [(a, b, c, e, " and ".join(f)) for a, b, c, e, f in cluster.rules(nodes, spec.names.values)]
     return spark.createDataFrame(found, "tree int, leaf int, prediction double, depth int, rule string")
@@ -576,10 +582,108 @@ def _(t, spark, d):
 
     from .streaming.windows import windowed_counts
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/shoal-checkpoints"
+    base = shared_folder(spark)
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(t("events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     name = f"shoal_{uuid.uuid4().hex}"
     stream = windowed_counts(source, "ts", F.col("event_type"), "1 day", "1 hour").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
     stream.awaitTermination()
     return stash(spark.table(name).groupBy("value").agg(F.sum("n").alias("n")))
+
+
+# --- more of samples, vectors and promises, and what must hold of fitted models
+
+
+@query("a8_promise_of_rows", "SELECT n_nationkey, (SELECT max(length(p_name)) + count(*) FROM part) AS answer FROM nation")
+def _(t, spark, d):
+    import pandas as pd
+
+    def f(batches):
+        longest = rows = 0
+        for pdf in batches:
+            longest, rows = max(longest, int(pdf["p_name"].str.len().max())), rows + len(pdf)
+        return pd.DataFrame({"answer": [longest + rows]})
+
+    return histogram.with_promise(t("nation").select("n_nationkey"), histogram.promise_of_rows(t("part").select("p_name"), f, "answer long"))
+
+
+def _sparse():
+    return F.array((F.col("l_linenumber") - 1).cast("double"), F.col("l_discount").cast("double"), F.lit(0.0), F.col("l_tax").cast("double"))
+
+
+_SPARSE_SQL = "SELECT l_orderkey, l_linenumber, [l_linenumber - 1::DOUBLE, l_discount::DOUBLE, 0::DOUBLE, l_tax::DOUBLE] AS a FROM lineitem"
+
+
+@query("e26_compressed", f"""
+WITH v AS ({_SPARSE_SQL}), n AS (SELECT *, len(list_filter(a, lambda x: x <> 0)) AS active FROM v)
+SELECT l_orderkey, l_linenumber, active > 2 AS dense, active >= 2 AS dense_at_half, (CASE WHEN active > 2 THEN 4 ELSE active END)::INTEGER AS held FROM n""")
+def _(t, spark, d):
+    one, two = compressed(_sparse()), compressed(_sparse(), sparse_at_half=False)
+    return t("lineitem").select("l_orderkey", "l_linenumber", one["dense"].alias("dense"), two["dense"].alias("dense_at_half"), F.size(one["values"]).alias("held"))
+
+
+@query("e27_ml_vector", f"WITH v AS ({_SPARSE_SQL}) SELECT l_orderkey, l_linenumber, round(a[1], 6) AS a, round(a[2], 6) AS b, round(a[3], 6) AS c, round(a[4], 6) AS d FROM v")
+def _(t, spark, d):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", vector_to_array(ml_vector(_sparse())).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", *[r6(F.col("v")[i]).alias(c) for i, c in enumerate("abcd")])
+
+
+@query("e30_vector_with_id", "SELECT vec_id AS id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def _(t, spark, d):
+    return t("embeddings").select(vector_with_id(F.col("vec_id"), F.col("embedding")).alias("v")).select("v.id", r6(F.col("v.vector")[0].cast("double")).alias("first"))
+
+
+@query("x5_marginals", """
+WITH x AS (SELECT unnest([0, 1, 2]) AS place, unnest([l_linenumber - 1, l_quantity::BIGINT, round(l_discount * 100)::BIGINT])::BIGINT AS x FROM lineitem),
+c AS (SELECT place, x, count(*) AS n FROM x GROUP BY ALL)
+SELECT place::INTEGER AS place, coalesce(sum(n) FILTER (x = 0), 0)::BIGINT AS zeros, coalesce(sum(n) FILTER (x = 1), 0)::BIGINT AS ones, (count(*) FILTER (x NOT IN (0, 1)))::INTEGER AS others, sum(x * n)::BIGINT AS total FROM c GROUP BY place""")
+def _(t, spark, d):
+    places = F.array((F.col("l_linenumber") - 1).cast("long"), F.col("l_quantity").cast("long"), F.round(F.col("l_discount") * 100).cast("long"))
+    found = sampling.marginals(t("lineitem").select(places.alias("features")))
+    total = F.col("ones") + F.aggregate("others", F.lit(0).cast("long"), lambda s, o: s + o["x"] * o["n"])
+    return found.select("place", "zeros", "ones", F.size("others").alias("others"), total.alias("total"))
+
+
+@query("k15_ks_two_sample", """
+WITH c AS (SELECT l_extendedprice AS x, (count(*) FILTER (l_returnflag = 'A')) AS na, (count(*) FILTER (l_returnflag = 'R')) AS nb FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1),
+u AS (SELECT sum(na) OVER (ORDER BY x) / (SELECT sum(na) FROM c) AS a, sum(nb) OVER (ORDER BY x) / (SELECT sum(nb) FROM c) AS b FROM c) SELECT round(max(abs(a - b)), 6) AS d FROM u""")
+def _(t, spark, d):
+    price = lambda flag: t("lineitem").where(F.col("l_returnflag") == flag).select("l_extendedprice")
+    return stats.ks_two_sample(price("A"), price("R"), "l_extendedprice").select(r6(F.col("d")).alias("d"))
+
+
+@query("c2_kmedoids_holds", "SELECT count(*) AS n, true AS in_range, true AS are_rows FROM embeddings")
+def _(t, spark, d):
+    rows, _ = _medoids(t)
+    model = cluster.KMedoids(metric="manhattan", k=4, seed=5).fit(rows)
+    own = F.size(F.collect_set(F.when(F.col("distance") < 1e-9, F.col("cluster")))) == model.k  # every medoid is a row
+    return model.transform(rows).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cluster").between(0, 3)).alias("in_range"), own.alias("are_rows"))
+
+
+@query("c10_rf_holds", "SELECT count(*) AS n, true AS in_range, true AS not_negative FROM lineitem")
+def _(t, spark, d):
+    _, rows, model = _forest(t)
+    return model.transform(rows).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cluster").between(0, 2)).alias("in_range"), F.min(F.col("distance") >= 0).alias("not_negative"))
+
+
+@query("c23_som_holds", "SELECT count(*) AS n, true AS in_range, true AS bounded FROM embeddings")
+def _(t, spark, d):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = t("embeddings").select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    found = som.SOMEstimator(x=4, y=4, epochs=3, seed=1).fit(rows).transform(rows)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min(F.col("prediction").between(0, 15)).alias("in_range"), F.min(F.abs("similarity") <= 1.000001).alias("bounded"))
+
+
+@query("a12_cramers_p_holds", "SELECT true AS likely")
+def _(t, spark, d):
+    p = stats.permutation_p(t("customer"), "c_nationkey", "c_mktsegment", seed=1)  # the columns are drawn independently
+    return spark.createDataFrame([(bool(0.001 < p <= 1),)], "likely boolean")
+
+
+@query("x4_iid_holds", "SELECT 1000::BIGINT AS n, true AS within FROM (SELECT 1)")
+def _(t, spark, d):
+    rows = t("lineitem").select(F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("features"))
+    made = sampling.iid_features(rows, 1000, seed=3)
+    known = t("lineitem").agg(F.collect_set("l_quantity").alias("known"))  # fifty quantities
+    return made.crossJoin(F.broadcast(known)).agg(F.count(F.lit(1)).alias("n"), F.min(F.exists("known", lambda q: q == F.col("features")[0])).alias("within"))
