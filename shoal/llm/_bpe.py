@@ -24,7 +24,7 @@ _OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() an
 _OTHER_ASCII = [c for c in _OTHER_SPACE if c.isascii()]
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Pieces that a cache holds, and the longest piece that it takes.
-CACHE_PIECES, CACHE_CHARS = 1_500_000, 64
+CACHE_PIECES, CACHE_CHARS = 200_000, 64
 #: With these at its end a word is still two pre-tokens: the word and all its signs.
 _SIGNS = string.punctuation.replace("'", "")
 
@@ -67,10 +67,10 @@ class _Pieces(dict):
 class _Table:
     """Ids of pieces by two hashes of 64 bits, in open addressing: many at once are looked up by column."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 20):
         self.mask = np.uint64((1 << bits) - 1)
         self.first, self.second = (np.zeros(1 << bits, dtype=np.uint64) for _ in range(2))
-        self.start, self.length = np.zeros(1 << bits, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        self.start, self.length = np.zeros(1 << bits, dtype=np.int32), np.full(1 << bits, -1, dtype=np.int32)
         self.ids, self.end, self.held = np.zeros(1 << 16, dtype="<u4"), 0, 0
 
     def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ class PieceCoder:
                 slot[missing] = self.table.find(one[missing], two[missing])
             size = self.table.length[slot].astype(np.int64)
             ends = np.cumsum(size)
-            ids = self.table.ids[np.repeat(self.table.start[slot] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+            ids = self.table.ids[np.repeat(self.table.start[slot].astype(np.int64) - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
             upto = np.concatenate(([0], ends))
             of_text = upto[np.concatenate(([0], np.cumsum(np.where(bad, 0, count))))]
             for i, (a, b) in enumerate(zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)):

@@ -67,7 +67,7 @@ def without_hot(left: DataFrame, right: DataFrame, on: list[str], times: str, sh
 
 
 def crowded(df: DataFrame, on: list[str], group: int, most: int = 100_000) -> DataFrame | None:
-    """on and times of the keys of more than group rows of df, and of more than one in most of all, stashed; None if there are none.
+    """on (never null) and times of the keys of more than group rows of df, and of more than one in most of all, stashed; None if there are none.
 
     By arithmetic they are fewer than most. Rows are counted by a hash of the key
     of about group / 8 rows each first, and exactly only where that is crowded,
@@ -81,8 +81,10 @@ def crowded(df: DataFrame, on: list[str], group: int, most: int = 100_000) -> Da
     full = stash(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > many), "buckets")
     if not full.head(1):
         return None
-    exact = join_hot(own, full, ["bucket"], "rows").groupBy(*on).agg(F.count(F.lit(1)).alias("times"))
-    out = stash(exact.where(F.col("times") > many), "crowded")
+    # rows of other buckets are one group, so that nothing but crowded keys is counted apart
+    own = own.join(F.broadcast(full), "bucket", "left")  # fewer than most buckets
+    counts = own.groupBy(*[F.when(F.col("rows").isNotNull(), F.col(c)).alias(c) for c in on]).agg(F.count(F.lit(1)).alias("times"))
+    out = stash(counts.where(F.col("times") > many), "crowded").where(F.col(on[0]).isNotNull())
     return out if out.head(1) else None
 
 

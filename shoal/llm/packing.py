@@ -191,6 +191,8 @@ def _packer(idf, mean: float, tokenizer: str, end_id: int, window: int):
                     rows, bags, held = [], [], 0
         if rows:
             yield shard(rows, bags, sequence)[0]
+        rows, bags = [], []
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return pack
 
