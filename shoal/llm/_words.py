@@ -16,7 +16,7 @@ import pyarrow as pa
 from .perfect_hash import mix
 
 #: Bytes of text looked at together; a longer text is cut at white space.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15

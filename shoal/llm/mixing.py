@@ -16,6 +16,7 @@ others; repeated rows are documents of their own; empty input gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,14 +146,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) ->
     return take
 
 
-def _fit_source(pdf):
+def _fit_source(rows: pa.Table) -> pa.Table:
     """Rows of one source by size: how many documents of each to take beyond the whole passes."""
-    pdf = pdf.sort_values("size", kind="stable")
-    target, whole = float(pdf["target"].iloc[0]), int(pdf["source_size"].iloc[0])
+    rows = rows.sort_by("size")
+    target, whole = rows.column("target")[0].as_py(), rows.column("source_size")[0].as_py()
     passes = int(target // whole) if whole else 0
-    pdf["take"] = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), round(target) - passes * whole)
-    pdf["passes"] = passes
-    return pdf[["skey", "size", "take", "passes", "source_size", "target"]]
+    take = fit(rows.column("size").to_numpy(), rows.column("n").to_numpy(), round(target) - passes * whole)
+    columns = [rows.column("skey"), rows.column("size"), pa.array(take, pa.int64()), pa.array([passes] * len(take), pa.int32()), rows.column("source_size"), rows.column("target")]
+    return pa.Table.from_arrays(columns, ["skey", "size", "take", "passes", "source_size", "target"])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
@@ -172,7 +173,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     plan = F.broadcast(spark.createDataFrame([(r[0], int(r[1]), float(t)) for r, t in zip(sources, aims, strict=True)], "skey string, source_size long, target double"))
     # one row per source and length goes to the programme, whatever the number of documents
-    due = hist.join(plan, "skey").groupBy("skey").applyInPandas(_fit_source, "skey string, size long, take long, passes int, source_size long, target double")
+    due = hist.join(plan, "skey").groupBy("skey").applyInArrow(_fit_source, "skey string, size long, take long, passes int, source_size long, target double")
     before = F.sum("n").over(Window.partitionBy("skey", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))  # at most SLOTS rows
     quotas = slots.withColumn("before", F.coalesce(before, F.lit(0))).join(due, ["skey", "size"])
     quotas = quotas.select("skey", "size", "slot", "passes", "source_size", "target", F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("before"))).alias("quota"))
