@@ -240,27 +240,16 @@ def _texts(needed: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return bitmaps.among(keyed(docs), needed, ["key"], "wanted").join(needed, "key").dropDuplicates(["sid"])
 
 
-def _with_side(pairs: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """pairs, stashed, joined with right by one of their sets; a set that many pairs share is broadcast."""
-    uses = pairs.groupBy(on).agg(F.count(F.lit(1)).alias("uses"))
-    return join_hot(pairs, stash(right.join(uses, on), "side"), [on], "uses", share=200).drop("uses")
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sids that are links, written: size bound, estimate, full sets."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    near = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("size_a")), "a").join(sets.select(F.col("sid").alias("b"), F.col("n").alias("size_b")), "b")
-    near = stash(near.where(f"100 * size_b >= {percent} * size_a and 100 * size_a >= {percent} * size_b").select("a", "b"), "near")
-    wide = stash(_with_side(near, side("a"), "a"), "wide")
-    both = _with_side(wide, side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
-    likely = stash(both.mapInArrow(_estimator(percent / 100), "a long, b long"), "likely")
-    release(near, wide)
+    wide = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * nb >= {percent} * na and 100 * na >= {percent} * nb")
+    likely = stash(wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimator(percent / 100), "a long, b long"), "likely")
     texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), sets, docs).select("sid", "text")
     full = stash(texts.mapInArrow(_reshingler(words), "sid long, hashes binary"), "full")
-    met = stash(_with_side(likely, full.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a"), "met")
-    met_both = _with_side(met, full.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
-    links = stash(met_both.select("a", "b", "ha", "hb").mapInArrow(_confirmer(percent), "a long, b long"), "links")
-    release(likely, full, met)
+    met = likely.join(full.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a").join(full.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
+    links = stash(met.select("a", "b", "ha", "hb").mapInArrow(_confirmer(percent), "a long, b long"), "links")
+    release(likely, full)
     return links
 
 
