@@ -122,9 +122,9 @@ class PieceCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
-        said = json.loads(self.tokenizer.to_str())
-        pre = said.get("pre_tokenizer") or {}
-        self.cuts = said.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        # the state of the pre-tokenizer alone, not of the whole vocabulary
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer is not None else {}
+        self.cuts = self.tokenizer.normalizer is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.known = _Pieces(self._new)
         self.signs: dict[str, bytes] = {}
         self.model = self.tokenizer.model

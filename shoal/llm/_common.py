@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -106,6 +107,17 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task, since its Python worker lives on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def doc_key(doc_id: Column, text: Column) -> Column:
     """Surrogate key of 128 bits: rows alike in both doc_id and text share it, null or not."""
     halves = [F.xxhash64(F.lit(i), doc_id.cast("string"), doc_id.isNull(), F.coalesce(text, F.lit("")), text.isNull()) for i in (1, 2)]

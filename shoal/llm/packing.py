@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import coder_of, crc
-from ._common import small_batches
+from ._common import give_back, small_batches
 from ._words import stretches, words_of
 
 WINDOW = 2048
@@ -34,7 +34,7 @@ SHARD_DOCS, SHARD_BYTES = 4096, 24 << 20
 #: Neighbours fetched at a time.
 NEIGHBOURS = 16
 #: A term that more than one in DENSE documents of a shard hold is a row of a table, all others are lists.
-DENSE = 16
+DENSE = 8
 TOGETHER = 16
 K1, B = 1.2, 0.75
 #: Weights are whole numbers of 1 / GRAIN, so that sums are exact in any order and equal documents tie.
@@ -52,7 +52,7 @@ def bags_of(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarra
         cuts = np.searchsorted(terms, texts)
         terms &= size - 1
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield terms[a:b], counts[a:b]
+            yield terms[a:b].astype(np.int32), counts[a:b].astype(np.int32)
 
 
 def _counter(size: int):
@@ -192,7 +192,7 @@ def _packer(idf, mean: float, tokenizer: str, end_id: int, window: int):
         if rows:
             yield shard(rows, bags, sequence)[0]
         rows, bags = [], []
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        give_back()
 
     return pack
 
