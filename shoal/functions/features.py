@@ -129,6 +129,10 @@ class FeatureSpec:
         """f of this spec's array: function composition."""
         return f(self.array())
 
+    def compose(self, df: DataFrame, name: str = "features", **inputs: Column) -> DataFrame:
+        """df with this spec's array, the columns that it reads bound to expressions of df, whatever df's own are called."""
+        return df.select(F.struct("*").alias("_row"), *[c.alias(n) for n, c in inputs.items()]).select("_row.*", self.array().alias(name))
+
     def fold(self, *steps: Callable[[Column], FeatureSpec]) -> FeatureSpec:
         """self + f(self) + g(all so far) ..."""
         out = self

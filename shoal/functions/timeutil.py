@@ -20,6 +20,11 @@ def from_seconds(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds)
 
 
+def from_zone(ts: Column, zone: str) -> Column:
+    """The UTC time of what a clock of the zone shows, a name or an offset such as +05:30."""
+    return F.to_utc_timestamp(ts, zone)
+
+
 def days_between(a: Column, b: Column) -> Column:
     """Whole periods of 24 hours from a to b, with sign."""
     return F.timestamp_diff("DAY", a, b)

@@ -9,12 +9,14 @@ from dataclasses import dataclass, replace
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.arrays import hamming, manhattan
 from ..functions.features import FeatureSpec
 from ..functions.stats import fit_pdf
+from .histogram import hist_by
 from .sampling import iid_features, sample_by_size
 
 #: A metric over columns and the same over rows of a matrix: distances of all rows to one.
@@ -192,13 +194,17 @@ class RandomForestClusterModel:
     forest: object
     medoids: KMedoidsModel | None
 
-    def leaves(self, df: DataFrame) -> DataFrame:
-        """df with leaf_ids, one for each tree."""
-        scored = self.forest.transform(df.withColumn("vector", array_to_vector(self.extractor.array())))
+    def leaves(self, df: DataFrame, features: Column | None = None) -> DataFrame:
+        """df with leaf_ids, one for each tree, by the extractor or by an array of features that there is already."""
+        scored = self.forest.transform(df.withColumn("vector", array_to_vector(self.extractor.array() if features is None else features)))
         return scored.withColumn("leaf_ids", vector_to_array("leaf")).select(*df.columns, "leaf_ids")
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.medoids.transform(self.leaves(df)).drop("leaf_ids")
+    def transform(self, df: DataFrame, features: Column | None = None) -> DataFrame:
+        return self.medoids.transform(self.leaves(df, features)).drop("leaf_ids")
+
+    def predict(self, features) -> tuple[int, float]:
+        """(cluster, distance) of one vector of features."""
+        return self.medoids.predict([self.forest.trees[i].predictLeaf(Vectors.dense(features)) for i in range(self.forest.getNumTrees)])
 
 
 def node_table(model, path: str, spark) -> DataFrame:
@@ -214,8 +220,48 @@ def feature_counts(nodes: DataFrame) -> DataFrame:
     return nodes.where("left >= 0").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "feature")
 
 
-def rules(nodes: DataFrame, names: dict[int, str] | None = None) -> list[tuple[int, int, float, int, list[str]]]:
-    """(tree, leaf, prediction, depth, conditions) from root to leaf; the nodes of a forest of bounded depth."""
+def feature_hist(nodes: DataFrame, names: dict[int, str] | None = None, normalized: bool = False, cumulative: bool = False) -> DataFrame:
+    """(value, freq, place): how often inner nodes split on each feature, by index or, where names are given, by name."""
+    by = F.col("feature")
+    if names:
+        of = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        by = F.coalesce(F.try_element_at(of, by), F.concat(F.lit("f_"), by.cast("string")))
+    return hist_by(nodes.where("left >= 0"), by, normalized, cumulative)
+
+
+def breadth_first(nodes: DataFrame) -> list[tuple[int, int, int, Row]]:
+    """(tree, heap id, depth, node) of a forest of bounded depth, tree by tree from the root; the root is 1, the children of i are 2i and 2i + 1."""
+    trees: dict[int, dict[int, Row]] = {}
+    for r in nodes.collect():
+        trees.setdefault(r["tree"], {})[r["id"]] = r
+    out = []
+    for tree, table in sorted(trees.items()):
+        level = [(1, 0, table[0])]
+        while level:
+            out += [(tree, *node) for node in level]
+            level = [(2 * i + side, depth + 1, table[r[way]]) for i, depth, r in level if r["left"] >= 0 for side, way in enumerate(("left", "right"))]
+    return out
+
+
+def heap_leaves(nodes: DataFrame, features: Column) -> Column:
+    """Heap ids of the leaves where an array of features ends, one for each tree: at most the threshold, or among the categories, goes left."""
+    below: dict[tuple[int, int], Column] = {}
+    walk = breadth_first(nodes)
+    for tree, i, _, r in reversed(walk):  # children come after their parents
+        if r["left"] < 0:
+            below[tree, i] = F.lit(i)
+            continue
+        x = F.element_at(features, r["feature"] + 1)
+        goes = x <= F.lit(r["values"][0]) if r["categories"] < 0 else x.isin(*r["values"])
+        below[tree, i] = F.when(goes, below.pop((tree, 2 * i))).otherwise(below.pop((tree, 2 * i + 1)))
+    return F.array(*[below[tree, 1] for tree in sorted({tree for tree, *_ in walk})])
+
+
+def rules(nodes: DataFrame, names: dict[int, str] | None = None, all_known: bool = True) -> list[tuple[int, int, float, int, list[str]]]:
+    """(tree, leaf, prediction, depth, conditions) from root to leaf; the nodes of a forest of bounded depth.
+
+    The right side of categories names the other ones, or, unless all are known, denies those of the left.
+    """
     names, out, trees = names or {}, [], {}
     for r in nodes.collect():
         trees.setdefault(r["tree"], {})[r["id"]] = r
@@ -233,7 +279,8 @@ def rules(nodes: DataFrame, names: dict[int, str] | None = None) -> list[tuple[i
                     yes, no = f"({name} <= {values[0]})", f"({name} > {values[0]})"
                 else:
                     rest = [float(c) for c in range(r["categories"]) if float(c) not in values]
-                    yes, no = f"({name} in [{','.join(map(str, values))}])", f"({name} in [{','.join(map(str, rest))}])"
+                    shown = [f"[{','.join(map(str, v))}]" for v in (values, rest)]
+                    yes, no = f"({name} in {shown[0]})", f"({name} in {shown[1]})" if all_known else f"({name} not-in {shown[0]})"
                 below += [(r["left"], [*path, yes]), (r["right"], [*path, no])]
             level = below
     return out

@@ -18,22 +18,34 @@ def mux(df: DataFrame, bucket: str, outputs: Sequence[Column], level: StorageLev
     return [held.select(bucket, F.col(f"_{j}").alias("value")) for j in range(len(outputs))]
 
 
-def mux_with(df: DataFrame, bucket: str, n: int, f: Callable, value: str, level: StorageLevel = LEVEL) -> list[DataFrame]:
-    """mux by a Python function f(bucket, pandas rows) of n values of the type named; other numbers of values are an error."""
+def _types(value: str | Sequence[str], n: int) -> list[str]:
     if n < 0:
         raise ValueError("a negative number of outputs")
+    types = [value] * n if isinstance(value, str) else list(value)
+    if len(types) != n:
+        raise ValueError(f"{len(types)} types for {n} outputs")
+    return types
+
+
+def _checked(got: list, n: int) -> list:
+    if len(got) != n:
+        raise ValueError(f"{len(got)} outputs instead of {n}")
+    return got
+
+
+def mux_with(df: DataFrame, bucket: str, n: int, f: Callable, value: str | Sequence[str], level: StorageLevel = LEVEL) -> list[DataFrame]:
+    """mux by a Python function f(bucket, pandas rows) of n values, all of the type named or each of its own; other numbers of values are an error."""
+    types = _types(value, n)
 
     def run(key, pdf):
         import pandas as pd
 
-        got = list(f(key[0], pdf))
-        if len(got) != n:
-            raise ValueError(f"{len(got)} outputs instead of {n}")
-        return pd.DataFrame({"bucket": [key[0]] * n, "j": range(n), "value": got})
+        got = _checked(list(f(key[0], pdf)), n)
+        return pd.DataFrame([(key[0], *got)], columns=["bucket", *[f"v{j}" for j in range(n)]])
 
-    kind = dict(df.dtypes)[bucket]
-    held = df.groupBy(bucket).applyInPandas(run, f"bucket {kind}, j int, value {value}").persist(level)
-    return [held.where(F.col("j") == j).select("bucket", "value") for j in range(n)]
+    schema = ", ".join([f"bucket {dict(df.dtypes)[bucket]}", *[f"v{j} {t}" for j, t in enumerate(types)]])
+    held = df.groupBy(bucket).applyInPandas(run, schema).persist(level)
+    return [held.select("bucket", F.col(f"v{j}").alias("value")) for j in range(n)]
 
 
 def flat_mux(df: DataFrame, outputs: Sequence[tuple[Column, Column]], level: StorageLevel = LEVEL) -> list[DataFrame]:
@@ -42,20 +54,20 @@ def flat_mux(df: DataFrame, outputs: Sequence[tuple[Column, Column]], level: Sto
     return [held.where(f"w{j}").select(F.col(f"v{j}").alias("value")) for j in range(len(outputs))]
 
 
-def flat_mux_with(df: DataFrame, bucket: str, n: int, f: Callable, value: str, level: StorageLevel = LEVEL) -> list[DataFrame]:
-    """flat_mux by a Python function f(bucket, pandas rows) of n sequences."""
+def flat_mux_with(df: DataFrame, bucket: str, n: int, f: Callable, value: str | Sequence[str], level: StorageLevel = LEVEL) -> list[DataFrame]:
+    """flat_mux by a Python function f(bucket, pandas rows) of n sequences, all of the type named or each of its own."""
+    types = _types(value, n)
 
     def run(key, pdf):
         import pandas as pd
 
-        got = [list(x) for x in f(key[0], pdf)]
-        if len(got) != n:
-            raise ValueError(f"{len(got)} outputs instead of {n}")
-        return pd.DataFrame([(key[0], j, v) for j, x in enumerate(got) for v in x], columns=["bucket", "j", "value"])
+        got = _checked([list(x) for x in f(key[0], pdf)], n)
+        rows = [(key[0], j, *[v if i == j else None for i in range(n)]) for j, x in enumerate(got) for v in x]
+        return pd.DataFrame(rows, columns=["bucket", "j", *[f"v{j}" for j in range(n)]], dtype=object)  # whole numbers beside nulls stay whole
 
-    kind = dict(df.dtypes)[bucket]
-    held = df.groupBy(bucket).applyInPandas(run, f"bucket {kind}, j int, value {value}").persist(level)
-    return [held.where(F.col("j") == j).select("bucket", "value") for j in range(n)]
+    schema = ", ".join([f"bucket {dict(df.dtypes)[bucket]}", "j int", *[f"v{j} {t}" for j, t in enumerate(types)]])
+    held = df.groupBy(bucket).applyInPandas(run, schema).persist(level)
+    return [held.where(F.col("j") == j).select("bucket", F.col(f"v{j}").alias("value")) for j in range(n)]
 
 
 def share_of(key: Column, seed: int = 0) -> Column:

@@ -290,6 +290,23 @@ def _(t, spark, d):
     return a.withColumnRenamed("value", "spread").join(b.withColumnRenamed("value", "n"), "bucket")
 
 
+@query("m7_mux_with_types", "SELECT event_id % 4 AS bucket, max(user_id) AS most, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, count(*) / 2.0::DOUBLE AS half FROM events GROUP BY event_id % 4")
+def _(t, spark, d):
+    rows = t("events").select((F.col("event_id") % 4).alias("bucket"), "user_id", "event_type")
+    outs = multiplex.mux_with(rows, "bucket", 3, lambda k, pdf: (pdf["user_id"].max(), ",".join(sorted(pdf["event_type"].dropna().unique())), len(pdf) / 2), ["long", "string", "double"])
+    a, b, c = (o.withColumnRenamed("value", n) for o, n in zip(outs, ("most", "kinds", "half"), strict=True))
+    return a.join(b, "bucket").join(c, "bucket")
+
+
+@query("m17_flat_mux_with_types", "SELECT event_id % 4 AS bucket, 'id' AS output, count(*) AS n, sum(user_id)::VARCHAR AS last FROM events WHERE user_id % 2 = 0 GROUP BY 1 UNION ALL SELECT event_id % 4, 'type', count(*), max(event_type) FROM events GROUP BY 1")
+def _(t, spark, d):
+    rows = t("events").select((F.col("event_id") % 4).alias("bucket"), "user_id", "event_type")
+    ids, kinds = multiplex.flat_mux_with(rows, "bucket", 2, lambda k, pdf: (pdf["user_id"][pdf["user_id"] % 2 == 0], pdf["event_type"]), ["long", "string"])
+    last = [(ids, "id", F.sum("value").cast("string")), (kinds, "type", F.max("value"))]
+    a, b = (o.groupBy("bucket").agg(F.lit(n).alias("output"), F.count(F.lit(1)).alias("n"), c.alias("last")) for o, n, c in last)
+    return a.unionByName(b)
+
+
 @query("m11_flat_mux", "SELECT 'cheap' AS output, count(*) AS n, sum(p_partkey)::BIGINT AS total FROM part WHERE p_retailprice < 1000 UNION ALL SELECT 'small', count(*), sum(p_size)::BIGINT FROM part WHERE p_size < 10 UNION ALL SELECT 'all', count(*), sum(p_partkey + p_size)::BIGINT FROM part")
 def _(t, spark, d):
     key, size = F.col("p_partkey"), F.col("p_size")
@@ -352,6 +369,13 @@ def _(t, spark, d):
     return t("part").select("p_partkey", *[c.alias(n) for c, n in zip(spec.columns, "abcd", strict=True)])
 
 
+@query("e12_compose", "SELECT p_partkey, p_size + 1::DOUBLE AS a, p_size::DOUBLE * p_partkey AS b FROM part")
+def _(t, spark, d):
+    spec = FeatureSpec.of(F.col("x") + 1, F.col("x") * F.col("y"))
+    found = spec.compose(t("part").select("p_partkey", "p_size"), x=F.col("p_size").cast("double"), y=F.col("p_partkey"))
+    return found.select("p_partkey", *[F.col("features")[i].alias(c) for i, c in enumerate("ab")])
+
+
 @query("e8_numeric_string", "SELECT vec_id, embedding[4]::DOUBLE AS a, embedding[1]::DOUBLE AS b, embedding[4]::DOUBLE AS c, label * 1.5::DOUBLE AS s, len(list_filter(embedding, lambda x: x <> 0)) / len(embedding)::DOUBLE AS density, len(list_filter(embedding, lambda x: x <> 0))::INTEGER AS active FROM embeddings")
 def _(t, spark, d):
     e = t("embeddings")
@@ -423,6 +447,11 @@ def _(t, spark, d):
     return joined.select("l_orderkey", "l_linenumber", timeutil.days_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("days"))
 
 
+@query("f9_from_zone", "SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP - INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS shown FROM orders")
+def _(t, spark, d):
+    return t("orders").select("o_orderkey", timeutil.render(timeutil.from_zone(F.col("o_orderdate"), "+05:30")).alias("shown"))
+
+
 @query("f10_amortize", """
 SELECT o_orderkey, strftime(o_orderdate + INTERVAL (i) DAY, '%Y-%m-%d') AS day, round(o_totalprice / greatest(o_orderkey % 5, 1), 6) AS part
 FROM (SELECT *, unnest(range(greatest(o_orderkey % 5, 1))) AS i FROM orders)""")
@@ -666,6 +695,32 @@ def _(t, spark, d):
     return model.transform(rows).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cluster").between(0, 2)).alias("in_range"), F.min(F.col("distance") >= 0).alias("not_negative"))
 
 
+def _nodes(model, spark):
+    import uuid
+
+    return cluster.node_table(model.forest, f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}", spark)
+
+
+@query("c13_heap_leaves_hold", "SELECT tree::INTEGER AS tree, true AS one_to_one, (SELECT count(*) FROM lineitem) AS n FROM range(4) r(tree)")
+def _(t, spark, d):
+    spec, rows, model = _forest(t)
+    both = model.leaves(rows).select(F.posexplode(F.arrays_zip(F.transform("leaf_ids", lambda x: x.cast("int")).alias("ordinal"), cluster.heap_leaves(_nodes(model, spark), spec.array()).alias("heap"))).alias("tree", "z"))
+    met = both.groupBy("tree", "z.ordinal", "z.heap").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.count(F.lit(1))
+    return met.groupBy("tree").agg(((pairs == F.countDistinct("ordinal")) & (pairs == F.countDistinct("heap"))).alias("one_to_one"), F.sum("n").alias("n"))
+
+
+@query("a14_feature_hist_holds", "SELECT true AS known, true AS descending, 1.0::DOUBLE AS total")
+def _(t, spark, d):
+    spec, _, model = _forest(t)
+    nodes = _nodes(model, spark)
+    hist = cluster.feature_hist(nodes, spec.names.values).select("place", F.struct("value", "freq").alias("one"))
+    last = cluster.feature_hist(nodes, spec.names.values, normalized=True, cumulative=True).agg(F.round(F.max("freq"), 6).alias("total"))  # one row
+    ordered_by = F.expr("transform(array_sort(collect_list(struct(place, one))), x -> x.one)")  # as many rows as features
+    every = hist.agg(ordered_by.alias("a")).select(F.forall("a", lambda x: x["value"].isin("quantity", "price", "discount")).alias("known"), F.expr("a.freq = reverse(array_sort(a.freq))").alias("descending"))
+    return every.crossJoin(F.broadcast(last))
+
+
 @query("c23_som_holds", "SELECT count(*) AS n, true AS in_range, true AS bounded FROM embeddings")
 def _(t, spark, d):
     from pyspark.ml.functions import array_to_vector

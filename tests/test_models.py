@@ -49,9 +49,31 @@ def test_forest(spark, tmp_path):
     nodes = cluster.node_table(model.forest, str(tmp_path / "forest"), spark)
     rules = cluster.rules(nodes, spec.names.values)
     assert {t for t, *_ in rules} == set(range(5)) and any("(a <= " in c for *_, path in rules for c in path)
+    features = np.array([[r.a, r.b, r.c] for r in df.limit(20).collect()])
+    assert {tuple(model.predict(x)) for x in features} == {(r.cluster, r.distance) for r in model.transform(df.limit(20), F.array("a", "b", "c")).collect()}
+    by_name = {r.value: r.freq for r in cluster.feature_hist(nodes, spec.names.values).collect()}
+    assert by_name == {spec.names(r.feature): r.n for r in cluster.feature_counts(nodes).collect()}
+    walk = cluster.breadth_first(nodes)
+    assert len(walk) == nodes.count() and all(1 << depth <= i < 2 << depth for _, i, depth, _ in walk)
+    both = model.leaves(df).select("leaf_ids", cluster.heap_leaves(nodes, spec.array()).alias("heap")).collect()
+    for tree in range(5):
+        pairs = {(r.leaf_ids[tree], r.heap[tree]) for r in both}
+        assert len(pairs) == len({o for o, _ in pairs}) == len({h for _, h in pairs})
     assert cluster.feature_counts(nodes).agg(F.sum("n")).first()[0] == nodes.where("left >= 0").count()
 
 
+def test_categorical_rules_and_leaves(spark):
+    nodes = spark.createDataFrame(
+        [(0, 0, 0.0, 1, 4, 1, [0.0, 2.0], 4), (0, 1, 0.0, 2, 3, 0, [1.5], -1), (0, 2, 1.0, -1, -1, -1, [], -1), (0, 3, 0.0, -1, -1, -1, [], -1), (0, 4, 1.0, -1, -1, -1, [], -1)],
+        "tree int, id int, prediction double, left int, right int, feature int, values array<double>, categories int",
+    )
+    assert [r[4] for r in cluster.rules(nodes, {1: "kind"})] == [["(kind in [1.0,3.0])"], ["(kind in [0.0,2.0])", "(f_0 <= 1.5)"], ["(kind in [0.0,2.0])", "(f_0 > 1.5)"]]
+    assert cluster.rules(nodes, {1: "kind"}, all_known=False)[0][4] == ["(kind not-in [0.0,2.0])"]
+    rows = spark.createDataFrame([([1.5, 2.0],), ([1.6, 0.0],), ([0.0, 3.0],)], "f array<double>")
+    assert [r.h for r in rows.select(cluster.heap_leaves(nodes, F.col("f")).alias("h")).collect()] == [[4], [5], [3]]
+    assert [(i, depth) for _, i, depth, _ in cluster.breadth_first(nodes)] == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 2)]
+
+
 def test_som(spark, tmp_path):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(rng.random(3).tolist(),) for _ in range(400)], "f array<double>")
