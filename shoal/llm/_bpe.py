@@ -4,7 +4,8 @@ In the byte-level pre-tokenizer a single space or line feed between two
 characters that aren't white space always begins a new pre-token (and such a
 line feed is one by itself), so that the pieces between them encode alone as
 they do in the text. Pieces repeat a great deal;
-only new ones go through the tokenizers library, words by its model alone.
+only new ones go through the tokenizers library, words by its model alone; in
+whole columns, new words of letters and signs are merged by column instead.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from array import array
 
 import numpy as np
 
+from ._merges import Merges
 from ._words import stretches, words_of
 
 _OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c != " "]
@@ -64,6 +66,13 @@ class _Pieces(dict):
         return out
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1 and so on, lengths[i] of them, one i after the other."""
+    lengths = lengths.astype(np.int64)
+    ends = np.cumsum(lengths)
+    return np.repeat(starts.astype(np.int64) - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class _Table:
     """Ids of pieces by two hashes of 64 bits, in open addressing: many at once are looked up by column."""
 
@@ -72,12 +81,14 @@ class _Table:
         self.first, self.second = (np.zeros(1 << bits, dtype=np.uint64) for _ in range(2))
         self.start, self.length = np.zeros(1 << bits, dtype=np.int32), np.full(1 << bits, -1, dtype=np.int32)
         self.ids, self.end, self.held = np.zeros(1 << 16, dtype="<u4"), 0, 0
+        self.times = np.zeros(1 << bits, dtype=np.uint16)  # that it was found since it was added
 
     def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """The slot of each piece, -1 if it isn't held."""
         slot = (first & self.mask).astype(np.int64)
-        out = np.where((self.first[slot] == first) & (self.second[slot] == second) & (self.length[slot] >= 0), slot, -1)
-        left = np.flatnonzero((out < 0) & (self.length[slot] >= 0))
+        out = np.where((self.first[slot] == first) & (self.second[slot] == second), slot, -1)
+        left = np.flatnonzero(out < 0)
+        left = left[self.length[slot[left]] >= 0]
         while len(left):
             slot[left] = (slot[left] + 1) & int(self.mask)
             at = slot[left]
@@ -86,7 +97,7 @@ class _Table:
             left = left[~good & (self.length[at] >= 0)]
         return out
 
-    def add(self, first: np.ndarray, second: np.ndarray, lengths: list[int], ids: list[int]) -> None:
+    def add(self, first: np.ndarray, second: np.ndarray, lengths: np.ndarray | list[int], ids: np.ndarray | list[int]) -> None:
         """Hold new pieces; of equal first hashes only one may come at a time."""
         length = np.asarray(lengths, dtype=np.int64)
         start = self.end + np.cumsum(length) - length
@@ -106,10 +117,23 @@ class _Table:
     def full(self) -> bool:
         return 2 * self.held > len(self.first)
 
+    def forget(self) -> None:
+        """Keep those found most often since they were added, at most a quarter of the slots."""
+        often = np.cumsum(np.bincount(self.times)[::-1])  # how many were found 0, 1, 2... times less than the most
+        at = np.flatnonzero(self.times >= max(1, len(often) - int(np.searchsorted(often, len(self.first) // 4, "right"))))
+        first, second, length = self.first[at], self.second[at], self.length[at]
+        ids = self.ids[spread(self.start[at], length)]
+        self.first[:], self.second[:], self.length[:], self.times[:], self.end, self.held = 0, 0, -1, 0, 0, 0
+        one = np.unique(first, return_index=True)[1]  # of equal first hashes one
+        if len(one) == len(at):
+            self.add(first, second, length, ids)
+
 
 #: Bytes of white space other than blank and line feed, and pairs of bytes that begin one beyond ASCII.
 _ODD_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
 _ODD_PAIRS = [(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]
+_LETTER_BYTE = np.isin(np.arange(256), list(string.ascii_letters.encode()))
+_SIGN_BYTE = np.isin(np.arange(256), list(_SIGNS.encode()))
 _KIND = (np.arange(3, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,6 +155,7 @@ class PieceCoder:
         self.tokenize = self.model.tokenize
         self._lf = self._whole("\n")
         self.table = _Table()
+        self.merges = Merges.of(path, [_BYTE_LETTERS.get(b, chr(b)) for b in range(256)]) if self.cuts else None
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -169,6 +194,29 @@ class PieceCoder:
     def encode(self, text: str) -> bytes:
         return self.encode_pieces(pieces(text)) if self.cuts else self._whole(text)
 
+    def _plain(self, data: np.ndarray, body: bytes, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are letters, with or without signs after them; how many ids each of these has, after the blank or line feed of its kind, and all of them."""
+        cut = ends.copy()
+        plain = ends - starts <= CACHE_CHARS
+        left = np.flatnonzero(plain)
+        while len(left := left[(cut[left] > starts[left]) & _SIGN_BYTE[data[cut[left] - 1]]]):
+            cut[left] -= 1
+        plain &= cut > starts
+        # nearly all letters are ASCII ones or of two bytes, U+00C0 to U+023F but for two signs; the rest are asked for one by one
+        after = np.append(data[1:], np.uint8(0))
+        lead = (data >= 0xC4) & (data <= 0xC8) | (data == 0xC3) & (after != 0x97) & (after != 0xB7)
+        letter = _LETTER_BYTE[data] | lead
+        letter[1:] |= lead[:-1]
+        others = np.flatnonzero(~letter)
+        letters = np.searchsorted(others, starts) == np.searchsorted(others, cut)
+        at = np.flatnonzero(plain & ~letters)
+        plain[at] = [body[a:b].decode().isalpha() for a, b in zip(starts[at].tolist(), cut[at].tolist(), strict=True)]
+        starts, cut, ends, kind = starts[plain], cut[plain], ends[plain], kind[plain]
+        # a line feed, the word with its blank, and the signs are pre-tokens
+        firsts = np.stack((starts - (kind == 2), starts - (kind == 1), cut), axis=1).ravel()
+        lasts = np.stack((starts, cut, ends), axis=1).ravel()
+        ids, lengths = self.merges.encode(data, firsts, lasts)
+        return plain, lengths.reshape(-1, 3).sum(axis=1), ids
 
     def encode_all(self, column):
         """The ids of each text of a column, an array each.
@@ -197,11 +245,16 @@ class PieceCoder:
             use = np.flatnonzero(~bad[texts])
             one, two = w.hashes[use] ^ _KIND[kind[use]], w.second[use]
             if self.table.full():
-                self.table = _Table()
+                self.table.forget()
             slot = self.table.find(one, two)
+            self.table.times[slot[slot >= 0]] += 1  # by so many calls, since equal slots count once
             body = data.tobytes() if (slot < 0).any() else b""
             while len(missing := np.flatnonzero(slot < 0)):
                 new = missing[np.unique(one[missing], return_index=True)[1]]
+                if self.merges is not None:
+                    plain, lengths, ids = self._plain(data, body, w.starts[use[new]], w.ends[use[new]], kind[use[new]])
+                    self.table.add(one[new[plain]], two[new[plain]], lengths, ids)
+                    new = new[~plain]
                 lengths, ids = [], []
                 for a, b, k in zip(w.starts[use[new]].tolist(), w.ends[use[new]].tolist(), kind[use[new]].tolist(), strict=True):
                     word = body[a:b].decode()
@@ -213,10 +266,9 @@ class PieceCoder:
                     lengths.append(len(got))
                 self.table.add(one[new], two[new], lengths, ids)
                 slot[missing] = self.table.find(one[missing], two[missing])
-            size = self.table.length[slot].astype(np.int64)
-            ends = np.cumsum(size)
-            ids = self.table.ids[np.repeat(self.table.start[slot].astype(np.int64) - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-            upto = np.concatenate(([0], ends))
+            size = self.table.length[slot]
+            ids = self.table.ids[spread(self.table.start[slot], size)]
+            upto = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
             of_text = upto[np.concatenate(([0], np.cumsum(np.where(bad, 0, count))))]
             for i, (a, b) in enumerate(zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)):
                 yield np.frombuffer(self.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode()), dtype="<u4") if bad[i] else ids[a:b]

@@ -15,8 +15,8 @@ import pyarrow as pa
 
 from .perfect_hash import mix
 
-#: Bytes of text looked at together; a longer text is cut at white space.
-STRETCH = 1 << 18
+#: Bytes of text looked at together, and hashed together, as fits in a cache; longer ones are cut at white space.
+STRETCH, CHUNK = 1 << 18, 1 << 15
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -62,7 +62,8 @@ def _stretch(data: np.ndarray, firsts: np.ndarray, tables: list[np.ndarray]) ->
     up, down = powers(n)
     hashes = []
     for table in tables:
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * up)))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[data] * up, out=sums[1:])
         hashes.append(mix((sums[ends] - sums[starts]) * down[starts], 5))
     return hashes, starts, ends
 
@@ -71,11 +72,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, fold: bool = True, twice: bo
     """The words of the texts data[offsets[i]:offsets[i + 1]]; fold lower-cases A-Z, twice gives second hashes."""
     tables, found, at = [_FOLDED if fold else _EXACT, *([_SECOND] if twice else [])], [], 0
     while at < len(data):
-        end = min(len(data), at + STRETCH)
+        end = min(len(data), at + CHUNK)
         if end < len(data):
             while end < len(data) and not SPACE[data[end]]:
-                gap = np.flatnonzero(SPACE[data[end : end + STRETCH]])
-                end = end + int(gap[0]) if len(gap) else min(len(data), end + STRETCH)
+                gap = np.flatnonzero(SPACE[data[end : end + 256]])
+                end = end + int(gap[0]) if len(gap) else min(len(data), end + 256)
         h, s, e = _stretch(data[at:end], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at, tables)
         found.append((h[0], h[-1], s + at, e + at))
         at = end

@@ -30,12 +30,14 @@ from ._words import stretches, words_of
 WINDOW = 2048
 #: Hashed lexical terms: the length of the table of document frequencies.
 TERMS = 1 << 18
-SHARD_DOCS, SHARD_BYTES = 4096, 24 << 20
+SHARD_DOCS, SHARD_BYTES = 4096, 24 << 20  # documents below 1 << DOC_BITS
 #: Neighbours fetched at a time.
 NEIGHBOURS = 16
 #: A term that more than one in DENSE documents of a shard hold is a row of a table, all others are lists.
 DENSE = 8
 TOGETHER = 16
+#: Bits of a document's number beside its weight; documents from which on an index stays as it is.
+DOC_BITS, FEW = 13, 256
 K1, B = 1.2, 0.75
 #: Weights are whole numbers of 1 / GRAIN, so that sums are exact in any order and equal documents tie.
 GRAIN = 1 << 12
@@ -91,8 +93,8 @@ class Index:
         length = np.asarray([c.sum() for _, c in bags], dtype=np.float64)
         norm = K1 * (1 - B + B * length / max(mean, 1e-9))
         weight = np.rint(idf[terms] * tf * (K1 + 1) / (tf + norm[docs]) * GRAIN)
-        order = np.argsort(terms, kind="stable")
-        self.docs, self.weight, terms = docs[order], weight[order], terms[order]
+        order = np.sort(terms.astype(np.int64) << 32 | np.arange(len(terms))) & 0xFFFFFFFF  # by term, then as they come; faster than an argsort
+        self.postings, terms = weight[order].astype(np.int64) << DOC_BITS | docs[order], terms[order]  # one look up gives both
         new = np.append(True, terms[1:] != terms[:-1])[: len(terms)]
         number = np.cumsum(new) - 1
         self.starts = np.flatnonzero(new)
@@ -104,11 +106,23 @@ class Index:
         self.rows = np.where(common, np.cumsum(common) - 1, -1)
         self.table = np.zeros((int(common.sum()), self.n), dtype=np.int32)
         at = common[number]
-        self.table[self.rows[number[at]], self.docs[at]] = self.weight[at]
+        self.table[self.rows[number[at]], self.postings[at] & ((1 << DOC_BITS) - 1)] = self.postings[at] >> DOC_BITS
+        self.held = np.arange(self.n)
         self.last: tuple[int, np.ndarray] = (-1, np.zeros(0))
 
+    def keep(self, unused: np.ndarray) -> None:
+        """Score none but unused documents from now on; all others can still be seeds."""
+        live = unused[self.held]
+        docs = self.postings & ((1 << DOC_BITS) - 1)
+        stays = live[docs]
+        upto = np.append(0, np.cumsum(stays))
+        self.starts, ends = upto[self.starts], upto[self.starts + self.sizes]
+        self.sizes = ends - self.starts
+        self.postings = (self.postings + (np.cumsum(live) - 1 - np.arange(len(live)))[docs])[stays]  # numbered anew
+        self.held, self.table, self.last = self.held[live], self.table[:, live], (-1, np.zeros(0))
+
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for all terms of the seed."""
+        """BM25 of every document held for all terms of the seed."""
         if self.last[0] != seed:
             query = self.queries[seed]
             rows = self.rows[query]
@@ -116,7 +130,8 @@ class Index:
             sizes = self.sizes[query]
             ends = np.cumsum(sizes)
             at = np.repeat(self.starts[query] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-            found = np.bincount(self.docs[at], self.weight[at], minlength=self.n).astype(np.int64)
+            at = self.postings[at]
+            found = np.bincount(at & ((1 << DOC_BITS) - 1), at >> DOC_BITS, minlength=len(self.held)).astype(np.int64)
             rows = rows[rows >= 0]
             for a in range(0, len(rows), TOGETHER):  # sums of int32, each below 2^24, can't overflow
                 found += np.add.reduce(self.table[rows[a : a + TOGETHER]], axis=0, dtype=np.int32)
@@ -125,13 +140,13 @@ class Index:
 
     def neighbours(self, seed: int, unused: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
         """Up to k unused documents that share a term with the seed, best first, ties in order."""
-        score = self.scores(seed) * unused
+        score = self.scores(seed) * unused[self.held]
         if np.count_nonzero(score) > k:
-            least = np.partition(score, self.n - k)[self.n - k]
+            least = np.partition(score, len(score) - k)[len(score) - k]
             best = np.flatnonzero(score >= least)
         else:
             best = np.flatnonzero(score)
-        return best[np.lexsort((best, -score[best]))][:k]
+        return self.held[best[np.lexsort((best, -score[best]))][:k]]
 
 
 def order(index: Index, lengths: np.ndarray, window: int) -> list[int]:
@@ -139,6 +154,8 @@ def order(index: Index, lengths: np.ndarray, window: int) -> list[int]:
     unused = np.ones(index.n, dtype=bool)
     out, fill, first, seed, near = [], 0, 0, None, []
     while len(out) < index.n:
+        if 4 * (index.n - len(out)) < 3 * len(index.held) and len(index.held) > FEW:
+            index.keep(unused)
         chosen = None
         if seed is not None:
             near = [i for i in near if unused[i]] or list(index.neighbours(seed, unused))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shoal.llm import bitmaps, exact_dedup, minhash, mixing, packing, perfect_hash, quality, spans, suffix_dedup, token_files, topk, warc
-from shoal.llm._bpe import PieceCoder
+from shoal.llm._bpe import _BYTE_LETTERS, PieceCoder, _Table
 from shoal.llm._words import words_of
 from shoal.llm.collection_bwt import Folder, transform, unpacked
 from shoal.llm.components import components
@@ -207,6 +207,22 @@ def test_retrieval_is_exact_on_documents_of_many_words():
         assert index.neighbours(seed, unused).tolist() == [j for _, j in want]
 
 
+def test_used_documents_leave_the_index():
+    rng = np.random.default_rng(4)
+    bags = [(np.unique(rng.integers(0, 300, int(rng.integers(1, 60)))), None) for _ in range(600)]
+    bags = [(t, rng.integers(1, 5, len(t))) for t, _ in bags]
+    whole, less = (packing.Index(bags, np.linspace(0.5, 3, 300), 30.0) for _ in range(2))
+    unused = np.ones(600, dtype=bool)
+    for _ in range(4):
+        unused &= rng.random(600) < 0.7
+        less.keep(unused)
+        assert less.held.tolist() == np.flatnonzero(unused).tolist() and len(less.postings) < len(whole.postings)
+        for seed in range(0, 600, 7):
+            assert less.neighbours(seed, unused).tolist() == whole.neighbours(seed, unused).tolist()
+    less.keep(unused & False)
+    assert less.neighbours(3, unused).tolist() == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from(list("ab é\n\t '.1%ñ<|>")), max_size=40))
 def test_pieces_encode_as_the_tokenizer_does(text):
@@ -222,6 +238,49 @@ def test_columns_encode_as_the_tokenizer_does(texts):
     assert got == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def new_words(n, letters="abcdefghijklmnopqrstuvwxyzñéß"):
+    rng = np.random.default_rng(7)
+    return list(dict.fromkeys("".join(rng.choice(list(letters), rng.integers(2, 30))) + ["", ",", ".", "###"][i % 4] for i in range(n)))
+
+
+def test_new_words_are_merged_together():
+    coder, words, calls = PieceCoder(TOKENIZER), new_words(3000), []
+    plain, whole = coder.tokenize, coder._whole
+    coder.tokenize = lambda x: calls.append(x) or plain(x)
+    coder._whole = lambda x: calls.append(x) or whole(x)
+    texts = [" ".join(words[:2000]), "\n".join(words[2000:]), words[0], "世界 " + "x" * 90 + " don't a1"]
+    got = [ids.tolist() for ids in coder.encode_all(pa.array(texts, pa.string()))]
+    assert got == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 9
+
+
+def test_full_tables_keep_words_found_often():
+    coder, words = PieceCoder(TOKENIZER), new_words(400)
+    coder.table, often = _Table(7), words[:20]
+    for a in range(0, 400, 20):
+        texts = [" ".join(often + words[a : a + 20] + often[::-1])]
+        assert [ids.tolist() for ids in coder.encode_all(pa.array(texts))] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    missing, plain = [], coder._plain
+    coder._plain = lambda data, body, starts, *rest: missing.append(len(starts)) or plain(data, body, starts, *rest)
+    coder.table.forget()
+    assert 0 < coder.table.held <= 32
+    list(coder.encode_all(pa.array([" ".join(["x", *often[1:]])])))
+    assert sum(missing) <= 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("abcdeghinorstuñé世. ,")), min_size=1, max_size=40), min_size=1, max_size=6))
+def test_merges_are_those_of_the_model(words):
+    coder = token_coder()
+    data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+    ends = np.cumsum([len(w.encode()) for w in words])
+    at = [(a, b) for a, b in zip((ends - [len(w.encode()) for w in words]).tolist(), ends.tolist(), strict=True) if b - a <= 80]
+    ids, lengths = coder.merges.encode(data, np.array([a for a, _ in at], dtype=np.int64), np.array([b for _, b in at], dtype=np.int64))
+    letters = [_BYTE_LETTERS.get(b, chr(b)) for b in range(256)]
+    want = [[t.id for t in coder.tokenize("".join(letters[x] for x in data[a:b].tolist()))] for a, b in at]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])][: len(at)] == want
+
+
 def token_coder(held=[]):  # noqa: B006
     if not held:
         held.append(PieceCoder(TOKENIZER))
