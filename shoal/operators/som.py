@@ -97,7 +97,8 @@ def train(df: DataFrame, features: str, xdim: int, ydim: int, epochs: int, seed:
                     sims.append(sim)
             sims = np.concatenate(sims) if sims else np.zeros(0)
             used = np.flatnonzero(n)
-            yield pd.DataFrame({"cell": used, "n": n[used], "total": list(total[used]), "s": 0.0, "q": 0.0})
+            if len(used):  # a partition may be empty, and Arrow takes no empty frame for arrays
+                yield pd.DataFrame({"cell": used, "n": n[used], "total": list(total[used]), "s": 0.0, "q": 0.0})
             yield pd.DataFrame({"cell": [-1], "n": [float(len(sims))], "total": [[sims.min() if len(sims) else np.inf, sims.max() if len(sims) else -np.inf]], "s": [sims.sum()], "q": [(sims**2).sum()]})
 
         got = rows.mapInPandas(sums, "cell int, n double, total array<double>, s double, q double").collect()  # at most cells + 1 rows from each partition

@@ -92,6 +92,11 @@ def test_som(spark, tmp_path):
         model.transform(out)
 
 
+def test_som_with_empty_partitions(spark):
+    df = spark.range(40, numPartitions=8).select(F.array((F.col("id") + 1).cast("double"), F.lit(1.0)).alias("f"))
+    assert som.train(df.where("f[0] < 3"), "f", 2, 2, 2, seed=1).quality["n"] == 2
+
+
 def test_session_and_lineage(spark):
     app = session.App("x").add_config({"a": "1"}).add_config(lambda c: c | {"b": c["a"] + "2"})
     assert app.settings()["b"] == "12"
