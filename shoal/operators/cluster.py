@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Row
@@ -17,7 +17,7 @@ from ..functions.arrays import hamming, manhattan
 from ..functions.features import FeatureSpec
 from ..functions.stats import fit_pdf
 from .histogram import hist_by
-from .sampling import iid_features, sample_by_size
+from .sampling import iid_features, sample_by_size, sample_fraction
 
 #: A metric over columns and the same over rows of a matrix: distances of all rows to one.
 METRICS: dict[str, tuple[Callable[[Column, Column], Column], Callable]] = {
@@ -98,8 +98,11 @@ class KMedoids:
         return replace(self, **changes)
 
     def fit(self, df: DataFrame) -> KMedoidsModel:
-        rows = sample_by_size(df.select(self.features), self.sample_size, self.seed).collect()
-        return self.fit_rows(np.array(sorted(tuple(map(float, r[0])) for r in rows)))
+        return self.fit_all(sample_by_size(df.select(self.features), self.sample_size, self.seed))
+
+    def fit_all(self, sample: DataFrame) -> KMedoidsModel:
+        """fit to all rows of a sample that was drawn already."""
+        return self.fit_rows(np.array(sorted(tuple(map(float, r[0])) for r in sample.select(self.features).collect())))
 
     def fit_rows(self, rows: np.ndarray) -> KMedoidsModel:
         if not len(rows):
@@ -165,9 +168,44 @@ class KMedoids:
         return best[1]
 
 
+#: Cells of binned rows that the driver holds at most, and bins that rows are told apart by at most.
+CELLS, BINS = 100_000, 64
+
+
+def split_points(values: np.ndarray, bins: int) -> list[float]:
+    """Thresholds of one feature of a sample, as Spark's forests choose them: all midpoints if they are few, else by even strides."""
+    different, counts = np.unique(values, return_counts=True)
+    middle = ((different[:-1] + different[1:]) / 2).tolist()
+    if len(middle) < bins:
+        return middle
+    out, stride, seen = [], len(values) / bins, np.cumsum(counts)
+    target = stride
+    for i, m in enumerate(middle):
+        if abs(seen[i] - target) < abs(seen[i + 1] - target):
+            out.append(m)
+            target += stride
+    return out
+
+
+def _by_value(jvm, node, thresholds: list):
+    """A Java node that splits by number of bin, and those below, as nodes that split by value."""
+    if node.subtreeDepth() == 0:
+        return node
+    split, tree = node.split(), jvm.org.apache.spark.ml.tree
+    if thresholds[split.featureIndex()] is not None:
+        split = tree.ContinuousSplit(split.featureIndex(), thresholds[split.featureIndex()][math.floor(split.threshold())])
+    left, right = (_by_value(jvm, x, thresholds) for x in (node.leftChild(), node.rightChild()))
+    return tree.InternalNode(node.prediction(), node.impurity(), node.gain(), left, right, split, node.impurityStats())
+
+
 @dataclass(frozen=True)
 class RandomForestCluster:
-    """Real rows against rows with independent columns, a forest that tells them apart, and its leaves clustered."""
+    """Real rows against rows with independent columns, a forest that tells them apart, and its leaves clustered.
+
+    A forest sees of a row no more than its bins. So rows are counted by label and bins; each tree's bootstrap gives
+    every row a Poisson weight of mean 1, and thus a cell of n rows one of mean n. Where there are too many cells, the
+    forest is trained on the rows themselves.
+    """
 
     extractor: FeatureSpec
     synthetic: int = 0
@@ -178,14 +216,64 @@ class RandomForestCluster:
     seed: int = 0
 
     def fit(self, df: DataFrame) -> RandomForestClusterModel:
-        rows = df.select(self.extractor.array().alias("features"))
-        n = self.synthetic or rows.count()
+        rows = df.select(self.extractor.array().cast("array<double>").alias("features"))
+        real = rows.count()
+        n = self.synthetic or real
         other = iid_features(rows, n, seed=self.seed).select("features", F.lit(0.0).alias("label"))
-        vector = array_to_vector(F.col("features")).alias("vector", metadata=self.extractor.metadata())
-        both = rows.withColumn("label", F.lit(1.0)).unionByName(other).select(vector, "label")
-        forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=self.trees, maxDepth=self.depth, maxBins=self.bins, featureSubsetStrategy="auto", impurity="gini", seed=self.seed, leafCol="leaf")
-        model = RandomForestClusterModel(self.extractor, forest.fit(both), None)
-        return replace(model, medoids=self.clusters.set(features="leaf_ids").fit(model.leaves(df)))
+        both = rows.withColumn("label", F.lit(1.0)).unionByName(other)
+        model = RandomForestClusterModel(self.extractor, self._forest(both, real + n), None)
+        few = sample_by_size(df, self.clusters.sample_size, self.clusters.seed)
+        return replace(model, medoids=self.clusters.set(features="leaf_ids").fit_all(model.leaves(few)))
+
+    def _classifier(self, **more) -> RandomForestClassifier:
+        return RandomForestClassifier(featuresCol="vector", labelCol="label", maxDepth=self.depth, maxBins=self.bins, impurity="gini", leafCol="leaf", **more)
+
+    def _vector(self) -> Column:
+        return array_to_vector(F.col("features")).alias("vector", metadata=self.extractor.metadata())
+
+    def _forest(self, both: DataFrame, n: int) -> RandomForestClassificationModel:
+        cells, thresholds = self._cells(both, n) if 1 < self.bins <= BINS else (None, None)
+        if cells is None:
+            return self._classifier(numTrees=self.trees, featureSubsetStrategy="auto", seed=self.seed).fit(both.select(self._vector(), "label"))
+        counts = np.array([r["n"] for r in cells])
+        drawn = np.random.default_rng(self.seed).poisson(counts, (self.trees, len(counts)))
+        drawn[drawn.sum(1) == 0] = counts  # of very few rows a bootstrap may take none
+        table = [([float(x) for x in r["cell"]], r["label"], w) for r, w in zip(cells, drawn.T.astype(float).tolist(), strict=True)]
+        spark = both.sparkSession
+        held = spark.createDataFrame(table, "features array<double>, label double, weights array<double>").coalesce(1)
+        label = F.col("label").alias("label", metadata={"ml_attr": {"type": "nominal", "vals": ["0", "1"]}})
+        jvm, width = spark._jvm, self.extractor.width
+        classification = jvm.org.apache.spark.ml.classification
+        java = spark.sparkContext._gateway.new_array(classification.DecisionTreeClassificationModel, self.trees)
+        for i in range(self.trees):
+            own = held.select(self._vector(), label, F.col("weights")[i].alias("weight")).where("weight > 0")
+            fitted = self._classifier(numTrees=1, weightCol="weight", bootstrap=False, featureSubsetStrategy="sqrt" if self.trees > 1 else "all", seed=self.seed + i).fit(own)  # its Java object lasts as long as it
+            tree = fitted._java_obj.trees()[0]
+            java[i] = classification.DecisionTreeClassificationModel(tree.uid(), _by_value(jvm, tree.rootNode(), thresholds), width, 2)
+        one = fitted._java_obj
+        made = classification.RandomForestClassificationModel(one.uid(), java, width, 2)
+        for name in ("impurity", "featuresCol", "labelCol", "leafCol", "maxDepth", "maxBins"):
+            made.set(made.getParam(name), one.getOrDefault(one.getParam(name)))
+        made.set(made.getParam("numTrees"), self.trees)
+        return RandomForestClassificationModel(made)
+
+    def _cells(self, both: DataFrame, n: int) -> tuple[list[Row] | None, list]:
+        """Rows (cell, label, n), none if they are too many, and the thresholds of each feature, None for categories."""
+        fraction = sample_fraction(n, max(self.bins**2, 10_000))
+        sample = both.select("features")
+        sample = np.array([r[0] for r in (sample if fraction >= 1 else sample.sample(False, fraction, self.seed)).collect()], dtype=float)
+        if not len(sample):
+            raise ValueError("no rows to tell apart")
+        thresholds = [None if j in self.extractor.categories else split_points(sample[:, j], self.bins) for j in range(self.extractor.width)]
+        columns = []
+        for j, points in enumerate(thresholds):
+            x, bin_of = F.col("features")[j], F.lit(0)
+            for p in points or ():
+                bin_of = bin_of + (x > F.lit(p)).cast("int")
+            columns.append((x if points is None else bin_of.cast("double")).alias(f"c{j}"))
+        names = [f"c{j}" for j in range(len(columns))]
+        cells = both.select("label", *columns).groupBy("label", *names).agg(F.count(F.lit(1)).alias("n")).select("label", "n", F.array(*names).alias("cell")).limit(CELLS + 1).collect()
+        return (sorted(cells, key=lambda r: (r["label"], r["cell"])) if len(cells) <= CELLS else None), thresholds
 
 
 @dataclass(frozen=True)

@@ -28,6 +28,15 @@ def sample_distinct(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return out
 
 
+def _drawn(seed: int, counters: np.ndarray, n: int) -> np.ndarray:
+    """Whole numbers below n, drawn by seed and counter alone: the finisher of SplitMix64, all of a batch at once."""
+    x = counters * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed + 1) * 0xD1342543DE82EF95 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x = (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+    return np.minimum((x.astype(float) * (n * 2.0**-53)).astype(np.int64), n - 1)
+
+
 def iid_features(df: DataFrame, n: int, features: str = "features", sample_size: int = 10_000, seed: int = 0) -> DataFrame:
     """n rows (row, features) whose columns keep their marginals, up to sampling, but are independent.
 
@@ -44,16 +53,17 @@ def iid_features(df: DataFrame, n: int, features: str = "features", sample_size:
     table = np.array([list(map(float, r[0])) for r in rows])
 
     def draw(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            out = []
-            for row in pdf["id"]:
-                rng = np.random.default_rng([seed, int(row)])
-                out.append(table[rng.integers(0, len(table), table.shape[1]), np.arange(table.shape[1])].tolist())
-            yield pd.DataFrame({"row": pdf["id"], "features": out})
+        width = table.shape[1]
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            at = _drawn(seed, rows[:, None].astype(np.uint64) * np.uint64(width) + np.arange(width, dtype=np.uint64), len(table))
+            values = pa.array(table[at, np.arange(width)].ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row", "features"])
 
-    return df.sparkSession.range(n).mapInPandas(draw, "row long, features array<double>")
+    return df.sparkSession.range(n).mapInArrow(draw, "row long, features array<double>")
 
 
 def marginals(df: DataFrame, features: str = "features") -> DataFrame:

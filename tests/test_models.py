@@ -62,6 +62,29 @@ def test_forest(spark, tmp_path):
     assert cluster.feature_counts(nodes).agg(F.sum("n")).first()[0] == nodes.where("left >= 0").count()
 
 
+def test_forest_by_cells(spark, tmp_path, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 50 * 7 % 11).cast("double").alias("b"))
+    spec = FeatureSpec.of(F.col("a"), F.col("b")).with_names("a", "b")
+    one = cluster.RandomForestCluster(spec, trees=3, depth=4, clusters=cluster.KMedoids(metric="hamming", k=2, seed=1), seed=1)
+    both = df.select(spec.array().alias("features"), F.lit(1.0).alias("label"))
+    cells, thresholds = one._cells(both, 3000)
+    assert sum(r.n for r in cells) == 3000 and len(cells) <= 25 and [len(t) for t in thresholds] == [4, 4]
+    model = one.fit(df)
+    nodes = cluster.node_table(model.forest, str(tmp_path / "cells"), spark)
+    trees = {r.tree for r in nodes.select("tree").collect()}
+    assert trees == {0, 1, 2} and {v for r in nodes.where("left >= 0").collect() for v in r["values"]} <= {v for t in thresholds for v in t} | {x + 0.5 for x in range(50)}
+    assert type(model.forest).load(str(tmp_path / "cells")).getNumTrees == 3
+    both = model.leaves(df).select("leaf_ids", cluster.heap_leaves(nodes, spec.array()).alias("heap")).distinct().collect()
+    assert all(len({(r.leaf_ids[t], r.heap[t]) for r in both}) == len({r.heap[t] for r in both}) > 1 for t in trees)
+    monkeypatch.setattr(cluster, "CELLS", 3)  # the rows themselves
+    assert one.fit(df).forest.getNumTrees == 3
+
+
+def test_split_points():
+    assert cluster.split_points(np.array([3.0, 1.0, 1.0, 2.0]), 5) == [1.5, 2.5] and cluster.split_points(np.ones(4), 5) == []
+    assert cluster.split_points(np.arange(100.0), 5) == [19.5, 39.5, 59.5, 79.5]
+
+
 def test_categorical_rules_and_leaves(spark):
     nodes = spark.createDataFrame(
         [(0, 0, 0.0, 1, 4, 1, [0.0, 2.0], 4), (0, 1, 0.0, 2, 3, 0, [1.5], -1), (0, 2, 1.0, -1, -1, -1, [], -1), (0, 3, 0.0, -1, -1, -1, [], -1), (0, 4, 1.0, -1, -1, -1, [], -1)],
