@@ -54,19 +54,37 @@ def flat_mux(df: DataFrame, outputs: Sequence[tuple[Column, Column]], level: Sto
     return [held.where(f"w{j}").select(F.col(f"v{j}").alias("value")) for j in range(len(outputs))]
 
 
-def flat_mux_with(df: DataFrame, bucket: str, n: int, f: Callable, value: str | Sequence[str], level: StorageLevel = LEVEL) -> list[DataFrame]:
-    """flat_mux by a Python function f(bucket, pandas rows) of n sequences, all of the type named or each of its own."""
+def flat_mux_with(df: DataFrame, bucket: str, n: int, f: Callable, value: str | Sequence[str], level: StorageLevel = LEVEL, by_rows: bool = False) -> list[DataFrame]:
+    """flat_mux by a Python function f(bucket, pandas rows) of n sequences, all of the type named or each of its own.
+
+    f gets all rows of a bucket at once, which a Python worker holds, unless by_rows says that what f makes of a row
+    doesn't depend on other rows: then it gets a bucket in pieces, where its rows are.
+    """
     types = _types(value, n)
+    names = ["bucket", "j", *[f"v{j}" for j in range(n)]]
 
-    def run(key, pdf):
+    def made(key, pdf):
         import pandas as pd
 
-        got = _checked([list(x) for x in f(key[0], pdf)], n)
-        rows = [(key[0], j, *[v if i == j else None for i in range(n)]) for j, x in enumerate(got) for v in x]
-        return pd.DataFrame(rows, columns=["bucket", "j", *[f"v{j}" for j in range(n)]], dtype=object)  # whole numbers beside nulls stay whole
+        for j, x in enumerate(_checked(list(f(key, pdf)), n)):
+            x = list(x)
+            if x:
+                values = pd.Series(x, dtype=object)  # whole numbers beside nulls stay whole
+                yield pd.DataFrame({"bucket": [key] * len(x), "j": j, **{f"v{i}": values if i == j else None for i in range(n)}}, columns=names)
+
+    def whole(key, pdf):
+        import pandas as pd
+
+        parts = list(made(key[0], pdf))
+        return pd.concat(parts) if parts else pd.DataFrame([], columns=names, dtype=object)
+
+    def pieces(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(bucket, dropna=False, sort=False):
+                yield from made(None if key != key else key, part.reset_index(drop=True))
 
     schema = ", ".join([f"bucket {dict(df.dtypes)[bucket]}", "j int", *[f"v{j} {t}" for j, t in enumerate(types)]])
-    held = df.groupBy(bucket).applyInPandas(run, schema).persist(level)
+    held = (df.mapInPandas(pieces, schema) if by_rows else df.groupBy(bucket).applyInPandas(whole, schema)).persist(level)
     return [held.where(F.col("j") == j).select("bucket", F.col(f"v{j}").alias("value")) for j in range(n)]
 
 

@@ -301,7 +301,7 @@ def _(t, spark, d):
 @query("m17_flat_mux_with_types", "SELECT event_id % 4 AS bucket, 'id' AS output, count(*) AS n, sum(user_id)::VARCHAR AS last FROM events WHERE user_id % 2 = 0 GROUP BY 1 UNION ALL SELECT event_id % 4, 'type', count(*), max(event_type) FROM events GROUP BY 1")
 def _(t, spark, d):
     rows = t("events").select((F.col("event_id") % 4).alias("bucket"), "user_id", "event_type")
-    ids, kinds = multiplex.flat_mux_with(rows, "bucket", 2, lambda k, pdf: (pdf["user_id"][pdf["user_id"] % 2 == 0], pdf["event_type"]), ["long", "string"])
+    ids, kinds = multiplex.flat_mux_with(rows, "bucket", 2, lambda k, pdf: (pdf["user_id"][pdf["user_id"] % 2 == 0], pdf["event_type"]), ["long", "string"], by_rows=True)
     last = [(ids, "id", F.sum("value").cast("string")), (kinds, "type", F.max("value"))]
     a, b = (o.groupBy("bucket").agg(F.lit(n).alias("output"), F.count(F.lit(1)).alias("n"), c.alias("last")) for o, n, c in last)
     return a.unionByName(b)
@@ -318,7 +318,7 @@ def _(t, spark, d):
 @query("m12_flat_mux_with", "SELECT event_id % 4 AS bucket, user_id AS value, (user_id % 2)::INTEGER AS output FROM events WHERE user_id IS NOT NULL")
 def _(t, spark, d):
     rows = t("events").select((F.col("event_id") % 4).alias("bucket"), "user_id")
-    outs = multiplex.flat_mux_with(rows, "bucket", 2, lambda k, pdf: (pdf["user_id"][pdf["user_id"] % 2 == 0], pdf["user_id"][pdf["user_id"] % 2 == 1]), "long")
+    outs = multiplex.flat_mux_with(rows, "bucket", 2, lambda k, pdf: (pdf["user_id"][pdf["user_id"] % 2 == 0], pdf["user_id"][pdf["user_id"] % 2 == 1]), "long", by_rows=True)
     even, odd = (o.withColumn("output", F.lit(i)) for i, o in enumerate(outs))
     return even.unionByName(odd)
 

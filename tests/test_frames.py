@@ -90,6 +90,19 @@ def test_mux(spark):
         multiplex.mux_with(df, "bucket", 3, lambda k, p: (1,), "int")[0].collect()
 
 
+def test_flat_mux_by_rows(spark):
+    df = spark.range(30_000, numPartitions=1).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("bucket"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"), F.col("id").cast("string").alias("s"))
+
+    def f(k, p):
+        assert len(p) <= 10_000  # a batch, not the bucket
+        return p.v[p.v % 2 == 0], p.s
+
+    whole, pieces = ([o.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s")) for o in outs] for outs in (
+        multiplex.flat_mux_with(df, "bucket", 2, lambda k, p: (p.v[p.v % 2 == 0], p.s), ["long", "string"]), multiplex.flat_mux_with(df, "bucket", 2, f, ["long", "string"], by_rows=True)))
+    assert [set(o.collect()) for o in whole] == [set(o.collect()) for o in pieces]
+    assert sum(r.n for r in pieces[1].collect()) == 30_000
+
+
 def test_split_samples(spark):
     df = spark.range(2000)
     parts = multiplex.weighted_split_sample(df, [2, 1, 1], F.col("id"), 5)
