@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,11 +181,15 @@ def compressed(array: Column, sparse_at_half: bool = True) -> Column:
 
 
 def ml_vector(array: Column, sparse_at_half: bool = True) -> Column:
-    """The ML vector, dense or sparse, of what compressed() gives; a row-wise function for the ML library's sake."""
-    from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
-
-    made = F.udf(lambda c: None if c is None else DenseVector(c["values"]) if c["dense"] else SparseVector(c["size"], c["indices"], c["values"]), VectorUDT())
-    return made(compressed(array, sparse_at_half))
+    """The ML vector, dense or sparse, of what compressed() gives; an Arrow function, by column, since no cast makes vectors."""
+    def made(c: pa.Array) -> pa.Array:
+        dense = c.field("dense").fill_null(False).to_numpy(zero_copy_only=False)
+        kind = pa.array(dense.astype("int8"))  # 0 sparse, 1 dense
+        size = pa.array(c.field("size").fill_null(0).to_numpy(), pa.int32(), mask=dense)
+        parts = {"type": kind, "size": size, "indices": c.field("indices"), "values": c.field("values")}
+        return pa.StructArray.from_arrays(list(parts.values()), list(parts), mask=c.is_null())
+
+    return F.arrow_udf(made, VectorUDT())(compressed(array, sparse_at_half))
 
 
 def labeled_point(label: Column, array: Column, sparse_at_half: bool = True) -> Column:

@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.ml.linalg import DenseVector, SparseVector
 from pyspark.sql import functions as F
 
 from shoal.functions import arrays, jsonx, stats, text, timeutil
-from shoal.functions.features import FeatureSpec, IndexFunction, InvertibleIndexFunction, OneHotModel
+from shoal.functions.features import FeatureSpec, IndexFunction, InvertibleIndexFunction, OneHotModel, ml_vector
 from shoal.queries import QUERIES
 
 
@@ -28,6 +29,15 @@ def test_tokens_post_and_keep(spark):
     assert one(spark, text.tokens(F.col("m"), post=F.reverse, keep=lambda t: F.length(t) == 3), m="sub no yrt gnol") == ["bus", "try"]
 
 
+def test_ml_vector(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 0.0],), ([1.0, 2.0, 0.0],), ([],), (None,), ([0.0, 0.0],), ([1.0, 0.0],)], "a array<double>").coalesce(1)
+    made = df.select(ml_vector(F.col("a")).alias("v"), ml_vector(F.col("a"), sparse_at_half=False).alias("w"))
+    assert "BatchEvalPython" not in made._jdf.queryExecution().executedPlan().toString()  # by column, not row by row
+    dense, sparse = DenseVector, SparseVector
+    assert [r.v for r in made.collect()] == [sparse(3, {1: 1.0}), dense([1.0, 2.0, 0.0]), dense([]), None, sparse(2, {}), sparse(2, {0: 1.0})]
+    assert [type(r.w) for r in made.collect()] == [sparse, dense, dense, type(None), sparse, dense]
+
+
 def test_whitelist(spark):
     words = [f"word{i}" for i in range(300)]
     df = spark.createDataFrame([(w,) for w in words], "w string")
