@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import hamming, manhattan
@@ -41,15 +41,33 @@ def cost(df: DataFrame, features: str, medoids: list, metric: str = "euclidean")
 
 
 def medoid_step(assigned: DataFrame, key: str, features: str, metric: str = "euclidean") -> DataFrame:
-    """(cluster, key, total): the member of least total distance to its cluster, ties to the least key.
+    """(cluster, key, total): the member of least total distance to its cluster, ties (to six places) to the least key.
 
-    Members meet all members of their cluster, so assigned must be a sample of bounded size.
+    Manhattan and Hamming distances are sums over places, so the totals come from the values of each place in order,
+    without pairs. Euclidean members meet all members of their cluster: for that, assigned must be of bounded size.
     """
     a = assigned.select("cluster", F.col(key).alias("k"), F.col(features).alias("f"))
-    b = assigned.select("cluster", F.col(features).alias("g"))
-    totals = a.join(b, "cluster").groupBy("cluster", "k").agg(F.sum(METRICS[metric][0](F.col("f"), F.col("g"))).alias("total"))
-    best = totals.groupBy("cluster").agg(F.min(F.struct("total", "k")).alias("m"))
-    return best.select("cluster", F.col("m.k").alias(key), F.col("m.total").alias("total"))
+    if metric in ("manhattan", "hamming"):
+        totals = _totals_by_place(a, metric)
+    else:
+        b = assigned.select("cluster", F.col(features).alias("g"))
+        totals = a.join(b, "cluster").groupBy("cluster", "k").agg(F.sum(METRICS[metric][0](F.col("f"), F.col("g"))).alias("total"))
+    best = totals.groupBy("cluster").agg(F.min(F.struct(F.round("total", 6), "k")).alias("m"), F.min("total").alias("total"))
+    return best.select("cluster", F.col("m.k").alias(key), "total")
+
+
+def _totals_by_place(members: DataFrame, metric: str) -> DataFrame:
+    """(cluster, k, total) of (cluster, k, f): what a value adds to a total depends on the values of its cluster and place alone."""
+    each = members.select("cluster", "k", F.posexplode("f").alias("place", "x"))
+    own = Window.partitionBy("cluster", "place")
+    if metric == "hamming":
+        part = (F.count(F.lit(1)).over(own) - F.count(F.lit(1)).over(Window.partitionBy("cluster", "place", "x"))).cast("double")
+    else:
+        x = F.col("x").cast("double")
+        upto = own.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        n, s = F.count(F.lit(1)), F.sum(x)
+        part = x * (2 * n.over(upto) - n.over(own)) + s.over(own) - 2 * s.over(upto)
+    return each.withColumn("part", part).groupBy("cluster", "k").agg(F.sum("part").alias("total"))
 
 
 @dataclass(frozen=True)

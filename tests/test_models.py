@@ -85,6 +85,18 @@ def test_split_points():
     assert cluster.split_points(np.arange(100.0), 5) == [19.5, 39.5, 59.5, 79.5]
 
 
+def test_medoid_step(spark):
+    data = [(i, i % 2, [float(i % 7), float(i * i % 5)]) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, cluster int, f array<double>")
+    for metric, of in (("manhattan", lambda a, b: sum(abs(x - y) for x, y in zip(a, b))), ("hamming", lambda a, b: sum(x != y for x, y in zip(a, b))), ("euclidean", lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5)):
+        totals = {(c, i): round(sum(of(f, g) for _, o, g in data if o == c), 6) for i, c, f in data}
+        best = {c: min((v, i) for (o, i), v in totals.items() if o == c) for c in (0, 1)}
+        step = cluster.medoid_step(df, "vec_id", "f", metric)
+        assert {r.cluster: (round(r.total, 6), r.vec_id) for r in step.collect()} == best
+        if metric != "euclidean":
+            assert "Join" not in step._jdf.queryExecution().optimizedPlan().toString()  # no pairs
+
+
 def test_categorical_rules_and_leaves(spark):
     nodes = spark.createDataFrame(
         [(0, 0, 0.0, 1, 4, 1, [0.0, 2.0], 4), (0, 1, 0.0, 2, 3, 0, [1.5], -1), (0, 2, 1.0, -1, -1, -1, [], -1), (0, 3, 0.0, -1, -1, -1, [], -1), (0, 4, 1.0, -1, -1, -1, [], -1)],
