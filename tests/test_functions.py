@@ -29,6 +29,17 @@ def test_tokens_post_and_keep(spark):
     assert one(spark, text.tokens(F.col("m"), post=F.reverse, keep=lambda t: F.length(t) == 3), m="sub no yrt gnol") == ["bus", "try"]
 
 
+def test_tokens_at_once(spark):
+    rng = np.random.default_rng(2)
+    signs = list("aZ09_./:@- \t\n\x0b\f\r!\u00e9\u00a0\u0085$,")
+    messages = [("".join(rng.choice(signs, int(n))),) for n in rng.integers(0, 25, 3000)] + [(None,), ("9" * 20_000,), ("a" + "." * 20_000,)]
+    df = spark.createDataFrame(messages, "m string")
+    slow = text.tokens(F.col("m"), post=lambda t: t)  # word by word
+    fast = text.tokens(F.col("m"))
+    assert df.where(~fast.eqNullSafe(slow)).count() == 0
+    assert "transform" in str(slow) and "transform" not in str(fast)
+
+
 def test_ml_vector(spark):
     df = spark.createDataFrame([([0.0, 1.0, 0.0],), ([1.0, 2.0, 0.0],), ([],), (None,), ([0.0, 0.0],), ([1.0, 0.0],)], "a array<double>").coalesce(1)
     made = df.select(ml_vector(F.col("a")).alias("v"), ml_vector(F.col("a"), sparse_at_half=False).alias("w"))
